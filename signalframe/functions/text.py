@@ -34,7 +34,7 @@ def six_digits(x: Column) -> Column:
     )
     wide = F.abs(exponent) >= 100
     power = F.when(wide, F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.abs(exponent).cast("string"))).otherwise(power)
-    zero = F.when(F.atan2(x, F.lit(-1.0)) < 0, "-0").otherwise("0")
+    zero = F.when(x.cast("string").startswith("-"), "-0").otherwise("0")
     bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return (
         F.when(bad, "nan").when(x == 0, zero)

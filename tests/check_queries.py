@@ -14,7 +14,7 @@ from signalframe.session import local_session  # noqa: E402
 
 if __name__ == "__main__":
     d = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    names = [n for n in REGISTRY if not sys.argv[2:] or any(p in n for p in sys.argv[2:])]
+    names = [n for n in REGISTRY if not [a for a in sys.argv[2:] if a != "-v"] or any(p in n or REGISTRY[n].run.__module__.endswith(p) for p in sys.argv[2:])]
     spark = local_session("check", 8)
     spark.sparkContext.setLogLevel("ERROR")
     failed = []
