@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import is_missing
 from ..functions.text import domain_group, in_layout, index_of, parse_array, prefix_of
 
 MAX_CATEGORIES = 10_000
@@ -41,11 +40,20 @@ class Feature:
         if self.kind == "number":
             return [F.coalesce(as_number(self.source, raw_kind), F.lit(self.fill)).alias(self.names[0])]
         if self.kind == "array":
-            a = parse_array(src) if raw_kind == "string" else src.cast("array<double>")
+            a = F.col(self.staged)
             return [F.coalesce(F.get(a, F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(self.names)]
         text = F.coalesce(src.cast("string"), F.lit("missing"))
         return [(text == v).cast("double").alias(n) for v, n in zip(self.values, self.names)]
 
+    @property
+    def staged(self) -> str:
+        return f"_sf_array_{self.source}"
+
+    def stage(self, raw_kind: str) -> Column:
+        """The parsed array: a column of its own, so the text is parsed once per row."""
+        src = F.col(f"`{self.source}`")
+        return parse_array(src) if raw_kind == "string" else src.cast("array<double>")
+
 
 @dataclass(frozen=True)
 class FeatureSpec:
@@ -55,15 +63,21 @@ class FeatureSpec:
     def names(self) -> list[str]:
         return [n for f in self.features for n in f.names]
 
+    def _columns(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        kinds = dict(df.dtypes)
+        arrays = {f.staged: f.stage(kinds[f.source]) for f in self.features if f.kind == "array"}
+        staged = df.withColumns(arrays) if arrays else df
+        return staged, [c for f in self.features for c in f.columns(kinds[f.source])]
+
     def expand(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """``keep`` columns plus one double column per feature, in one projection."""
-        kinds = dict(df.dtypes)
-        return df.select(*keep, *[c for f in self.features for c in f.columns(kinds[f.source])])
+        staged, cols = self._columns(df)
+        return staged.select(*keep, *cols)
 
     def vector(self, df: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
         """``keep`` columns plus one array column: wide feature sets stay one column."""
-        kinds = dict(df.dtypes)
-        return df.select(*keep, F.array(*[c for f in self.features for c in f.columns(kinds[f.source])]).alias(out))
+        staged, cols = self._columns(df)
+        return staged.select(*keep, F.array(*cols).alias(out))
 
 
 def impute_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:

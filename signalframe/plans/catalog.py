@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import cleaning, evaluation, profiles, ranking  # noqa: F401
+from . import cleaning, evaluation, experiments, profiles, ranking, sampling, signals  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
