@@ -50,26 +50,47 @@ def slug(x: Column, empty: str = "run", unicode_letters: bool = False) -> Column
     return F.coalesce(F.nullif(F.regexp_replace(dashed, "^-+|-+$", ""), F.lit("")), F.lit(empty))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _unwrapped(s: Column) -> Column:
+    """Text without an enclosing array(...)."""
+    inside = F.trim(F.substring(s, F.lit(7), F.length(s) - 7))
+    return F.when(s.startswith("array(") & s.endswith(")"), inside).otherwise(s)
+
+
+def _listed(s: Column) -> Column:
+    """Text between the outer brackets, null when there are none."""
+    return F.when(s.startswith("[") & s.endswith("]") & (F.length(s) >= 2), F.trim(F.substring(s, F.lit(2), F.length(s) - 2)))
+
+
+def _numbers(inner: Column) -> Column:
+    # Nested lists flatten by blanking their punctuation; the pattern search is only for text with other words.
+    blank = F.translate(F.replace(inner, F.lit("array"), F.lit(" ")), "[](),", "     ")
+    words = F.filter(F.split(blank, " "), lambda w: w != "")
+
+    def found(_: Column) -> Column:
+        return F.transform(F.regexp_extract_all(inner, F.lit(FLOAT_PATTERN), F.lit(0)), lambda w: w.try_cast("double"))
+
+    def result(v: Column) -> Column:
+        clean = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())
+        return F.when(clean, v).otherwise(let(found(inner), lambda f: F.when(F.size(f) > 0, f)))
+
+    return let(F.transform(words, lambda w: w.try_cast("double")), result)
+
+
 def parse_array(text: Column) -> Column:
     """ARRAY<DOUBLE> from "[1.0, 2.0]", "array([1, 2])" or nested array text; null when it is none.
 
-    An empty pair of brackets is an empty array.  Plain lists of numbers are split on blanks; any
-    other bracketed text falls back to every number found in it.
+    An empty pair of brackets is an empty array.  Bracketed text with other words in it falls back
+    to every number found.
     """
-    body = F.trim(F.regexp_replace(text, r"[\n\r\t]", " "))
-    body = F.when(body.startswith("array(") & body.endswith(")"),
-                  F.trim(F.regexp_extract(body, r"^array\((.*)\)$", 1))).otherwise(body)
-    listed = body.startswith("[") & body.endswith("]") & (F.length(body) >= 2)
-    inner = F.trim(F.regexp_replace(F.regexp_extract(body, r"^\[(.*)\]$", 1), ",", " "))
-    tokens = F.transform(F.split(inner, r"\s+"), lambda t: t.try_cast("double"))
-    plain = ~F.exists(tokens, lambda v: v.isNull())
-    found = F.transform(F.regexp_extract_all(inner, F.lit(FLOAT_PATTERN), F.lit(0)), lambda t: t.try_cast("double"))
-    return (
-        F.when(~listed, F.lit(None).cast("array<double>"))
-        .when(inner == "", F.array().cast("array<double>"))
-        .when(plain, tokens)
-        .when(F.size(found) > 0, found)
-    )
+    flat = F.trim(F.translate(text, "\n\r\t", "   "))
+    empty = F.array().cast("array<double>")
+    return let(flat, lambda s: let(_unwrapped(s), lambda u: let(_listed(u), lambda i: F.when(i == "", empty).when(
+        i.isNotNull(), _numbers(i)))))
 
 
 def prefix_of(name: Column) -> Column:

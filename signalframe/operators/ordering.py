@@ -13,12 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import hash_key
 
 DEFAULT_BUCKETS = 256
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 SMALL_ROWS = 50_000
+SMALL_GROUP = 2_000_000
 
 
 def bounded_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -34,11 +37,17 @@ def bounded_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def split_points(df: DataFrame, value: str, buckets: int = DEFAULT_BUCKETS, sample: int = 4096) -> list:
-    """Boundaries that cut the distinct values of ``value`` into about equal buckets.
+    """Sorted boundaries that cut the rows of ``value`` into about equal buckets.
 
-    The sample is the ``sample`` distinct values with the smallest hashes: one top-k pass, the same
-    on every run.  A poor sample only makes buckets uneven, never the result wrong.
+    Numbers use a quantile sketch, one pass that combines on the map side: a bucket holds about
+    1/buckets of the rows, or one repeated value.  Other types use the ``sample`` distinct values
+    with the smallest hashes.  A poor cut only makes buckets uneven, never the result wrong.
     """
+    kind = dict(df.dtypes)[value]
+    if kind in NUMBERS:
+        grid = [i / buckets for i in range(1, buckets)]
+        cuts = df.agg(F.percentile_approx(value, grid, 20 * buckets).alias("q")).first()["q"]
+        return sorted(set(cuts or []))
     picked = (
         df.select(value).where(F.col(value).isNotNull()).distinct()
         .orderBy(F.xxhash64(value), value).limit(sample)
@@ -50,12 +59,20 @@ def split_points(df: DataFrame, value: str, buckets: int = DEFAULT_BUCKETS, samp
     return [values[int(i * step)] for i in range(1, buckets)]
 
 
-def bucket_of(value: Column, points: list) -> Column:
-    """Number of boundaries at or below the value."""
+def with_bucket(df: DataFrame, value: str, points: list, out: str = "_sf_b") -> DataFrame:
+    """Add the number of boundaries at or below the value, by binary search for numbers.
+
+    The bucket is never null, so a join on it adds no null test that would search a second time.
+    """
     if not points:
-        return F.lit(0)
-    bounds = F.array(*[F.lit(p) for p in points])
-    return F.size(F.filter(bounds, lambda b: b <= value))
+        return df.withColumn(out, F.lit(0))
+    if dict(df.dtypes)[value] in NUMBERS:
+        edges = [float("-inf"), *[float(p) for p in points], float("inf")]
+        search = Bucketizer(splits=edges, inputCol="_sf_num", outputCol="_sf_bucket", handleInvalid="keep")
+        found = search.transform(df.withColumn("_sf_num", F.col(value).cast("double")))
+        return found.withColumn(out, F.coalesce(F.col("_sf_bucket").cast("int"), F.lit(0))).drop("_sf_num", "_sf_bucket")
+    at_or_below = F.size(F.filter(F.lit(points), lambda p: p <= F.col(value)))
+    return df.withColumn(out, F.coalesce(at_or_below, F.lit(0)))
 
 
 def running_sums(
@@ -72,7 +89,7 @@ def running_sums(
     (group, bucket); only the bucket totals, at most ``buckets`` rows per group, are ordered whole.
     """
     by = list(by)
-    keyed = df.withColumn("_sf_b", bucket_of(F.col(order_col), split_points(df, order_col, buckets)))
+    keyed = with_bucket(df, order_col, split_points(df, order_col, buckets))
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     totals = keyed.groupBy(*by, "_sf_b").agg(*[F.sum(c).alias(f"_sf_t_{c}") for c in sums])
     before = W.partitionBy(*by).orderBy(direction("_sf_b")).rowsBetween(W.unboundedPreceding, -1)
@@ -91,45 +108,63 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int = 4 * DEFAULT_BUCKETS,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """(by..., prob, quantile): linear-interpolated quantiles of the non-null values.
 
-    The built-in exact percentile keeps every distinct value of a group in one task.  Here values
-    are pre-counted, and only the buckets that hold a wanted rank are ordered.
+    The built-in exact percentile keeps every distinct value of a group in one task, so it is used
+    only when no group has more than ``small_group`` rows.  Otherwise three scans shuffle little: a
+    sketch for bucket bounds, a histogram that says which buckets hold the wanted ranks, and an
+    ordering of just those buckets, 1/buckets of the rows each.
     """
     by = list(by)
-    keep = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    counts = keep.groupBy(*by, F.col(value).cast("double").alias("_sf_v")).agg(F.count("*").alias("_sf_n"))
-    points = split_points(counts, "_sf_v", buckets)
-    counts = counts.withColumn("_sf_b", bucket_of(F.col("_sf_v"), points))
-    totals = counts.groupBy(*by, "_sf_b").agg(F.sum("_sf_n").alias("_sf_t"))
+    keep = df.select(*by, F.col(value).cast("double").alias("_sf_v")).where("_sf_v IS NOT NULL AND NOT isnan(_sf_v)")
+    largest = keep.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= small_group:
+        grid = F.array(*[F.lit(float(p)) for p in probs])
+        found = keep.groupBy(*by).agg(F.percentile("_sf_v", grid).alias("_sf_q"))
+        return found.select(*by, F.inline(F.arrays_zip(grid.alias("prob"), F.col("_sf_q").alias("quantile")))).toDF(*by, "prob", "quantile")
+    points = split_points(keep, "_sf_v", buckets)
+    totals = with_bucket(keep, "_sf_v", points).groupBy(*by, "_sf_b").agg(F.count("*").alias("_sf_t"))
     whole = W.partitionBy(*by)
     upto = whole.orderBy("_sf_b").rowsBetween(W.unboundedPreceding, 0)
     totals = totals.withColumns(
         {"_sf_hi": F.sum("_sf_t").over(upto), "_sf_total": F.sum("_sf_t").over(whole)}
     ).withColumn("_sf_lo", F.col("_sf_hi") - F.col("_sf_t"))
-    wanted = totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     pos = F.col("prob") * (F.col("_sf_total") - 1)
+    wanted = totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     wanted = wanted.withColumns({"_sf_pos": pos, "_sf_k": F.floor(pos)}).withColumn(
         "_sf_rank", F.explode(F.array(F.col("_sf_k"), F.least(F.col("_sf_k") + 1, F.col("_sf_total") - 1)))
     )
     wanted = wanted.where((F.col("_sf_rank") >= F.col("_sf_lo")) & (F.col("_sf_rank") < F.col("_sf_hi")))
-    wanted = wanted.select(*by, "_sf_b", "_sf_lo", "prob", "_sf_pos", "_sf_k", "_sf_rank")
-    targets = wanted.select(*by, "_sf_b", "_sf_lo").distinct()
-    inside = W.partitionBy(*by, "_sf_b").orderBy("_sf_v").rowsBetween(W.unboundedPreceding, 0)
-    ordered = (
-        counts.join(targets, [*by, "_sf_b"])
-        .withColumn("_sf_end", F.col("_sf_lo") + F.sum("_sf_n").over(inside))
-        .withColumn("_sf_start", F.col("_sf_end") - F.col("_sf_n"))
-        .drop("_sf_lo")
+    # NaN sorts above every number, so it closes the last bucket even for infinite values.
+    bounds = F.lit([float("-inf"), *points]), F.lit([*points, float("nan")])
+    wanted = wanted.select(
+        *by, "_sf_b", "_sf_lo", "prob", "_sf_pos", "_sf_k", "_sf_rank",
+        F.get(bounds[0], F.col("_sf_b")).alias("_sf_from"), F.get(bounds[1], F.col("_sf_b")).alias("_sf_to"),
     )
-    hit = ordered.join(wanted.drop("_sf_lo"), [*by, "_sf_b"]).where(
+    wanted = bounded_side(wanted)
+    ranges = wanted.select(*by, "_sf_b", "_sf_lo", "_sf_from", "_sf_to").distinct()
+    v = F.col("_sf_v")
+    if by:
+        inside = keep.join(bounded_side(ranges), by).where((v >= F.col("_sf_from")) & (v < F.col("_sf_to")))
+    else:
+        few = ranges.collect()  # at most two per probability
+        near = F.lit(False)
+        for r in few:
+            near = near | ((v >= F.lit(r["_sf_from"])) & (v < F.lit(r["_sf_to"])))
+        inside = with_bucket(keep.where(near), "_sf_v", points).join(bounded_side(ranges), "_sf_b")
+    counts = inside.groupBy(*by, "_sf_b", "_sf_lo", "_sf_v").agg(F.count("*").alias("_sf_n"))
+    order = W.partitionBy(*by, "_sf_b").orderBy("_sf_v").rowsBetween(W.unboundedPreceding, 0)
+    placed = counts.withColumn("_sf_end", F.col("_sf_lo") + F.sum("_sf_n").over(order))
+    placed = placed.withColumn("_sf_start", F.col("_sf_end") - F.col("_sf_n")).drop("_sf_lo")
+    hit = placed.join(wanted.drop("_sf_lo", "_sf_from", "_sf_to"), [*by, "_sf_b"]).where(
         (F.col("_sf_rank") >= F.col("_sf_start")) & (F.col("_sf_rank") < F.col("_sf_end"))
     )
-    low = F.max(F.when(F.col("_sf_rank") == F.col("_sf_k"), F.col("_sf_v")))
-    high = F.max(F.when(F.col("_sf_rank") == F.col("_sf_k") + 1, F.col("_sf_v")))
-    frac = F.first("_sf_pos") - F.first("_sf_k")
+    low = F.max(F.when(F.col("_sf_rank") == F.col("_sf_k"), v))
+    high = F.max(F.when(F.col("_sf_rank") == F.col("_sf_k") + 1, v))
+    frac = F.max("_sf_pos") - F.max("_sf_k")
     return hit.groupBy(*by, "prob").agg((low + (F.coalesce(high, low) - low) * frac).alias("quantile"))
 
 

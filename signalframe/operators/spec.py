@@ -87,17 +87,27 @@ def impute_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(columns)}
 
 
+def array_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, share, width): share of non-null texts that parse as arrays, and the longest array."""
+    parsed = df.select(*[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(columns)],
+                       *[parse_array(F.col(f"`{c}`")).alias(f"a{i}") for i, c in enumerate(columns)])
+    aggs = []
+    for i in range(len(columns)):
+        ok = F.when(F.col(f"t{i}").isNotNull(), F.col(f"a{i}").isNotNull().cast("double"))
+        aggs += [F.avg(ok).alias(f"s{i}"), F.max(F.size(f"a{i}")).alias(f"w{i}")]
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.coalesce(f"s{i}", F.lit(0.0)).alias("share"),
+                 F.greatest(F.coalesce(f"w{i}", F.lit(0)), F.lit(0)).alias("width"))
+        for i, c in enumerate(columns)
+    ]
+    return parsed.agg(*aggs).select(F.inline(F.array(*cells)))
+
+
 def array_profile(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, int]]:
-    """Per text column: share of non-null values that parse as arrays, and the longest one."""
+    """``array_shares`` as {column: (share, width)}."""
     if not columns:
         return {}
-    aggs = []
-    for i, c in enumerate(columns):
-        a = parse_array(F.col(f"`{c}`"))
-        ok = F.when(F.col(f"`{c}`").isNotNull(), a.isNotNull().cast("double"))
-        aggs += [F.avg(ok).alias(f"s{i}"), F.max(F.size(a)).alias(f"w{i}")]
-    row = df.agg(*aggs).first()
-    return {c: (row[f"s{i}"] or 0.0, max(row[f"w{i}"] or 0, 0)) for i, c in enumerate(columns)}
+    return {r["column"]: (r["share"], r["width"]) for r in array_shares(df, columns).collect()}
 
 
 def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list[str]:

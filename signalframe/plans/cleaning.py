@@ -119,9 +119,7 @@ SQL_ARRAYS = """arr0 AS (
        f"""WITH {SQL_ARRAYS} SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE 1.0 END) FILTER (NOT is_null), 6) AS share,
 CAST(max(len(a)) AS INT) AS width FROM arr""")
 def detect_array_column(spark, d):
-    a = parse_array(F.col("payload"))
-    ok = F.when(F.col("payload").isNotNull(), a.isNotNull().cast("double"))
-    return array_texts(spark, d).agg(rounded(F.avg(ok)).alias("share"), F.max(F.size(a)).alias("width"))
+    return spec.array_shares(array_texts(spark, d), ["payload"]).select(rounded("share").alias("share"), "width")
 
 
 @query("parse_array_text", "PRJ-9",

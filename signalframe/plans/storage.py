@@ -26,13 +26,13 @@ PART_COLS = "p_partkey, p_name, p_brand, p_size, p_retailprice"
 @query("csv_scan", "SRC-1 SNK-3", f"SELECT {PART_COLS} FROM part")
 def csv_scan(spark, d):
     path = sinks.write_csv(table(spark, d, "part").select(*PART_COLS.split(", ")), work_path(spark, "part"))
-    return readers.read_csv(spark, path, "p_partkey bigint, p_name string, p_brand string, p_size int, p_retailprice double")
+    return readers.read_csv(spark, path, "p_partkey bigint, p_name string, p_brand string, p_size int, p_retailprice double", multiline=False)
 
 
 @query("csv_scan_inferred", "SRC-1", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def csv_scan_inferred(spark, d):
     path = sinks.write_csv(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), work_path(spark, "orders"))
-    return readers.read_csv(spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), rounded(F.sum("o_totalprice"), 2).alias("total"))
+    return readers.read_csv(spark, path, multiline=False).groupBy("o_orderstatus").agg(F.count("*").alias("n"), rounded(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("parquet_scan", "SRC-2", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY ALL")

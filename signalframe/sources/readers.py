@@ -48,9 +48,14 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None) -> DataFrame:
-    """CSV with a header.  Give a schema for large inputs: without one the data is read twice."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, multiline: bool = True) -> DataFrame:
+    """CSV with a header.
+
+    Array texts may hold line breaks inside quotes, so quoted breaks are read by default; that keeps
+    each file in one task.  Pass ``multiline=False`` for large files without them, which lets Spark
+    split a file, and a ``schema``, which saves the pass that infers one.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
@@ -76,7 +81,7 @@ def read_directory(spark: SparkSession, path: str, first_only: bool = False) ->
         if first_only:
             return read(spark, first)
         if pattern == "*.csv":
-            return spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", pattern).csv(path)
+            return read_csv(spark, f"{path.rstrip('/')}/*.csv")
         return spark.read.option("pathGlobFilter", pattern).parquet(path)
     raise ValueError(f"no CSV or Parquet file in {path}")
 
