@@ -67,7 +67,7 @@ def sorted_quantile(s: Column, q: float) -> Column:
     lo = F.floor(pos).cast("int")
     low = F.get(s, lo)
     high = F.coalesce(F.get(s, lo + 1), low)
-    return low + (high - low) * (pos - lo)
+    return F.when(pos == lo, low).otherwise(low + (high - low) * (pos - lo))
 
 
 def pairwise_steps(a: Column, f) -> Column:

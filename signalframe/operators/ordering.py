@@ -165,7 +165,8 @@ def exact_quantiles(
     low = F.max(F.when(F.col("_sf_rank") == F.col("_sf_k"), v))
     high = F.max(F.when(F.col("_sf_rank") == F.col("_sf_k") + 1, v))
     frac = F.max("_sf_pos") - F.max("_sf_k")
-    return hit.groupBy(*by, "prob").agg((low + (F.coalesce(high, low) - low) * frac).alias("quantile"))
+    between = F.when(frac == 0, low).otherwise(low + (F.coalesce(high, low) - low) * frac)
+    return hit.groupBy(*by, "prob").agg(between.alias("quantile"))
 
 
 def hash_cutoffs(

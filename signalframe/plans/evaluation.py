@@ -179,14 +179,14 @@ def overfit_gap(spark, d):
 
 @query("risk_notes", "EVAL-12",
        f"""WITH {SQL_RUNS}, r AS (SELECT *, train_accuracy - accuracy AS gap, min(accuracy) OVER (PARTITION BY supp) AS low FROM runs)
-SELECT run_dir, CASE WHEN gap > 0.1 THEN 'possible_overfit_gap=' || printf('%.3f', round(gap, 6)) ELSE 'train_val_gap_stable=' || printf('%.3f', round(gap, 6)) END
+SELECT run_dir, CASE WHEN gap > 0.1 THEN 'possible_overfit_gap=' || printf('%.3f', round(gap, 9)) ELSE 'train_val_gap_stable=' || printf('%.3f', round(gap, 9)) END
   || CASE WHEN train_accuracy >= 0.95 THEN CASE WHEN low >= 0.95 THEN '; high_score_persists_across_ablations' ELSE '; high_score_sensitive_to_feature_subset' END ELSE '' END AS note,
   CASE WHEN gap >= 0.05 THEN 'High overfitting risk detected' ELSE 'Overfitting risk acceptable' END AS verdict
 FROM r""")
 def risk_notes(spark, d):
     r = run_table(spark, d)
     low = r.groupBy("supp").agg(F.min("accuracy").alias("low"))
-    gap = F.round(F.col("train_accuracy") - F.col("accuracy"), 6)
+    gap = F.round(F.col("train_accuracy") - F.col("accuracy"), 9)
     return r.join(low, "supp").select(
         "run_dir", ev.risk_note(gap, F.col("train_accuracy"), F.col("low")).alias("note"),
         F.split(ev.gap_warning(gap), ":")[0].alias("verdict"),

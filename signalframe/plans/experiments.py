@@ -36,13 +36,13 @@ def benchmark_ranking(spark, d):
 
 
 @query("ablation_deltas", "WIN-3 EXP-11",
-       f"""WITH {SQL_RUNS}, b AS (SELECT *, round(accuracy - first_value(accuracy) OVER (PARTITION BY supp ORDER BY line), 6) + 0.0 AS delta FROM runs)
+       f"""WITH {SQL_RUNS}, b AS (SELECT *, round(accuracy - first_value(accuracy) OVER (PARTITION BY supp ORDER BY line), 9) + 0.0 AS delta FROM runs)
 SELECT supp, task_name AS variant, accuracy AS score, delta, task_name || ': ' || printf('%.4f', accuracy) || ' (delta ' || printf('%+.4f', delta) || ' vs baseline)' AS note FROM b""")
 def ablation_deltas(spark, d):
     """Every line number of a supplier is a variant; the first one is the baseline."""
     r = run_table(spark, d)
     a = r.select("supp", "line", F.col("task_name").alias("variant"), F.col("accuracy").alias("score"))
-    out = runs.delta_to_first(a, "line", "score", ["supp"]).withColumn("delta", rounded("delta"))
+    out = runs.delta_to_first(a, "line", "score", ["supp"]).withColumn("delta", rounded("delta", 9))
     return out.select("supp", "variant", "score", "delta", runs.ablation_note(F.col("variant"), F.col("score"), F.col("delta")).alias("note"))
 
 
@@ -52,10 +52,10 @@ def ablation_summary(spark, d):
 
 
 @query("epoch_gaps", "WIN-4",
-       f"WITH {SQL_RUNS} SELECT supp, round(max(train_accuracy - accuracy), 6) + 0.0 AS max_gap FROM runs GROUP BY supp")
+       f"WITH {SQL_RUNS} SELECT supp, round(max(train_accuracy - accuracy), 9) + 0.0 AS max_gap FROM runs GROUP BY supp")
 def epoch_gaps(spark, d):
     g = runs.epoch_gaps(run_table(spark, d), "train_accuracy", "accuracy")
-    return g.groupBy("supp").agg(rounded(F.max("overfitting_gap")).alias("max_gap"))
+    return g.groupBy("supp").agg(rounded(F.max("overfitting_gap"), 9).alias("max_gap"))
 
 
 @query("sorted_runs", "SRT-1", f"WITH {SQL_RUNS} SELECT {', '.join(COLS)} FROM runs ORDER BY dataset, task_name, accuracy DESC, f1 DESC")
@@ -162,12 +162,12 @@ def cv_aggregate(spark, d):
 
 @query("fold_summary_rows", "AGG-20",
        f"""WITH {SQL_RUNS}, m AS (SELECT model_name FROM runs GROUP BY 1 ORDER BY count(*) DESC, model_name LIMIT 1)
-SELECT CAST(line AS VARCHAR) AS fold, model_name, accuracy, f1 FROM runs
-UNION ALL SELECT 'mean', (FROM m), round(avg(accuracy), 6), round(avg(f1), 6) FROM runs UNION ALL SELECT 'std', (FROM m), round(stddev_pop(accuracy), 6), round(stddev_pop(f1), 6) FROM runs""")
+SELECT CAST(line AS VARCHAR) AS fold, model_name, round(accuracy, 9) AS accuracy, round(f1, 9) AS f1 FROM runs
+UNION ALL SELECT 'mean', (FROM m), round(avg(accuracy), 9), round(avg(f1), 9) FROM runs UNION ALL SELECT 'std', (FROM m), round(stddev_pop(accuracy), 9), round(stddev_pop(f1), 9) FROM runs""")
 def fold_summary_rows(spark, d):
     r = run_table(spark, d).select(F.col("line").alias("fold"), "model_name", "accuracy", "f1")
     f = runs.with_fold_summary(r, ["accuracy", "f1"])
-    return f.select("fold", "model_name", rounded("accuracy").alias("accuracy"), rounded("f1").alias("f1"))
+    return f.select("fold", "model_name", rounded("accuracy", 9).alias("accuracy"), rounded("f1", 9).alias("f1"))
 
 
 @query("distinct_labels", "AGG-21", f"""WITH {SQL_RUNS} SELECT DISTINCT 'dataset' AS "column", dataset AS value FROM runs UNION ALL SELECT DISTINCT 'task_name', task_name FROM runs""")
@@ -248,10 +248,9 @@ def training_history(spark, d):
 
 
 @query("single_epoch_history", "EXP-10",
-       f"""WITH {SQL_RUNS} SELECT run_dir, 1 AS epoch, round(1 - accuracy, 6) AS train_loss, round(1 - f1, 6) AS val_loss, accuracy, f1, accuracy AS train_score, accuracy AS val_score, 0.0::DOUBLE AS learning_rate FROM runs""")
+       f"""WITH {SQL_RUNS} SELECT run_dir, 1 AS epoch, 1 - accuracy AS train_loss, 1 - f1 AS val_loss, accuracy, f1, accuracy AS train_score, accuracy AS val_score, 0.0::DOUBLE AS learning_rate FROM runs""")
 def single_epoch_history(spark, d):
-    h = runs.single_history_row(run_table(spark, d), ["run_dir"])
-    return h.withColumns({"train_loss": rounded("train_loss"), "val_loss": rounded("val_loss")})
+    return runs.single_history_row(run_table(spark, d), ["run_dir"])
 
 
 def _epoch_sql(up: str) -> str:

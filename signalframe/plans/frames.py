@@ -121,10 +121,14 @@ MODELS = ("random_forest", "logistic_regression", "bagged_logistic_regression",
 
 def run_table(spark: SparkSession, d: str) -> DataFrame:
     """A run history: one run per (supplier, line number) with scores aggregated from the line items."""
+    def hundredths(c: str):
+        return F.round(F.col(c) * 100).cast("bigint")
+
     li = table(spark, d, "lineitem")
     g = li.groupBy("l_suppkey", "l_linenumber").agg(
-        F.round(F.avg("l_discount") * 10, 6).alias("accuracy"),
-        F.round(F.avg("l_tax") * 12, 6).alias("f1"),
+        # Whole hundredths are summed, so the scores do not depend on the order of summation.
+        (F.sum(hundredths("l_discount")) / (F.lit(10.0) * F.count("*"))).alias("accuracy"),
+        (F.sum(hundredths("l_tax")) * 12.0 / (F.lit(100.0) * F.count("*"))).alias("f1"),
         F.round(F.max("l_discount") * 10, 6).alias("train_accuracy"),
         F.round(F.min("l_tax") * 12, 6).alias("minority_f1"),
         F.max("l_returnflag").alias("flag"),
@@ -154,7 +158,9 @@ SQL_RUNS = """runs AS (
          CAST(42 + 10 * (l_suppkey % 2) AS INT) AS seed,
          CASE WHEN l_suppkey % 3 = 0 THEN 'pretrain' ELSE 'single_task' END AS mode,
          CASE WHEN l_suppkey % 4 = 0 THEN 'freeze' WHEN l_suppkey % 4 = 1 THEN '' END AS transfer_strategy,
-         round(avg(l_discount) * 10, 6) AS accuracy, round(avg(l_tax) * 12, 6) AS f1, round(avg(l_tax) * 12, 6) AS macro_f1,
+         sum(round(l_discount * 100)::BIGINT)::DOUBLE / (10.0::DOUBLE * count(*)) AS accuracy,
+         sum(round(l_tax * 100)::BIGINT)::DOUBLE * 12.0::DOUBLE / (100.0::DOUBLE * count(*)) AS f1,
+         sum(round(l_tax * 100)::BIGINT)::DOUBLE * 12.0::DOUBLE / (100.0::DOUBLE * count(*)) AS macro_f1,
          round(min(l_tax) * 12, 6) AS minority_f1, round(max(l_discount) * 10, 6) AS train_accuracy,
          CAST(l_linenumber AS INT) AS line, l_suppkey AS supp
   FROM lineitem GROUP BY l_suppkey, l_linenumber
