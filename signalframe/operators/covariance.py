@@ -22,49 +22,75 @@ STATS = ("eig_max", "eig_min", "eig_spread", "trace_ed", "mme", "rle", "cav", "c
 # Scalars that interact with the detector statistics, and which ones (fixed values).
 SCALARS = ("power_dB", "spectral_entropy", "freq_bin", "Frequency_Band")
 INTERACTING = ("trace_ed", "mme", "coherence")
+BASIC = ("norm", "mean", "std")
 
 
-def _nonzero(x: Column, floor: float = 1e-15) -> Column:
-    return F.when(F.abs(x) < floor, F.lit(floor)).otherwise(x)
+# The statistics as SQL text: a wide frame needs hundreds of them, and text is parsed in one call each.
 
 
-def hermitian_stats(a: Column, start: int = 0) -> dict[str, Column]:
-    """The ten statistics of the block that starts at element ``start``."""
-    e = [F.get(a, F.lit(start + k)) for k in range(BLOCK)]
-    top, low = e[0], e[3]
-    re_part, im_part = (e[1] + e[2]) / 2.0, (e[5] - e[6]) / 2.0
-    off2 = re_part * re_part + im_part * im_part
-    off = F.sqrt(off2)
-    half = (top - low) / 2.0
-    radius = F.sqrt(half * half + off2)
-    mid = (top + low) / 2.0
-    big, small = mid + radius, mid - radius
-    trace, det = top + low, top * low - off2
-    diag = F.abs(top) + F.abs(low)
+def _entries(array: str, start: int) -> tuple[str, str, str]:
+    """Both diagonal entries and the squared size of the off-diagonal one, after symmetrising."""
+    e = [f"get(`{array}`, {start + k})" for k in range(BLOCK)]
+    re_part, im_part = f"(({e[1]} + {e[2]}) / 2D)", f"(({e[5]} - {e[6]}) / 2D)"
+    return e[0], e[3], f"({re_part} * {re_part} + {im_part} * {im_part})"
+
+
+def _stats(top: str, low: str, off2: str) -> dict[str, str]:
+    half = f"(({top} - {low}) / 2D)"
+    radius = f"sqrt({half} * {half} + {off2})"
+    mid = f"(({top} + {low}) / 2D)"
+    big, small = f"({mid} + {radius})", f"({mid} - {radius})"
+    trace, det = f"({top} + {low})", f"({top} * {low} - {off2})"
+    diag = f"(abs({top}) + abs({low}))"
     return {
         "eig_max": big,
         "eig_min": small,
-        "eig_spread": big - small,
+        "eig_spread": f"{big} - {small}",
         "trace_ed": trace,
-        "mme": big / F.abs(_nonzero(small)),
-        "rle": big / F.abs(_nonzero(trace)),
-        "cav": diag / F.greatest(diag + 2.0 * off, F.lit(1e-15)),
-        "coherence": off / F.greatest(F.sqrt(F.abs(top) * F.abs(low)), F.lit(1e-15)),
+        "mme": f"{big} / greatest(abs({small}), 1e-15D)",
+        "rle": f"{big} / greatest(abs({trace}), 1e-15D)",
+        "cav": f"{diag} / greatest({diag} + 2D * sqrt({off2}), 1e-15D)",
+        "coherence": f"sqrt({off2}) / greatest(sqrt(abs({top}) * abs({low})), 1e-15D)",
         "det": det,
-        "log_det": F.ln(F.greatest(F.abs(det), F.lit(1e-30))),
+        "log_det": f"ln(greatest(abs({det}), 1e-30D))",
     }
 
 
+def hermitian_stats(array: str, start: int = 0) -> dict[str, Column]:
+    """The ten statistics of the block of an array column that starts at element ``start``."""
+    return {k: F.expr(text) for k, text in _stats(*_entries(array, start)).items()}
+
+
+def add_block_stats(df: DataFrame, blocks: dict[str, tuple[str, int]]) -> DataFrame:
+    """``<name>_<statistic>`` for every {name: (array column, start)}.
+
+    The matrix entries are columns of a first projection, so each statistic stays a small
+    expression and the generated code stays below its size limit for many sensors.
+    """
+    entries = {}
+    for name, (array, start) in blocks.items():
+        for part, text in zip(("top", "low", "off2"), _entries(array, start)):
+            entries[f"_sf_{name}_{part}"] = text
+    stats = {f"{name}_{k}": text for name in blocks
+             for k, text in _stats(*[f"`_sf_{name}_{p}`" for p in ("top", "low", "off2")]).items()}
+    staged = df.selectExpr("*", *[f"{text} AS `{n}`" for n, text in entries.items()])
+    return staged.selectExpr("*", *[f"{text} AS `{n}`" for n, text in stats.items()]).drop(*entries)
+
+
+def _mean_text(cols: Sequence[str]) -> str:
+    return f"({' + '.join(f'`{c}`' for c in cols)}) / {len(cols)}D"
+
+
+def _spread_text(cols: Sequence[str], mean: str) -> str:
+    squares = " + ".join(f"(`{c}` - `{mean}`) * (`{c}` - `{mean}`)" for c in cols)
+    return f"sqrt(({squares}) / {len(cols)}D)"
+
+
 def basic_stats(a: Column) -> dict[str, Column]:
     """norm, mean and population std, for arrays that are no 2x2 block."""
     return {"norm": l2_norm(a), "mean": array_mean(a), "std": array_std(a)}
 
 
-def block_stats(a: Column, width: int) -> dict[str, Column]:
-    """Detector statistics of a single block, or the basic ones for any other width."""
-    return hermitian_stats(a) if width == BLOCK else basic_stats(a)
-
-
 def is_blocked(width: int) -> bool:
     return width >= BLOCK and width % BLOCK == 0
 
@@ -83,27 +109,21 @@ def repeated_blocks(df: DataFrame, array: str, width: int) -> bool:
     return bool(df.agg(F.bool_and(row_ok).alias("same")).first()["same"])
 
 
-def temporal_stats(a: Column, width: int, repeated: bool) -> dict[str, Column]:
-    """Statistics over the time blocks of one sensor.
+def temporal_summary(df: DataFrame, sensor: str, blocks: Sequence[str]) -> DataFrame:
+    """Mean, spread and first-to-last change of every statistic over the time blocks of a sensor.
 
-    Repeated blocks give ``tmean_*`` of one block.  Otherwise every statistic is averaged over the
-    blocks, with its spread and its change from first to last block.
+    ``blocks`` are the prefixes of the block statistics; they are dropped.
     """
-    if not is_blocked(width):
-        return basic_stats(a)
-    if repeated:
-        return {f"tmean_{k}": c for k, c in hermitian_stats(a).items()}
-    blocks = [hermitian_stats(a, s) for s in range(0, width, BLOCK)]
-    n = len(blocks)
-    out: dict[str, Column] = {}
-    means = {k: add_all([b[k] for b in blocks]) / n for k in STATS}
-    for k in STATS:
-        out[f"tmean_{k}"] = means[k]
-    for k in STATS:
-        out[f"tstd_{k}"] = F.sqrt(add_all([(b[k] - means[k]) * (b[k] - means[k]) for b in blocks]) / n)
-    for k in STATS:
-        out[f"tdelta_{k}"] = F.abs(blocks[-1][k] - blocks[0][k])
-    return out
+    def of(k: str) -> list[str]:
+        return [f"{b}_{k}" for b in blocks]
+
+    mean = {k: f"{sensor}_phys_tmean_{k}" for k in STATS}
+    out = df.selectExpr("*", *[f"{_mean_text(of(k))} AS `{mean[k]}`" for k in STATS])
+    out = out.selectExpr(
+        "*", *[f"{_spread_text(of(k), mean[k])} AS `{sensor}_phys_tstd_{k}`" for k in STATS],
+        *[f"abs(`{of(k)[-1]}` - `{of(k)[0]}`) AS `{sensor}_phys_tdelta_{k}`" for k in STATS],
+    )
+    return out.drop(*[c for k in STATS for c in of(k)])
 
 
 def sensor_arrays(names: Sequence[str], suffix: str) -> dict[str, list[str]]:
@@ -146,31 +166,41 @@ def covariance_features(df: DataFrame, widths: dict[str, dict[str, int]]) -> Dat
     a first projection; cross-sensor features read its columns, so eigenvalues are computed once.
     """
     cov, temporal = widths.get("cov_flat", {}), widths.get("temporal_cov", {})
-    first: dict[str, Column] = {}
+    blocks: dict[str, tuple[str, int]] = {}
+    plain: dict[str, Column] = {}
     per_sensor: dict[str, list[str]] = {}
+    over_time: dict[str, list[str]] = {}
     for p, w in cov.items():
-        stats = block_stats(F.col(p), w)
-        per_sensor[p] = list(stats)
-        first.update({f"{p}_phys_{k}": c for k, c in stats.items()})
+        per_sensor[p] = list(STATS) if w == BLOCK else list(BASIC)
+        if w == BLOCK:
+            blocks[f"{p}_phys"] = (p, 0)
+        else:
+            plain.update({f"{p}_phys_{k}": c for k, c in basic_stats(F.col(p)).items()})
     for p, w in temporal.items():
-        again = repeated_blocks(df, p, w)
-        first.update({f"{p}_phys_{k}": c for k, c in temporal_stats(F.col(p), w, again).items()})
-    out = df.withColumns(first) if first else df
+        if not is_blocked(w):
+            plain.update({f"{p}_phys_{k}": c for k, c in basic_stats(F.col(p)).items()})
+        elif repeated_blocks(df, p, w):
+            blocks[f"{p}_phys_tmean"] = (p, 0)
+        else:
+            over_time[p] = [f"_sf_{p}_{i}" for i in range(w // BLOCK)]
+            blocks.update({name: (p, i * BLOCK) for i, name in enumerate(over_time[p])})
+    out = df.withColumns(plain) if plain else df
+    if blocks:
+        out = add_block_stats(out, blocks)
+    for p, names in over_time.items():
+        out = temporal_summary(out, p, names)
     sensors = sorted(cov)
     if len(sensors) >= 2:
         out = cross_sensor(out, sensors)
-        shared: dict[str, Column] = {}
-        for pos in range(min(len(per_sensor[p]) for p in sensors)):
-            cols = [F.col(f"{p}_phys_{per_sensor[p][pos]}") for p in sensors]
-            mean = add_all(cols) / len(cols)
-            shared[f"cross_su_cov_{STATS[pos]}_mean"] = mean
-            shared[f"cross_su_cov_{STATS[pos]}_std"] = F.sqrt(add_all([(c - mean) * (c - mean) for c in cols]) / len(cols))
-        out = out.withColumns(shared)
-    mixed = {
-        f"{p}_{k}_x_{s}": F.col(s).cast("double") * F.col(f"{p}_phys_{k}")
+        shared = {STATS[i]: [f"{p}_phys_{per_sensor[p][i]}" for p in sensors]
+                  for i in range(min(len(per_sensor[p]) for p in sensors))}
+        out = out.selectExpr("*", *[f"{_mean_text(c)} AS `cross_su_cov_{k}_mean`" for k, c in shared.items()])
+        out = out.selectExpr("*", *[f"{_spread_text(c, f'cross_su_cov_{k}_mean')} AS `cross_su_cov_{k}_std`" for k, c in shared.items()])
+    mixed = [
+        f"CAST(`{s}` AS DOUBLE) * `{p}_phys_{k}` AS `{p}_{k}_x_{s}`"
         for s in SCALARS if s in df.columns for p in sensors for k in INTERACTING if k in per_sensor[p]
-    }
-    return out.withColumns(mixed) if mixed else out
+    ]
+    return out.selectExpr("*", *mixed) if mixed else out
 
 
 # Larger matrices: eigenvalues have no closed form, so they go to NumPy in Arrow batches.

@@ -6,6 +6,7 @@ md5 order of (seed, id), so the result does not depend on partitioning.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -154,13 +155,18 @@ def sample_quotas(counts: Sequence[int], wanted: int) -> list[int]:
     if wanted >= total:
         return list(counts)
     take = [min(c, max(1, round(wanted * c / total))) for c in counts]
-    while sum(take) > wanted and max(take) > 1:
-        take[max(range(len(take)), key=lambda i: take[i])] -= 1
-    while sum(take) < wanted:
-        i = max(range(len(take)), key=lambda j: counts[j] - take[j])
-        if take[i] >= counts[i]:
-            break
-        take[i] += 1
+    gap = wanted - sum(take)
+    step = 1 if gap > 0 else -1
+    room = (lambda i: counts[i] - take[i]) if gap > 0 else (lambda i: take[i] - 1)
+    size = room if gap > 0 else (lambda i: take[i])
+    heap = [(-size(i), i) for i in range(len(take)) if room(i) > 0]
+    heapq.heapify(heap)
+    while gap and heap:
+        _, i = heapq.heappop(heap)
+        take[i] += step
+        gap -= step
+        if room(i) > 0:
+            heapq.heappush(heap, (-size(i), i))
     return take
 
 

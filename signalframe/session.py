@@ -19,6 +19,8 @@ def local_session(app: str = "signalframe", cpus: str | int = "*", partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # Skips the call-site record of every column expression, which dominates the build of wide plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -104,7 +104,7 @@ BLOCK = [4, 0.5, 0.5, 4, 0, -0.2, 0.2, 0]
 
 
 def test_hermitian_statistics(spark):
-    s = covariance.hermitian_stats(F.col("a"))
+    s = covariance.hermitian_stats("a")
     r = arrays(spark, BLOCK).select(*[c.alias(k) for k, c in s.items()]).first()
     root = math.sqrt(0.29)
     assert close(r["eig_max"], 4 + root) and close(r["eig_min"], 4 - root) and close(r["det"], 15.71) and r["trace_ed"] == 8
