@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import safe_div
 from ..functions.text import fixed
-from .ordering import attach, running_sums
+from ..session import cut_lineage
+from .ordering import attach, bounded_side, running_sums
 
 # Accepted spellings of metric names (fixed values).
 METRIC_ALIASES = {
@@ -142,15 +143,20 @@ def masked_predictions(df: DataFrame) -> DataFrame:
 
 
 def _curve(df: DataFrame, by: Sequence[str], y_true: str, score: str, buckets: int) -> DataFrame:
+    """Running counts at every threshold.
+
+    The counts per distinct score are written once; end points, bucket bounds and running sums all
+    read that table, so the scored rows are scanned a single time.
+    """
     by = list(by)
     y = F.col(y_true)
-    counts = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
+    counts = cut_lineage(df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.sum((y == 1).cast("bigint")).alias("pos"), F.sum((y == 0).cast("bigint")).alias("neg")
-    )
-    ends = counts.groupBy(*by).agg(
+    ))
+    ends = bounded_side(counts.groupBy(*by).agg(
         F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"),
         F.greatest(F.max("threshold"), F.lit(1.0)).alias("top"),
-    )
+    ))
     none = F.lit(0).cast("bigint")
     rims = ends.select(*by, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("threshold"), none.alias("pos"), none.alias("neg"))
     points = counts.unionByName(rims).groupBy(*by, "threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))

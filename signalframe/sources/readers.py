@@ -144,7 +144,7 @@ def read_with_time(spark: SparkSession, path: str, columns: Sequence[str] | None
     """Parquet columns plus ``t``, the row number in file order.
 
     Later files continue the numbering of earlier ones (by path).  The row limit is a filter on the
-    scan's own row index, so no rows are read beyond the row groups that hold the wanted ones.
+    scan's own row index, applied before anything is unpivoted or shuffled.
     """
     raw = spark.read.parquet(path)
     wanted = [F.col(f"`{c}`") for c in (columns if columns is not None else raw.columns)]
