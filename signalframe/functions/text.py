@@ -69,16 +69,16 @@ def _listed(s: Column) -> Column:
 def _numbers(inner: Column) -> Column:
     # Nested lists flatten by blanking their punctuation; the pattern search is only for text with other words.
     blank = F.translate(F.replace(inner, F.lit("array"), F.lit(" ")), "[](),", "     ")
-    words = F.filter(F.split(blank, " "), lambda w: w != "")
+    words = F.array_remove(F.split(blank, " "), "")
 
     def found(_: Column) -> Column:
         return F.transform(F.regexp_extract_all(inner, F.lit(FLOAT_PATTERN), F.lit(0)), lambda w: w.try_cast("double"))
 
     def result(v: Column) -> Column:
-        clean = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())
+        clean = (F.size(v) > 0) & (F.size(F.array_compact(v)) == F.size(v))
         return F.when(clean, v).otherwise(let(found(inner), lambda f: F.when(F.size(f) > 0, f)))
 
-    return let(F.transform(words, lambda w: w.try_cast("double")), result)
+    return let(words.try_cast("array<double>"), result)
 
 
 def parse_array(text: Column) -> Column:
