@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rounded
 from ..operators import models
 from ..session import cut_lineage
 from .cleaning import VECTOR_NAMES

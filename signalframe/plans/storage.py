@@ -18,7 +18,7 @@ from .frames import SQL_CELLS, SQL_FISHER, SQL_RUNS, SQL_SCALED, SQL_TASKS, run_
 from .evaluation import SQL_SUMMARY
 from .ranking import scaled_vectors, vector_scores
 from .registry import query
-from .signals import _TIME_SQL, _r
+from .signals import _TIME_SQL
 
 PART_COLS = "p_partkey, p_name, p_brand, p_size, p_retailprice"
 
