@@ -32,7 +32,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Code points from here on are not compared; texts that have one are given to the tokenizer.
 PROVED = 0x30000
 #: Distinct merged pre-tokens that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 @lru_cache(maxsize=4)
@@ -87,15 +87,6 @@ def _ranges(points: str) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in [*out, (PROVED, 0x10FFFF)]) + "]"
 
 
-def merge(tokenizer, pieces: list[str]) -> dict[str, int]:
-    """Tokens of each pre-token, merged in one call on one text with a line break between the pre-tokens."""
-    found = tokenizer.encode("\n".join(pieces), add_special_tokens=False)
-    words = np.array(found.word_ids, dtype=np.int64)
-    if len(words) and words[-1] == 2 * len(pieces) - 2 and not any(p[-1].isspace() for p in pieces):
-        return dict(zip(pieces, np.bincount(words)[::2].tolist()))
-    return {p: len(e.ids) for p, e in zip(pieces, tokenizer.encode_batch(pieces, add_special_tokens=False))}
-
-
 def token_count(spark: SparkSession, text: Column, path: str) -> Column:
     """Tokens of a text column, as the library gives them without begin, end or added special tokens.
 
@@ -123,7 +114,7 @@ def token_count(spark: SparkSession, text: Column, path: str) -> Column:
             missing = list({t for t, n in zip(tokens, numbers) if n is None})
             if len(known) > len(proved) + REMEMBERED:
                 known = dict(proved)
-            merged = merge(tokenizer, missing)
+            merged = dict(zip(missing, (len(e.ids) for e in tokenizer.encode_batch_fast(missing, add_special_tokens=False))))
             known.update(merged)
             return sum(merged[t] if n is None else n for t, n in zip(tokens, numbers))
 
