@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, packing, repetition, secret_scan, token_counts, toxicity, url_filter
+from . import contamination, lm_scoring, packing, repetition, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +61,41 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
 
 
+@query("op2_lm_scoring", r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+goals AS (SELECT DISTINCT doc_id, 1 AS goal FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
+t AS (SELECT doc_id, unnest(w) AS raw, unnest(range(1, len(w) + 1)) AS i FROM d),
+total AS (SELECT count(*) AS n FROM t),
+v AS (SELECT raw FROM t, total GROUP BY raw, total.n HAVING count(*) * 262144 >= total.n),
+k AS (SELECT t.doc_id, i, coalesce(v.raw, '') AS w, coalesce(goal, 0) AS goal FROM t LEFT JOIN v USING (raw) LEFT JOIN goals USING (doc_id)),
+b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM k),
+size AS (SELECT count(*) AS n FROM v),
+sides AS (SELECT count(*) AS nb, coalesce(sum(goal), 0) AS nt FROM k),
+u AS (
+  SELECT w, cb, ct, (cb + 1) / (nb + size.n + 1) AS pb, (ct + 1) / (nt + size.n + 1) AS pt
+  FROM (SELECT w, CAST(count(*) AS DOUBLE) AS cb, CAST(sum(goal) AS DOUBLE) AS ct FROM k GROUP BY w), sides, size),
+g AS (
+  SELECT c, w, CAST(count(*) AS DOUBLE) AS cb, CAST(sum(goal) AS DOUBLE) AS ct FROM b, total
+  WHERE c <> '' AND w <> '' GROUP BY c, w, total.n HAVING count(*) * 524288 >= total.n),
+units AS (
+  SELECT b.doc_id, CAST(CASE
+    WHEN b.c IS NULL THEN floor((log2(u.pb) - log2(u.pt)) * 1e6 + 0.5)
+    WHEN g.cb IS NULL THEN floor((log2(u.pb) - log2(u.pt)) * 1e6 + 0.5) + floor((log2(x.ct + 200) - log2(x.cb + 200)) * 1e6 + 0.5)
+    ELSE floor((log2((g.cb + 200 * u.pb) / (x.cb + 200)) - log2((g.ct + 200 * u.pt) / (x.ct + 200))) * 1e6 + 0.5) END AS BIGINT) AS units
+  FROM b JOIN u ON b.w = u.w LEFT JOIN u x ON b.c = x.w LEFT JOIN g ON b.c = g.c AND b.w = g.w)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, coalesce(s.units, 0) AS loss_units,
+  CASE WHEN len(d.w) > 0 THEN CAST(s.units AS DOUBLE) / len(d.w) / 1e6 END AS score
+FROM d LEFT JOIN (SELECT doc_id, CAST(sum(units) AS BIGINT) AS units FROM units GROUP BY doc_id) s USING (doc_id)
+""")
+def op2_lm_scoring(spark, sf_dir):
+    """Cross-entropy difference of every document; the target are the documents labelled as good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.with_score(docs, good).select("doc_id", "lm.*")
+
+
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark, sf_dir):
     """Every document in bins of 2048 words; exact copies and documents of one source are kept apart."""
