@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, lm_scoring, packing, repetition, secret_scan, token_counts, toxicity, url_filter
+from . import contamination, lm_scoring, near_dups, packing, repetition, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,6 +96,30 @@ def op2_lm_scoring(spark, sf_dir):
     return lm_scoring.with_score(docs, good).select("doc_id", "lm.*")
 
 
+@query("op3_minhash_near_dedup", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, e.b FROM reach r JOIN pairs e ON r.b = e.a),
+roots AS (SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN roots ON roots.a = d.doc_id
+""")
+def op3_minhash_near_dedup(spark, sf_dir):
+    """Groups of near copies among all documents: three-word shingles, similarity of at least 0.85."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dups.groups(docs, shingle=3, up=85, down=100)
+
+
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark, sf_dir):
     """Every document in bins of 2048 words; exact copies and documents of one source are kept apart."""

@@ -81,6 +81,15 @@ def bloom_blocks(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return made.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(_WORDS)))
 
 
+def bloom_probe(rows: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with ``possible``: false for keys that are surely not in the filter, and for null."""
+    masks, held = _masks(F.col(key)), F.lit(True)
+    joined = rows.withColumn("block", _block(F.col(key), blocks)).join(bloom, "block", "left")
+    for i, m in enumerate(masks):
+        held = held & (F.col(f"w{i}").bitwiseAND(m) == m)
+    return joined.select(*rows.columns, F.coalesce(F.col(key).isNotNull() & held, F.lit(False)).alias("possible"))
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url", listed_url: str = "url") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``listed`` and ``verdict``.
 
@@ -100,11 +109,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "ur
     chosen = F.coalesce(F.lit(None).cast("string"), *(F.when(r.fits(F.col("host"), F.col("path")), r.text) for r in ordered))
     base = base.withColumn("rule", chosen)
     base = base.withColumn("key", F.when(F.col("rule").isNull(), canonical(F.col("host"), F.col("path"))))
-    probed = base.withColumn("block", _block(F.col("key"), blocks)).join(bloom, "block", "left")
-    possible = F.lit(True)
-    for i, m in enumerate(_masks(F.col("key"))):
-        possible = possible & (F.col(f"w{i}").bitwiseAND(m) == m)
-    probed = probed.select("row", "host", "path", "rule", "key", F.coalesce(F.col("key").isNotNull() & possible, F.lit(False)).alias("possible"))
+    probed = bloom_probe(base, "key", bloom, blocks)
 
     exact = probed.where("possible").join(keys.withColumn("found", F.lit(True)), "key", "left")
     judged = exact.select("row", "host", "path", "rule", F.coalesce("found", F.lit(False)).alias("listed")).unionByName(
