@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, lm_scoring, near_dups, packing, repetition, secret_scan, token_counts, toxicity, url_filter
+from . import contamination, lm_scoring, near_dups, packing, repeats, repetition, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -136,6 +136,37 @@ def op5_secret_scan(spark, sf_dir):
                        secret_scan.span_text(F.col("s")).alias("spans"))
 
 
+@query("op6_suffix_dedup", r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (
+  SELECT doc_id, s, md5(b[s:s + 399]) AS h
+  FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS s FROM d WHERE octet_length(b) >= 400)),
+hot AS (SELECT h FROM places GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM places JOIN hot USING (h)),
+runs AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM starts),
+spans AS (SELECT doc_id, run, min(s) AS a, max(s) + 400 AS e FROM runs GROUP BY doc_id, run),
+sums AS (SELECT doc_id, sum(e - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id),
+cuts AS (
+  SELECT doc_id, a AS e, lag(e, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS a FROM spans
+  UNION ALL SELECT doc_id, octet_length(b) + 1, max(e) FROM spans JOIN d USING (doc_id) GROUP BY doc_id, b),
+kept AS (SELECT doc_id, string_agg(hex(b[a:e - 1]), '' ORDER BY a) AS k FROM cuts JOIN d USING (doc_id) WHERE e > a GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  CASE WHEN n IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(k, ''))) END AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op6_suffix_dedup(spark, sf_dir):
+    """Bytes of every document inside passages of 400 bytes that occur elsewhere too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lost = repeats.removals(docs).select("row", F.octet_length("kept").cast("long").alias("n_kept"), F.size("spans").cast("long").alias("spans"),
+                                         F.sha2("kept", 256).alias("sha"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", repeats.row_key("doc_id", "text").alias("row"), F.octet_length(text).cast("long").alias("n_bytes"),
+                       F.sha2(text, 256).alias("whole"))
+    out = rows.join(lost, "row", "left")
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
+                      F.coalesce("spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark, sf_dir):
     """Toxicity of every document; labels of a third of the ids are never looked at."""
