@@ -166,7 +166,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str
     spark = docs.sparkSession
     words, total = vocabulary(docs, text)
     target = target_ids.select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    marked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(target, "id", "left")
+    # The target grows with the corpus, so it is merged at every size and never broadcast.
+    marked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(target.hint("merge"), "id", "left")
     counts = pair_counts(marked, spark.sparkContext.broadcast(words))
     kept = counts.where((F.col("key") < (1 << _BITS)) | (F.col("n") * PAIR_SHARE >= total)).toArrow()
     return words, Differences({c: kept[c].to_numpy() for c in ("key", "n", "n_target")}, len(words))
