@@ -53,7 +53,7 @@ _HEX = re.compile(r"[0-9a-f]{%d,}" % BASE[2][3])  # a maximal run that is long e
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: Texts without any of these have no span; this form is what the linear-time matcher of Arrow takes.
 _ANY = r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_=-]{%d}" % WINDOW
-_GAIN = [0.0, *(k * math.log2(k) for k in range(1, WINDOW + 1))]
+_GAIN = [0.0, *(k * math.log2(k) for k in range(1, WINDOW + 2))]  # one more: a character comes in before one goes out
 
 
 def char_class(candidate: str) -> str | None:
