@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .components import components
-from .text import LOWER, Words, as_bytes, chunks, hash_words, mix, window_hashes
+from .text import LOWER, Words, as_bytes, chunks, hash_words, mix, row_key, window_hashes
 from .url_filter import BROADCAST_BLOCKS, bloom_blocks, bloom_probe
 
 #: Coordinates of a band, and bands: at similarity 0.85 a pair is in no common bucket with 2e-8, at 0.8 with 3e-8 (see ``bands_for``).
@@ -233,9 +233,16 @@ def groups(docs: DataFrame, shingle: int = 5, up: int = 4, down: int = 5, text:
 
     Documents are linked if intersection * down >= union * up.
     """
+    component = F.coalesce("component_id", "id")
+    return _labelled(docs, shingle, up, down, text, doc_id).select(
+        F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def _labelled(docs: DataFrame, shingle: int, up: int, down: int, text: str, doc_id: str) -> DataFrame:
+    """``id``, ``row`` (see ``row_key``), ``n``, and group ``c`` with its ``component_id``, null for rows without words."""
     t = Threshold(up, down)
     bands = bands_for(up / down)
-    rows = cut_lineage(docs.select(F.col(doc_id).alias("id"), _sketched(F.col(text), shingle, bands).alias("s")).select("id", "s.*"))
+    rows = cut_lineage(docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("row"), _sketched(F.col(text), shingle, bands).alias("s")).select("id", "row", "s.*"))
     classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("brief").alias("brief"))
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
 
@@ -250,11 +257,8 @@ def groups(docs: DataFrame, shingle: int = 5, up: int = 4, down: int = 5, text:
     else:
         classes = classes.withColumn("c", F.col("node"))
     least = classes.groupBy("c").agg(F.min("least").alias("component_id"))
-    found = classes.select("key", "c").join(least, "c").select("key", "component_id")
-    out = rows.select("id", "n", "key").join(found, "key", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    found = classes.select("key", "c").join(least, "c")
+    return rows.select("id", "row", "n", "key").join(found, "key", "left").select("id", "row", "n", "c", "component_id")
 
 
 def _candidate_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, members: DataFrame, shingle: int, text: str, doc_id: str) -> DataFrame:
@@ -287,12 +291,20 @@ def _key(elements: Column) -> Column:
     return F.arrow_udf(digest, T.BinaryType(), F.ArrowUDFType.SCALAR)(elements)
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the rows with the smallest id, once per equal text and id.
+def keep_one(docs: DataFrame, shingle: int = 5, up: int = 4, down: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group one row of the smallest id, rows without id coming last.
 
-    Rows without words stay.  A group of rows without any id keeps one row.
+    Rows alone in their group stay.  A Bloom filter of bounded size tells which rows may be in a larger group; the
+    others are passed on without a shuffle.
     """
-    found = groups(docs, text=text, doc_id=doc_id, **options)
-    name = "near copy of"
-    drop = found.where("NOT kept").select(F.col(doc_id).alias(name)).where(F.col(name).isNotNull()).distinct()
-    return docs.join(drop, docs[doc_id] == drop[name], "left_anti")
+    found = cut_lineage(_labelled(docs, shingle, up, down, text, doc_id).where("c IS NOT NULL").select("row", "id", "c"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("first")
+    large = found.groupBy("c").agg(F.count("*").alias("size"), first).where("size > 1")
+    grouped = cut_lineage(found.join(large, "c").groupBy("row").agg(F.max(F.col("row") == F.col("first.row")).alias("stays")))
+    blocks = min(BROADCAST_BLOCKS, max(1, grouped.count() // 16))
+    rows = docs.select(F.struct("*").alias("whole"), row_key(doc_id, text).alias("row"))
+    probed = bloom_probe(rows, "row", F.broadcast(bloom_blocks(grouped, "row", blocks)), blocks)
+    maybe = probed.where("possible").join(grouped, "row", "left")
+    alone = probed.where("NOT possible").select("whole").unionByName(maybe.where("stays IS NULL").select("whole"))
+    kept = maybe.where("stays").groupBy("row").agg(F.min_by("whole", F.xxhash64("whole")).alias("whole")).select("whole")
+    return alone.unionByName(kept).select("whole.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, lm_scoring, near_dups, packing, repeats, repetition, secret_scan, token_counts, toxicity, url_filter
+from . import contamination, lm_scoring, near_dups, packing, repeats, repetition, secret_scan, text, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,9 +159,9 @@ def op6_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lost = repeats.removals(docs).select("row", F.octet_length("kept").cast("long").alias("n_kept"), F.size("spans").cast("long").alias("spans"),
                                          F.sha2("kept", 256).alias("sha"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", repeats.row_key("doc_id", "text").alias("row"), F.octet_length(text).cast("long").alias("n_bytes"),
-                       F.sha2(text, 256).alias("whole"))
+    body = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.row_key("doc_id", "text").alias("row"), F.octet_length(body).cast("long").alias("n_bytes"),
+                       F.sha2(body, 256).alias("whole"))
     out = rows.join(lost, "row", "left")
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
                       F.coalesce("spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .text import as_bytes, chunks, covered, mix
+from .text import as_bytes, chunks, covered, mix, row_key
 from .url_filter import BROADCAST_BLOCKS, bloom_blocks, bloom_probe
 
 #: Bytes of a passage.
@@ -356,11 +356,6 @@ def _udf(fn, kind=T.BinaryType()):
     return F.arrow_udf(fn, kind, F.ArrowUDFType.SCALAR)
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    """Names a row by its id and a hash of its text; equal rows share the name."""
-    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.xxhash64(text).cast("string"))
-
-
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``row`` (see ``row_key``), ``spans`` (removed bytes, maximal) and ``kept`` (the other bytes) of each text that loses any.
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Translation of A-Z only; every other byte stays, so UTF-8 text stays valid.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -92,3 +94,8 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray
 def sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Sum of integer values per owner, exact below 2**53."""
     return np.bincount(owner, weights=values, minlength=n).astype(np.int64)
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """Names a row by its id and a hash of its text; equal rows share the name."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.xxhash64(text).cast("string"))
