@@ -70,8 +70,8 @@ class Lexicon:
 
     def __post_init__(self):
         self.exact, self.beginnings, self.root = set(self.terms), set(self.stems), Node()
-        self.heads = {t[:2] for t in self.terms if len(t) >= ERROR_LENGTH}
-        self.tails = {t[-2:] for t in self.terms if len(t) >= ERROR_LENGTH}
+        self.heads = {(len(t), t[:(len(t) - 1) // 2]) for t in self.terms if len(t) >= ERROR_LENGTH}
+        self.tails = {(len(t), t[-((len(t) - 1) // 2):]) for t in self.terms if len(t) >= ERROR_LENGTH}
         for term in self.terms:
             if len(term) >= ERROR_LENGTH:
                 path = [self.root]
@@ -84,8 +84,12 @@ class Lexicon:
     def match(self, word: str) -> int:
         if word in self.exact or any(word[:n] in self.beginnings for n in STEM_LENGTHS):
             return 2
-        # One error leaves the first two or the last two characters of a term as they are.
-        return int((word[:2] in self.heads or word[-2:] in self.tails) and self._within_one_error(word))
+        # One error leaves the first or the last half of a term, without its middle, as it is.
+        for size in (len(word) - 1, len(word), len(word) + 1):
+            half = (size - 1) // 2
+            if half > 0 and ((size, word[:half]) in self.heads or (size, word[-half:]) in self.tails):
+                return int(self._within_one_error(word))
+        return 0
 
     def _within_one_error(self, word: str) -> bool:
         """Walk the trie with the states of the word's automaton: the sets (as bits) of positions in the word
