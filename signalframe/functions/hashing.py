@@ -6,21 +6,29 @@ numbers.  Keys made from (seed, id) are the same on every attempt and in other e
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, functions as F
 
 from .numeric import col
 
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ... draws (fixed values).
-POISSON1_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.9999988747974020, 0.9999998885745217,
-)
+def _poisson1_cdf() -> tuple[float, ...]:
+    """Cumulative Poisson(1) probabilities of 0, 1, 2, ... draws, as far as a double can tell them from 1."""
+    out, term, total, k = [], exp(-1.0), 0.0, 0
+    while total + term > total and total + term < 1.0:
+        total += term
+        out.append(total)
+        k += 1
+        term /= k
+    return tuple(out)
+
+
+POISSON1_CDF = _poisson1_cdf()
 
 
 def hash_key(seed: int | str, *ids: Column | str) -> Column:
-    """32 hex digits ordering rows for a seed."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in ids]))
+    """32 hex digits ordering rows for a seed; a null id counts as a character that no text id has."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("\0")) for c in ids]))
 
 
 def uniform_of(key: Column, word: int = 0) -> Column:
@@ -35,9 +43,14 @@ def normal_of(key: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(6.283185307179586) * uniform_of(key, 1))
 
 
+def fine_uniform_of(key: Column) -> Column:
+    """The first 52 bits of a key, scaled to [0, 1)."""
+    return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
+
+
 def poisson1_of(key: Column) -> Column:
-    """Poisson(1) draw from the first word of a key."""
-    u = uniform_of(key)
+    """Poisson(1) draw from the first 52 bits of a key, exact to their resolution."""
+    u = fine_uniform_of(key)
     hits = [F.when(u >= p, F.lit(1)).otherwise(F.lit(0)) for p in POISSON1_CDF]
     out = hits[0]
     for h in hits[1:]:

@@ -256,7 +256,7 @@ def row_variance_mean(a: Column, rows: int, width: int) -> Column:
 def gram_eigenvalues(rows: int, width: int, side: str = "columns"):
     """Pandas UDF: ascending eigenvalues of the Gram matrix of a flat rows x width matrix.
 
-    ``side`` "columns" is X'X, "rows" is XX'; a matrix larger than 8 is cut to its leading 4 x 4 part.
+    ``side`` "columns" is X'X, "rows" is XX'.
     """
 
     @F.pandas_udf("array<double>")
@@ -265,8 +265,6 @@ def gram_eigenvalues(rows: int, width: int, side: str = "columns"):
             return pd.Series([], dtype=object)
         x = np.stack(flat.to_numpy()).astype(float).reshape(-1, rows, width)
         gram = x.transpose(0, 2, 1) @ x if side == "columns" else x @ x.transpose(0, 2, 1)
-        if gram.shape[1] > 8:
-            gram = gram[:, :4, :4]
         return pd.Series(list(np.linalg.eigvalsh(gram)))
 
     return eigenvalues

@@ -98,7 +98,7 @@ def running_sums(
     )
     inside = W.partitionBy(*by, "_sf_b").orderBy(direction(order_col)).rowsBetween(W.unboundedPreceding, 0)
     ranked = keyed.withColumns({f"_sf_c_{c}": F.sum(c).over(inside) for c in sums})
-    joined = ranked.join(offsets, [*by, "_sf_b"])
+    joined = join_groups(ranked, offsets, [*by, "_sf_b"])
     out = joined.withColumns({f"cum_{c}": F.col(f"_sf_c_{c}") + F.col(f"_sf_o_{c}") for c in sums})
     return out.drop("_sf_b", *[f"_sf_c_{c}" for c in sums], *[f"_sf_o_{c}" for c in sums])
 
@@ -148,7 +148,7 @@ def exact_quantiles(
     ranges = wanted.select(*by, "_sf_b", "_sf_lo", "_sf_from", "_sf_to").distinct()
     v = F.col("_sf_v")
     if by:
-        inside = keep.join(bounded_side(ranges), by).where((v >= F.col("_sf_from")) & (v < F.col("_sf_to")))
+        inside = attach(keep, ranges, by).where((v >= F.col("_sf_from")) & (v < F.col("_sf_to")))
     else:
         few = ranges.collect()  # at most two per probability
         near = F.lit(False)
@@ -159,7 +159,7 @@ def exact_quantiles(
     order = W.partitionBy(*by, "_sf_b").orderBy("_sf_v").rowsBetween(W.unboundedPreceding, 0)
     placed = counts.withColumn("_sf_end", F.col("_sf_lo") + F.sum("_sf_n").over(order))
     placed = placed.withColumn("_sf_start", F.col("_sf_end") - F.col("_sf_n")).drop("_sf_lo")
-    hit = placed.join(wanted.drop("_sf_lo", "_sf_from", "_sf_to"), [*by, "_sf_b"]).where(
+    hit = join_groups(placed, wanted.drop("_sf_lo", "_sf_from", "_sf_to"), [*by, "_sf_b"]).where(
         (F.col("_sf_rank") >= F.col("_sf_start")) & (F.col("_sf_rank") < F.col("_sf_end"))
     )
     low = F.max(F.when(F.col("_sf_rank") == F.col("_sf_k"), v))
@@ -195,7 +195,7 @@ def hash_cutoffs(
     if by:
         pairs = F.array(*[F.struct(F.lit(c).alias("cut"), F.col(c).cast("bigint").alias("quota")) for c in cuts])
         long = quotas.select(*by, F.inline(pairs))
-        joined = counts.join(long, by)
+        joined = join_groups(counts, long, by)
     else:
         wanted = quotas.first()
         pairs = F.array(*[F.struct(F.lit(c).alias("cut"), F.lit(int(wanted[c])).cast("bigint").alias("quota")) for c in cuts])
@@ -206,7 +206,7 @@ def hash_cutoffs(
     ends = bounded_side(ends)
     inside = W.partitionBy(*by, "cut", "_sf_b").orderBy("_sf_key")
     found = (
-        keyed.join(ends, [*by, "_sf_b"])
+        join_groups(keyed, ends, [*by, "_sf_b"])
         .withColumn("_sf_rn", F.row_number().over(inside))
         .where(F.col("_sf_rn") == F.col("_sf_rank"))
     )
@@ -219,13 +219,24 @@ def hash_cutoffs(
 
     if not by:
         return keys.select(*[F.coalesce(f"_sf_k_{c}", edge(F.lit(int(wanted[c])))).alias(c) for c in cuts])
-    merged = quotas.select(*by, *[edge(F.col(c)).alias(f"_sf_z_{c}") for c in cuts]).join(keys, by, "left")
+    merged = join_groups(quotas.select(*by, *[edge(F.col(c)).alias(f"_sf_z_{c}") for c in cuts]), keys, by, "left")
     return merged.select(*by, *[F.coalesce(f"_sf_k_{c}", f"_sf_z_{c}").alias(c) for c in cuts])
 
 
+def join_groups(df: DataFrame, side: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on group columns in which null equals null; the columns of ``df`` come first."""
+    by = list(by)
+    names = {c: f"_sf_g_{i}" for i, c in enumerate(by)}
+    right = side.select(*[F.col(f"`{c}`").alias(names[c]) for c in by], *[f"`{c}`" for c in side.columns if c not in names])
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & df[c].eqNullSafe(right[names[c]])
+    return df.join(right, condition, how).drop(*names.values())
+
+
 def attach(df: DataFrame, side: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join per-group constants; a table without groups is one row of literals."""
+    """Join per-group constants, null being a group like any other; a table without groups is one row of literals."""
     if by:
-        return df.join(bounded_side(side), list(by))
+        return join_groups(df, bounded_side(side), by)
     row = side.first()
     return df.withColumns({c: F.lit(row[c]) for c in side.columns})

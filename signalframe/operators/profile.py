@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import is_missing
-from .ordering import exact_quantiles
+from .ordering import exact_quantiles, join_groups
 from .spec import as_number
 
 
@@ -71,7 +71,7 @@ def class_describe(df: DataFrame, label: str, columns: Sequence[str]) -> DataFra
         F.min("x").alias("min"), F.max("x").alias("max"),
     )
     median = exact_quantiles(long, "x", [0.5], [label, "feature"]).select(label, "feature", F.col("quantile").alias("median"))
-    return stats.join(median, [label, "feature"]).withColumns({
+    return join_groups(stats, median, [label, "feature"]).withColumns({
         "constant": F.col("min") == F.col("max"),
         "all_zero": (F.col("min") == 0) & (F.col("max") == 0),
     })

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import fixed, signed_fixed
 from .evaluate import metric_column
+from .ordering import join_groups
 
 # Fields of a run record and of a benchmark record, in order: (name, default) (fixed values).
 RUN_FIELDS = (
@@ -169,7 +170,7 @@ def delta_to_first(df: DataFrame, position: str, score: str, by: Sequence[str] =
     by = list(by)
     if by:
         base = df.groupBy(*by).agg(F.min_by(score, position).alias("_sf_base"))
-        joined = df.join(base, by)
+        joined = join_groups(df, base, by)
         first = F.col("_sf_base")
     else:
         joined, first = df, df.agg(F.min_by(score, position).alias("b")).scalar()

@@ -1,8 +1,8 @@
 """Waveform features in the time and frequency domain.
 
 Time-domain statistics run on long rows (signal, t, value) with partial aggregation, so one huge
-signal is shared by all tasks.  Transforms need a whole signal and run on one array per signal; its
-length is bounded by the reader's time limit.
+signal is shared by all tasks.  Transforms need a whole signal and run on one array per signal; a
+caller can bound its length with the reader's time limit.
 """
 
 from __future__ import annotations
@@ -88,12 +88,12 @@ def step_statistics(long: DataFrame, signal: str, order: Sequence[str], value: s
     return total.select(signal, (F.col("move") / steps).alias("variation"), (F.col("flips") / steps).alias("zero_cross_rate"))
 
 
-def gather(long: DataFrame, signal: str = "signal_id", t: str = "t", value: str = "value", max_timesteps: int = 200_000) -> DataFrame:
-    """(signal, wave): one ordered array per signal of its first ``max_timesteps`` samples.
+def gather(long: DataFrame, signal: str = "signal_id", t: str = "t", value: str = "value", max_timesteps: int | None = None) -> DataFrame:
+    """(signal, wave): one ordered array per signal of all samples, or of its first ``max_timesteps``.
 
-    The time limit bounds every array, however long the recording is.
+    A transform of a whole signal needs the signal in one place; statistics over time do not, see above.
     """
-    rows = long.where(F.col(t) < max_timesteps)
+    rows = long.where(F.col(t) < max_timesteps) if max_timesteps else long
     packed = rows.groupBy(signal).agg(F.array_sort(F.collect_list(F.struct(t, value))).alias("_sf_w"))
     return packed.select(signal, F.transform("_sf_w", lambda s: s[value].cast("double")).alias("wave"))
 
@@ -122,27 +122,41 @@ def _by_length(waves: pd.Series, width: int, transform) -> np.ndarray:
     return out
 
 
+def _weighted_moments(weights: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Total, mean and standard deviation of the places ``at`` under each row of weights; zero weight gives zeros."""
+    order0, order1 = weights.sum(1), weights @ at
+    mean = order1 / np.maximum(order0, EPS)
+    # Moments about the middle of the range lose fewer digits than those about zero.
+    middle = at[-1] / 2
+    shifted = at - middle
+    second = weights @ (shifted * shifted) - 2 * (mean - middle) * (weights @ shifted) + (mean - middle) ** 2 * order0
+    return order0, mean, np.sqrt(np.maximum(second, 0) / np.maximum(order0, EPS))
+
+
+def _spectra(signals: np.ndarray, sample_rate: float) -> np.ndarray:
+    """The statistics of ``FFT_STATS`` for every row."""
+    samples = signals.shape[1]
+    if samples < 2:
+        raise ValueError("a spectrum needs at least two samples")
+    lines = np.abs(np.fft.rfft(signals))
+    hertz = np.arange(lines.shape[1]) * (sample_rate / samples)
+    strongest = np.argmax(lines, 1)
+    energy, middle, width = _weighted_moments(np.square(lines), hertz)
+    geometric = np.exp(np.mean(np.log(np.clip(lines, EPS, None)), 1))
+    found = {
+        "total_power": energy, "spectral_centroid": middle, "spectral_bandwidth": width,
+        "dominant_frequency": hertz[strongest], "dominant_amplitude": np.take_along_axis(lines, strongest[:, None], 1)[:, 0],
+        "spectral_flatness": geometric / np.clip(np.mean(lines, 1), EPS, None),
+    }
+    return np.stack([found[k] for k in FFT_STATS], 1)
+
+
 def fft_summary(wave: Column, sample_rate: float = 1.0) -> Column:
     """Struct of the six spectrum statistics of an array of at least two samples."""
 
-    def spectrum(x: np.ndarray) -> np.ndarray:
-        n = x.shape[1]
-        if n < 2:
-            raise ValueError("a spectrum needs at least two samples")
-        mag = np.abs(np.fft.rfft(x, axis=1))
-        freq = np.fft.rfftfreq(n, d=1.0 / sample_rate)
-        power = mag * mag
-        total = power.sum(axis=1)
-        safe = np.maximum(total, EPS)
-        peak = mag.argmax(axis=1)
-        centroid = power @ freq / safe
-        spread = np.sqrt((power * (freq[None, :] - centroid[:, None]) ** 2).sum(axis=1) / safe)
-        flat = np.exp(np.log(np.maximum(mag, EPS)).mean(axis=1)) / np.maximum(mag.mean(axis=1), EPS)
-        return np.column_stack([total, freq[peak], mag.max(axis=1), centroid, spread, flat])
-
     @F.pandas_udf(", ".join(f"{n} double" for n in FFT_STATS))
     def summarize(waves: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_by_length(waves, len(FFT_STATS), spectrum), columns=list(FFT_STATS))
+        return pd.DataFrame(_by_length(waves, len(FFT_STATS), lambda x: _spectra(x, sample_rate)), columns=list(FFT_STATS))
 
     return summarize(wave)
 
@@ -151,6 +165,13 @@ def _frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size, axis=1)[:, ::hop, :]
 
 
+def frame_sizes(samples: int, wanted: int, overlap: int) -> tuple[int, int]:
+    """(frame, step): frames of 2 samples at least and the signal at most, which advance by one sample at least."""
+    frame = int(np.clip(wanted, 2, None)) if samples > 2 else samples
+    frame = samples if frame > samples else frame
+    return frame, frame - int(np.clip(overlap, 0, frame - 1))
+
+
 def stft_summary(wave: Column, nperseg: int = 64, noverlap: int = 32) -> Column:
     """Struct of the five short-time spectrum statistics.
 
@@ -158,18 +179,26 @@ def stft_summary(wave: Column, nperseg: int = 64, noverlap: int = 32) -> Column:
     """
 
     def short_time(x: np.ndarray) -> np.ndarray:
-        n = x.shape[1]
-        size = min(max(2, int(nperseg)), n)
-        hop = size - min(max(0, int(noverlap)), size - 1)
-        window = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(size) / size)
-        if n == 1:
-            window = np.ones(1)
-        out = []
-        for row in x:  # one signal at a time: its frames overlap and would multiply a block
-            mag = np.abs(np.fft.rfft(_frames(row[None, :], size, hop)[0] * window, axis=1)) / window.sum()
-            flux = np.abs(np.diff(mag, axis=0)).mean() if len(mag) > 1 else 0.0
-            out.append([(mag * mag).mean(), mag.mean(), mag.std(), mag.max(), flux])
-        return np.asarray(out)
+        frame, step = frame_sizes(x.shape[1], nperseg, noverlap)
+        taper = np.ones(1) if x.shape[1] == 1 else (1 - np.cos(np.linspace(0, 2 * np.pi, frame, endpoint=False))) / 2
+        frames = _frames(x, frame, step)
+        count, bins = frames.shape[1], frame // 2 + 1
+        total, square, top, moved = (np.zeros(len(x)) for _ in range(4))
+        before = None
+        # All signals advance together, some frames at a time; only sums and the last frame are kept.
+        for first in range(0, count, per := max(1, BLOCK_VALUES // (len(x) * frame))):
+            lines = np.abs(np.fft.rfft(frames[:, first:first + per] * taper)) / taper.sum()
+            total += lines.sum((1, 2))
+            square += np.square(lines).sum((1, 2))
+            top = np.maximum(top, lines.max((1, 2)))
+            joined = lines if before is None else np.concatenate([before, lines], 1)
+            moved += np.abs(np.diff(joined, axis=1)).sum((1, 2))
+            before = lines[:, -1:]
+        cells = count * bins
+        mean, energy = total / cells, square / cells
+        found = {"energy": energy, "mean_magnitude": mean, "std_magnitude": np.sqrt(np.maximum(energy - mean * mean, 0)), "max_magnitude": top,
+                 "temporal_flux": moved / max(1, (count - 1) * bins)}
+        return np.stack([found[k] for k in STFT_STATS], 1)
 
     @F.pandas_udf(", ".join(f"{n} double" for n in STFT_STATS))
     def summarize(waves: pd.Series) -> pd.DataFrame:
@@ -187,7 +216,7 @@ def waveform_bundle(df: DataFrame, wave: str, sample_rate: float = 1.0, nperseg:
     return out.withColumns({f"stft_{n}": F.col("_sf_stft")[n] for n in STFT_STATS}).drop("_sf_fft", "_sf_stft")
 
 
-def signal_features(df: DataFrame, wave: str = "wave", length: int = 200_000) -> DataFrame:
+def signal_features(df: DataFrame, wave: str, length: int) -> DataFrame:
     """The 20 features of one signal table: the bundle under ``signal_`` names plus the zero-cross rate.
 
     Frame sizes follow the signal length: 256 samples at most, overlapping by a quarter up to 128.
@@ -229,10 +258,8 @@ def stft_frames(df: DataFrame, key: str, wave: str, nperseg: int = 64, noverlap:
 
     Symmetric Hann window, unscaled; the last frame is padded with zeros.
     """
-    if nperseg <= 0:
-        raise ValueError("nperseg must be positive")
-    if not 0 <= noverlap < nperseg:
-        raise ValueError("noverlap must satisfy 0 <= noverlap < nperseg")
+    if nperseg < 1 or noverlap not in range(nperseg):
+        raise ValueError(f"a frame of {nperseg} samples cannot overlap the next by {noverlap}")
     hop = nperseg - noverlap
     window = np.hanning(nperseg)
     freq = np.fft.rfftfreq(nperseg, d=1.0)

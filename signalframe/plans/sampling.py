@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
+from ..functions.hashing import POISSON1_CDF
 from ..operators import augment, split
 from .frames import SQL_CELLS, table, vectors
 from .registry import query
@@ -79,8 +80,8 @@ _WORD = "('0x' || substr({k}, {p}, 8))::UBIGINT / 4294967296.0::DOUBLE"
 
 
 @query("bootstrap_draws", "SMP-8",
-       f"""WITH u AS (SELECT o_orderkey, {_WORD.format(k="md5('17|' || o_orderkey)", p=1)} AS u FROM orders)
-SELECT o_orderkey, CAST({' + '.join(f'(u >= {p})::INT' for p in ('0.36787944117144233', '0.7357588823428847', '0.9196986029286058', '0.9810118431238462', '0.9963401531726563', '0.9994058151824183', '0.9999167588507119', '0.9999897508033253', '0.9999988747974020', '0.9999998885745217'))} AS INT) AS draws FROM u""")
+       f"""WITH u AS (SELECT o_orderkey, ('0x' || substr(md5('17|' || o_orderkey), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE AS u FROM orders)
+SELECT o_orderkey, CAST({' + '.join(f'(u >= {p!r}::DOUBLE)::INT' for p in POISSON1_CDF)} AS INT) AS draws FROM u""")
 def bootstrap_draws(spark, d):
     return split.bootstrap_counts(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 17)
 

@@ -180,7 +180,7 @@ def _temporal_sql(k: str) -> list[str]:
     ]
 
 
-_TEMPORAL_SHOWN = ("eig_max", "eig_min", "eig_spread", "trace_ed", "cav", "det")
+_TEMPORAL_SHOWN = cov.STATS
 
 
 @query("temporal_statistics", "COV-5",
@@ -230,7 +230,7 @@ def _cross_sql(k: str) -> list[str]:
             _rounding(f"cross_su_cov_{k}_std", f"sqrt(({' + '.join(f'power({e} - {mean}, 2)' for e in x)}) / 3)")]
 
 
-_CROSS_SHOWN = ("eig_max", "eig_min", "trace_ed", "cav", "det")
+_CROSS_SHOWN = cov.STATS
 
 
 @query("cross_sensor_statistics", "COV-8",

@@ -72,7 +72,7 @@ def npy_samples(spark, d):
 
 SIGNALS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SQL_LONG = f"""wide AS (SELECT *, row_number() OVER () - 1 AS t FROM lineitem),
-long AS (SELECT signal_id, t, v FROM (SELECT t, {', '.join(f'{s}::DOUBLE AS {s}' for s in SIGNALS)} FROM wide WHERE t < 200000) UNPIVOT (v FOR signal_id IN ({', '.join(SIGNALS)})))"""
+long AS (SELECT signal_id, t, v FROM (SELECT t, {', '.join(f'{s}::DOUBLE AS {s}' for s in SIGNALS)} FROM wide) UNPIVOT (v FOR signal_id IN ({', '.join(SIGNALS)})))"""
 
 
 def signal_metadata(spark, d):
@@ -91,7 +91,7 @@ round(avg(abs(v - p)), 4) AS variation FROM p GROUP BY signal_id""")
 def wide_signals(spark, d):
     """Columns of the item file read as signals over row number: selected, sampled, unpivoted, joined."""
     path = f"{d}/lineitem.parquet"
-    chosen = readers.select_signals(spark, path, signal_metadata(spark, d), "target", 256, 42)
+    chosen = readers.select_signals(spark, path, signal_metadata(spark, d), "target")
     ids = sorted(r[0] for r in chosen.select("signal_id").collect())
     long = readers.read_signals_long(spark, path, ids)
     stats = waveform.time_statistics(long, "signal_id")
@@ -142,13 +142,13 @@ def rescored_predictions(spark, d):
 
 
 @query("prepared_round_trip", "SNK-1",
-       f"WITH {SQL_SCALED} SELECT vec_id, label, split, round(sum(z), 5) + 0.0 AS total FROM scaled WHERE split <> 'train' GROUP BY ALL")
+       f"WITH {SQL_SCALED} SELECT vec_id, label, split, round(sum(z), 5) + 0.0 AS total FROM scaled GROUP BY ALL")
 def prepared_round_trip(spark, d):
     path = sinks.write_prepared(scaled_vectors(spark, d), work_path(spark, "prepared"), metadata={"width": 64})
     rows, note = sinks.read_prepared(spark, path)
     assert note == {"width": 64}
     total = F.aggregate("features", F.lit(0.0), lambda s, x: s + x)
-    return rows.where("split <> 'train'").select("vec_id", "label", "split", rounded(total, 5).alias("total"))
+    return rows.select("vec_id", "label", "split", rounded(total, 5).alias("total"))
 
 
 @query("feature_bundle_round_trip", "SNK-2",

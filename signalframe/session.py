@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,14 +32,18 @@ def local_session(app: str = "signalframe", cpus: str | int = "*", partitions: i
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset (local tests) a fresh
-    temporary folder is made once per session and remembered there.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset and Spark runs in one process, a
+    fresh temporary folder is made once per session, remembered there, and removed when Python ends.  On a
+    cluster a missing folder is an error: each executor would write to a disk of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="signalframe-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 

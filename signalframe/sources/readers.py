@@ -16,8 +16,8 @@ from ..operators.split import sample_stratified
 from ..operators.waveform import gather, signal_features, wide_to_long
 
 SCHEMAS = ("tabular", "waveform", "spectrum")
-# Defaults of the signal reader (fixed values).
-MAX_SIGNALS, MAX_TIMESTEPS, SEED, CHUNK = 256, 200_000, 42, 256
+# Seed of the signal sample and columns that are unpivoted at once, where the caller gives none.
+SEED, CHUNK = 42, 256
 
 
 def check_schema(schema: str) -> str:
@@ -33,13 +33,13 @@ def parse_source(source: str) -> tuple[str, dict[str, str]]:
     return path, {k.strip().lower(): v.strip() for k, v in pairs if k.strip()}
 
 
-def positive_int(text: str | None, default: int) -> int:
+def positive_int(text: str | None, default: int | None) -> int | None:
     """The number if it is a positive integer, else the default."""
     try:
         value = int(text) if text is not None else default
     except ValueError:
         return default
-    return value if value > 0 else default
+    return value if value is not None and value > 0 else default
 
 
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -48,40 +48,39 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, multiline: bool = False) -> DataFrame:
     """CSV with a header.
 
-    Array texts may hold line breaks inside quotes, so quoted breaks are read by default; that keeps
-    each file in one task.  Pass ``multiline=False`` for large files without them, which lets Spark
-    split a file, and a ``schema``, which saves the pass that infers one.
+    Spark splits large files, so no value may hold a line break.  ``multiline=True`` reads quoted line breaks
+    too and keeps each file in one task.  A ``schema`` saves the pass that infers one.
     """
     reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = False) -> DataFrame:
     """One CSV or Parquet file or dataset, by its suffix."""
     name = path.rstrip("/").lower()
     if name.endswith(".csv"):
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, multiline)
     if name.endswith((".parquet", ".pq")):
         return spark.read.parquet(path)
     raise ValueError(f"unsupported file type: {path}")
 
 
-def read_directory(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:
+def read_directory(spark: SparkSession, path: str, first_only: bool = False, multiline: bool = False) -> DataFrame:
     """All CSV files of a directory, or all Parquet files when there is no CSV.
 
     ``first_only`` reads just the alphabetically first file of that kind.
     """
-    for pattern, read in (("*.csv", read_csv), ("*.parquet", lambda s, p: s.read.parquet(p))):
+    for pattern, read in (("*.csv", lambda s, p: read_csv(s, p, None, multiline)), ("*.parquet", lambda s, p: s.read.parquet(p))):
         first = list_files(spark, path, pattern).agg(F.min("path").alias("p")).first()["p"]
         if first is None:
             continue
         if first_only:
             return read(spark, first)
         if pattern == "*.csv":
-            return read_csv(spark, f"{path.rstrip('/')}/*.csv")
+            return read_csv(spark, f"{path.rstrip('/')}/*.csv", None, multiline)
         return spark.read.option("pathGlobFilter", pattern).parquet(path)
     raise ValueError(f"no CSV or Parquet file in {path}")
 
@@ -170,19 +169,19 @@ def available_signals(spark: SparkSession, metadata: DataFrame, columns: Sequenc
     return metadata.join(F.broadcast(ids), metadata[signal].cast("string") == ids["_sf_id"], "left_semi")
 
 
-def select_signals(spark: SparkSession, path: str, metadata: DataFrame, target: str, max_signals: int = MAX_SIGNALS,
+def select_signals(spark: SparkSession, path: str, metadata: DataFrame, target: str, max_signals: int | None = None,
                    seed: int = SEED, signal: str = "signal_id") -> DataFrame:
-    """Metadata of the signals to read: present in the file, with a target, a stratified sample of at most ``max_signals``."""
+    """Metadata of the signals to read: present in the file, with a target, all of them or a stratified sample of ``max_signals``."""
     require_columns(metadata, [signal, target])
     present = drop_missing_target(available_signals(spark, metadata, spark.read.parquet(path).columns, signal), target)
     if present.isEmpty():
         raise ValueError("no signal of the metadata is a column of the file")
-    return sample_stratified(present, [signal], target, max_signals, seed)
+    return sample_stratified(present, [signal], target, max_signals, seed) if max_signals else present
 
 
-def read_signals_long(spark: SparkSession, path: str, signals: Sequence[str], max_timesteps: int = MAX_TIMESTEPS,
+def read_signals_long(spark: SparkSession, path: str, signals: Sequence[str], max_timesteps: int | None = None,
                       chunk: int = CHUNK, signal: str = "signal_id") -> DataFrame:
-    """(signal, t, value) of the wanted columns only, first ``max_timesteps`` rows."""
+    """(signal, t, value) of the wanted columns only, all rows or the first ``max_timesteps``."""
     rows = read_with_time(spark, path, signals, max_timesteps)
     return wide_to_long(rows, list(signals), "t", signal, chunk)
 
@@ -191,13 +190,14 @@ def read_signal_table(spark: SparkSession, path: str, metadata: DataFrame, targe
                       signal: str = "signal_id") -> DataFrame:
     """Metadata joined with the 20 features of each selected signal.
 
-    Quota and column choice come first, so only selected columns are scanned.
+    All signals and rows are read unless the options ``max_signals`` and ``max_timesteps`` limit them.  Quota and
+    column choice come first, so only selected columns are scanned.
     """
     o = options or {}
-    steps = positive_int(o.get("max_timesteps"), MAX_TIMESTEPS)
-    chosen = select_signals(spark, path, metadata, target, positive_int(o.get("max_signals"), MAX_SIGNALS),
+    steps = positive_int(o.get("max_timesteps"), None)
+    chosen = select_signals(spark, path, metadata, target, positive_int(o.get("max_signals"), None),
                             positive_int(o.get("seed"), SEED), signal)
-    ids = sorted(str(r[0]) for r in chosen.select(signal).collect())  # at most max_signals
+    ids = sorted(str(r[0]) for r in chosen.select(signal).collect())  # names of columns
     long = read_signals_long(spark, path, ids, steps, positive_int(o.get("signal_chunk_size"), CHUNK), signal)
     waves = gather(long, signal, "t", "value", steps)
     length = waves.agg(F.max(F.size("wave")).alias("n")).first()["n"] or 0
