@@ -157,8 +157,7 @@ FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 def op6_suffix_dedup(spark, sf_dir):
     """Bytes of every document inside passages of 400 bytes that occur elsewhere too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lost = repeats.removals(docs).select("row", F.octet_length("kept").cast("long").alias("n_kept"), F.size("spans").cast("long").alias("spans"),
-                                         F.sha2("kept", 256).alias("sha"))
+    lost = repeats.removals(docs).select("row", "n_kept", F.size("spans").cast("long").alias("spans"), F.col("kept_sha256").alias("sha"))
     body = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.row_key("doc_id", "text").alias("row"), F.octet_length(body).cast("long").alias("n_bytes"),
                        F.sha2(body, 256).alias("whole"))

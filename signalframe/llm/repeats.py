@@ -18,6 +18,8 @@ repeat each other; rows of one id are told apart by their text; an empty table g
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -300,25 +302,35 @@ def _flagged(counts: Column, bare: Column, keys: Column, rows: Column, known: Co
 
 _REMOVED = T.ArrayType(T.StructType([
     T.StructField("row", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-    T.StructField("kept", T.BinaryType())]))
-_REMOVED_ARROW = pa.list_(pa.struct([("row", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]))
+    T.StructField("n_kept", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]))
+_REMOVED_ARROW = pa.list_(pa.struct([("row", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                                     ("n_kept", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
 
 
-def _texts(members):
-    return [(m, Suspect(m["text"].encode(), m["flags"])) for m in members]
+def _suspects(texts: list[dict], flags: list[dict]) -> Iterator[tuple[dict, bytes, Suspect]]:
+    """The suspects of a unit, one at a time; texts that the filter let in for nothing are passed over."""
+    bodies = {t["row"]: t["text"] for t in texts}
+    for f in flags:
+        data = bodies[f["row"]].encode()
+        yield f, data, Suspect(data, f["flags"])
 
 
-def _anchor_keys(members: pa.Array) -> pa.Array:
-    return pa.array([limited(np.concatenate([np.repeat(s.keys(s.anchors()), min(2, m["copies"])) for m, s in _texts(ms)])).tobytes()
-                     for ms in members.to_pylist()], type=pa.binary())
+def _rows(*columns: pa.Array) -> Iterator[tuple]:
+    for i in range(len(columns[0])):
+        yield tuple(c[i].as_py() for c in columns)
 
 
-def _unit_asks(members: pa.Array, known: pa.Array) -> pa.Array:
+def _anchor_keys(texts: pa.Array, flags: pa.Array) -> pa.Array:
+    return pa.array([limited(np.concatenate([np.repeat(s.keys(s.anchors()), min(2, f["copies"])) for f, _, s in _suspects(*unit)])).tobytes()
+                     for unit in _rows(texts, flags)], type=pa.binary())
+
+
+def _unit_asks(texts: pa.Array, flags: pa.Array, known: pa.Array) -> pa.Array:
     """All repeated entries of a unit, with the distances that its gaps ask about."""
     out = []
-    for ms, blobs in zip(members.to_pylist(), known.to_pylist()):
+    for *unit, blobs in _rows(texts, flags, known):
         found, entries_, low, high = _array(blobs), [], [], []
-        for _, s in _texts(ms):
+        for _, _, s in _suspects(*unit):
             asked, distance = s.wants(s.repeated(s.anchors(), found))
             had = s.has()
             entries_ += [asked, had]
@@ -328,61 +340,73 @@ def _unit_asks(members: pa.Array, known: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.binary())
 
 
-def _asked_keys(members: pa.Array, told: pa.Array) -> pa.Array:
+def _asked_keys(texts: pa.Array, flags: pa.Array, told: pa.Array) -> pa.Array:
     out = []
-    for ms, blobs in zip(members.to_pylist(), told.to_pylist()):
+    for *unit, blobs in _rows(texts, flags, told):
         t = _told(blobs)
-        out.append(limited(np.concatenate([np.repeat(s.keys(s.asked(t["entry"], t["low"], t["high"])), min(2, m["copies"])) for m, s in _texts(ms)])).tobytes())
+        out.append(limited(np.concatenate([np.repeat(s.keys(s.asked(t["entry"], t["low"], t["high"])), min(2, f["copies"])) for f, _, s in _suspects(*unit)])).tobytes())
     return pa.array(out, type=pa.binary())
 
 
-def _spans(members: pa.Array, known: pa.Array, told: pa.Array, more: pa.Array) -> pa.Array:
-    out = []
-    for ms, *blobs in zip(*(x.to_pylist() for x in (members, known, told, more))):
-        found, t, rest, rows = _array(blobs[0]), _told(blobs[1]), _array(blobs[2]), []
-        for m, s in _texts(ms):
-            starts = np.concatenate([s.repeated(s.anchors(), found), s.repeated(s.asked(t["entry"], t["low"], t["high"]), rest)])
-            if len(starts):
-                mask = covered(s.size, starts, LENGTH)
-                edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-                data = np.frombuffer(m["text"].encode(), np.uint8)
-                rows.append({"row": m["row"], "kept": data[~mask].tobytes(),
-                             "spans": [{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]})
-        out.append(rows)
-    return pa.array(out, type=_REMOVED_ARROW)
+def _spans(with_text: bool):
+    def spans(texts: pa.Array, flags: pa.Array, known: pa.Array, told: pa.Array, more: pa.Array) -> pa.Array:
+        out = []
+        for body, marks, *blobs in _rows(texts, flags, known, told, more):
+            found, t, rest, rows = _array(blobs[0]), _told(blobs[1]), _array(blobs[2]), []
+            for f, data, s in _suspects(body, marks):
+                starts = np.concatenate([s.repeated(s.anchors(), found), s.repeated(s.asked(t["entry"], t["low"], t["high"]), rest)])
+                if len(starts):
+                    mask = covered(s.size, starts, LENGTH)
+                    edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+                    kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
+                    rows.append({"row": f["row"], "n_kept": len(kept), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept if with_text else None,
+                                 "spans": [{"start": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]})
+            out.append(rows)
+        return pa.array(out, type=_REMOVED_ARROW)
+
+    return spans
 
 
 def _udf(fn, kind=T.BinaryType()):
     return F.arrow_udf(fn, kind, F.ArrowUDFType.SCALAR)
 
 
-def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``row`` (see ``row_key``), ``spans`` (removed bytes, maximal) and ``kept`` (the other bytes) of each text that loses any.
+def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
+    """``row`` (see ``row_key``), ``spans`` (removed bytes, maximal), ``n_kept`` and ``kept_sha256`` of each text that loses any.
 
-    Equal rows are one row here.
+    ``kept`` holds the other bytes if ``with_text``.  Equal rows are one row here.  The suspects' texts are written
+    once, bucketed by unit, so that they are shuffled once and every later join moves fingerprints alone.
     """
+    spark = docs.sparkSession
     rows = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH)
     parsed = cut_lineage(rows.mapInArrow(_parsed, _PARSED).withColumn("unit", F.monotonically_increasing_id()))
     n_entries = parsed.agg(F.sum(F.octet_length("entries"))).first()[0] or 0
-    known = repeated_keys(parsed.select("unit", _limited(F.col("entries")).alias("keys")), 1 + n_entries // 8 // PART_KEYS)
+    parts = 1 + n_entries // 8 // PART_KEYS
+    known = repeated_keys(parsed.select("unit", _limited(F.col("entries")).alias("keys")), parts)
     joined = parsed.join(known, "unit", "left")
     flagged = joined.select(F.explode(_flagged(*map(F.col, ("counts", "bare", "entries", "texts", "known")))).alias("f")).select("f.*")
     flagged = cut_lineage(flagged.groupBy("row").agg(F.first("flags").alias("flags"), F.count("*").alias("copies")))
 
     n = flagged.count()
     blocks = min(BROADCAST_BLOCKS, max(1, n // 16))
-    probed = bloom_probe(rows, "row", F.broadcast(bloom_blocks(flagged, "row", blocks)), blocks).where("possible").select("row", "text")
-    suspects = probed.dropDuplicates(["row"]).join(flagged, "row")
-    members = F.collect_list(F.struct("row", "text", "flags", "copies")).alias("members")
-    units = cut_lineage(suspects.groupBy(F.pmod(F.xxhash64("row"), F.lit(max(1, n // UNIT_TEXTS))).alias("unit")).agg(members))
-
-    parts = 1 + n_entries // 8 // PART_KEYS
-    at_anchors = repeated_keys(units.select("unit", _udf(_anchor_keys)("members").alias("keys")), parts)
-    units = cut_lineage(units.join(at_anchors, "unit", "left"))
-    told = shared_asks(units.select("unit", _udf(_unit_asks)("members", "known").alias("asks")), parts)
-    units = cut_lineage(units.join(told, "unit", "left"))
-    asked = cut_lineage(units.select("unit", _udf(_asked_keys)("members", "told").alias("keys")))
-    n_asked = (asked.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
-    more = repeated_keys(asked, 1 + n_asked // PART_KEYS).withColumnRenamed("known", "more")
-    done = units.join(more, "unit", "left").select(F.explode(_udf(_spans, _REMOVED)("members", "known", "told", "more")).alias("r"))
-    return done.select("r.*")
+    bloom = F.broadcast(bloom_blocks(flagged, "row", blocks))
+    unit = F.pmod(F.xxhash64("row"), F.lit(max(1, n // UNIT_TEXTS))).alias("unit")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = bloom_probe(rows, "row", bloom, blocks).where("possible").select(unit, "row", "text")
+    texts = texts.repartition(buckets, "unit").groupBy("unit").agg(F.collect_list(F.struct("row", "text")).alias("texts"))
+    flags = flagged.select(unit, "*").groupBy("unit").agg(F.collect_list(F.struct("row", "flags", "copies")).alias("flags"))
+    name = f"repeats_units_{uuid.uuid4().hex}"
+    texts.join(flags, "unit").write.bucketBy(buckets, "unit").saveAsTable(name)
+    try:
+        units = spark.table(name)
+        at_anchors = cut_lineage(repeated_keys(units.select("unit", _udf(_anchor_keys)("texts", "flags").alias("keys")), parts))
+        units = units.join(at_anchors, "unit", "left")
+        told = cut_lineage(shared_asks(units.select("unit", _udf(_unit_asks)("texts", "flags", "known").alias("asks")), parts))
+        units = units.join(told, "unit", "left")
+        asked = cut_lineage(units.select("unit", _udf(_asked_keys)("texts", "flags", "told").alias("keys")))
+        n_asked = (asked.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
+        more = repeated_keys(asked, 1 + n_asked // PART_KEYS).withColumnRenamed("known", "more")
+        done = units.join(more, "unit", "left").select(F.explode(_udf(_spans(with_text), _REMOVED)("texts", "flags", "known", "told", "more")).alias("r"))
+        return cut_lineage(done.select("r.*"))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

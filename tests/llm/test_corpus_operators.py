@@ -468,7 +468,7 @@ def test_repeats(spark):
             parts += [p[a:len(p) - rng.randrange(0, 60)], prose(rng, rng.randrange(0, 100), 4000)]
         texts.append("é".join(parts))
     texts += texts[-3:]
-    got = {r["row"]: r["kept"] for r in repeats.removals(docs_of(spark, texts)).collect()}
+    got = {r["row"]: r["kept"] for r in repeats.removals(docs_of(spark, texts), with_text=True).collect()}
     names = {r["doc_id"]: r["name"] for r in docs_of(spark, texts).select("doc_id", row_key("doc_id", "text").alias("name")).collect()}
     want = brute_removed(texts, repeats.LENGTH)
     changed = 0
@@ -483,7 +483,7 @@ def test_repeated_rows_repeat_each_other(spark):
     text = prose(random.Random(11), 120, 4000)
     one = docs_of(spark, [text])
     assert repeats.removals(one).count() == 0
-    both = repeats.removals(one.unionByName(one)).collect()
+    both = repeats.removals(one.unionByName(one), with_text=True).collect()
     assert [bytes(r["kept"]) for r in both] == [b""]
     assert repeats.removals(docs_of(spark, [])).count() == 0
 
