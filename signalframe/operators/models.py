@@ -122,6 +122,11 @@ def _fit_svc(train: DataFrame, classes: int, rows: int, p: Mapping) -> Scorer:
             return _clean(out.withColumn("probability", F.array(1.0 - F.col("score"), F.col("score")))).drop("_sf_margin")
 
         return score_two
+    return _one_against_rest(base, train)
+
+
+def _one_against_rest(base, train: DataFrame) -> Scorer:
+    """One two-class model per class; the class whose model is most in favour wins."""
     model = OneVsRest(classifier=base, featuresCol="_sf_vec", labelCol="y", predictionCol="_sf_pred", weightCol="weight",
                       rawPredictionCol="_sf_raw").fit(train)
 
@@ -143,10 +148,9 @@ def fit_candidate(name: str, train: DataFrame, classes: int, width: int, seed: i
         forest = RandomForestClassifier(**_PROB, weightCol="weight", numTrees=p["trees"], maxDepth=p["depth"], seed=seed)
         return _probabilities(forest.fit(weighted))
     if name == "gradient_boosting":
-        if classes != 2:
-            raise ValueError("gradient boosting separates two classes")
         boosted = GBTClassifier(**_COLUMNS, weightCol="weight", maxIter=p["trees"], maxDepth=p["depth"], seed=seed)
-        return _probabilities(boosted.setProbabilityCol("_sf_prob").setRawPredictionCol("_sf_raw").fit(weighted))
+        boosted = boosted.setProbabilityCol("_sf_prob").setRawPredictionCol("_sf_raw")
+        return _probabilities(boosted.fit(weighted)) if classes == 2 else _one_against_rest(boosted, weighted)
     if name == "mlp":
         net = MultilayerPerceptronClassifier(**_PROB, layers=[width, *p["hidden"], classes], maxIter=p["iterations"], seed=seed)
         return _probabilities(net.fit(weighted))
