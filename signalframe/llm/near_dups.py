@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .components import components
-from .text import LOWER, Words, as_bytes, chunks, hash_words, mix, row_key, window_hashes
+from .text import LOWER, Words, as_bytes, chunks, hash_words, mix, mix_rounds, row_key, window_hashes
 from .url_filter import BROADCAST_BLOCKS, bloom_blocks, bloom_probe
 
 #: Coordinates of a band, and bands: at similarity 0.85 a pair is in no common bucket with 2e-8, at 0.8 with 3e-8 (see ``bands_for``).
@@ -61,8 +61,8 @@ def sketch(elements: np.ndarray, size: int) -> np.ndarray:
     out, empty = np.zeros(size, np.uint64), np.ones(size, bool)
     n, first = len(elements), 0
     while first < size and empty.any():
-        rounds = min(size - first, max(1, 2048 // n))
-        values = np.concatenate([mix(elements, first + i) for i in range(rounds)])
+        rounds = min(size - first, max(1, 4096 // n))
+        values = mix_rounds(elements, first, rounds).ravel()
         bins = ((values >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((values, np.repeat(np.arange(rounds), n), bins))
         bins = bins[order]
@@ -71,8 +71,9 @@ def sketch(elements: np.ndarray, size: int) -> np.ndarray:
         out[bins[lead]] = values[order[lead]]
         empty[bins[lead]] = False
         first += rounds
-    for j in np.flatnonzero(empty):
-        out[j] = mix(elements, size + int(j)).min()
+    left = np.flatnonzero(empty)
+    if len(left):
+        out[left] = mix_rounds(elements, size, size).min(1)[left]
     return out
 
 
@@ -126,11 +127,16 @@ def _sketched(text: Column, shingle: int, bands: int) -> Column:
 
 
 def _sets(text: Column, shingle: int) -> Column:
+    """The sets of a text column and their hashes, from one Python worker per task."""
+    kind = T.StructType([T.StructField("elements", T.BinaryType()), T.StructField("key", T.BinaryType())])
+
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in columns:
-            yield pa.array([s.tobytes() for _, part in chunks(texts) for s in shingle_sets(as_bytes(part), shingle)], type=pa.binary())
+            blobs = [s.tobytes() or None for _, part in chunks(texts) for s in shingle_sets(as_bytes(part), shingle)]
+            keys = [b and xxhash.xxh3_128_digest(b) for b in blobs]
+            yield pa.StructArray.from_arrays([pa.array(blobs, pa.binary()), pa.array(keys, pa.binary())], names=kind.names)
 
-    return F.arrow_udf(batches, T.BinaryType(), F.ArrowUDFType.SCALAR_ITER)(text)
+    return F.arrow_udf(batches, kind, F.ArrowUDFType.SCALAR_ITER)(text)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -272,25 +278,16 @@ def _candidate_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, member
     texts = docs.select(F.col(doc_id).alias("least"), F.col(text).alias("text"))
     texts = bloom_probe(texts, "least", bloom, blocks).where("possible").select("least", "text")
     # An id may have several texts: the set's own hash tells them apart.
-    made = texts.join(wanted.select("least").distinct(), "least", "left_semi").select(_sets(F.col("text"), shingle).alias("elements"))
-    made = made.where(F.length("elements") > 0).withColumn("key", _key(F.col("elements"))).dropDuplicates(["key"])
-    sets = made.join(wanted.select("key", "node", "n"), "key").select("node", "n", "elements")
+    made = texts.join(wanted.select("least").distinct(), "least", "left_semi").select(_sets(F.col("text"), shingle).alias("s")).select("s.*")
+    sets = made.dropDuplicates(["key"]).join(wanted.select("key", "node", "n"), "key").select("node", "n", "elements")
     # A class whose ids are all null has no id to look up; its text is found by its hash.
     lost = wanted.where("least IS NULL")
     if not lost.isEmpty():
-        nameless = docs.where(F.col(doc_id).isNull()).select(_sets(F.col(text), shingle).alias("elements")).where(F.length("elements") > 0)
-        nameless = nameless.withColumn("key", _key(F.col("elements"))).dropDuplicates(["key"])
+        nameless = docs.where(F.col(doc_id).isNull()).select(_sets(F.col(text), shingle).alias("s")).select("s.*").dropDuplicates(["key"])
         sets = sets.unionByName(nameless.join(lost.select("key", "node", "n"), "key").select("node", "n", "elements"))
     return cut_lineage(sets)
 
 
-def _key(elements: Column) -> Column:
-    def digest(values: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_128_digest(v.as_buffer()) for v in values], type=pa.binary())
-
-    return F.arrow_udf(digest, T.BinaryType(), F.ArrowUDFType.SCALAR)(elements)
-
-
 def keep_one(docs: DataFrame, shingle: int = 5, up: int = 4, down: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay: of each group one row of the smallest id, rows without id coming last.
 

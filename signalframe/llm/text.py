@@ -15,7 +15,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Translation that lower-cases A-Z and turns every ASCII byte that is no letter or digit into a blank.
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Text handled at once inside a task; bounds the arrays of a batch, a longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _M1, _M2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,6 +47,18 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.
         start = stop
 
 
+def mix_rounds(x: np.ndarray, first: int, rounds: int) -> np.ndarray:
+    """``mix`` of x under ``rounds`` consecutive seeds, a row each."""
+    seeds = (np.arange(first + 1, first + rounds + 1, dtype=np.uint64) * _GOLDEN)[:, None]
+    out = x + seeds
+    out ^= out >> np.uint64(30)
+    out *= _M1
+    out ^= out >> np.uint64(27)
+    out *= _M2
+    out ^= out >> np.uint64(31)
+    return out
+
+
 class Words:
     """The words of several texts as numbers.
 
