@@ -181,22 +181,28 @@ def _array(blobs) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join(blobs or ()), np.uint64))
 
 
-def repeated_keys(units: DataFrame, parts: int) -> DataFrame:
-    """``unit`` and ``known``: from ``unit`` and ``keys`` (sorted uint64, at most two of each), those that occur twice anywhere."""
-    kind = T.ArrayType(T.StructType([T.StructField("part", T.LongType()), T.StructField("keys", T.BinaryType())]))
+def _parted(fn, dtype: np.dtype, field: str | None, parts: int):
+    """UDF: what ``fn`` gives (binary, sorted by the key in ``field``), cut by ranges of the key into (part, data)."""
+    kind = T.ArrayType(T.StructType([T.StructField("part", T.LongType()), T.StructField("data", T.BinaryType())]))
 
-    def split(columns: pa.Array) -> pa.Array:
+    def split(*columns: pa.Array) -> pa.Array:
         rows = []
-        for blob in columns.to_pylist():
-            keys = np.frombuffer(blob, np.uint64)
+        for blob in fn(*columns).to_pylist():
+            data = np.frombuffer(blob, dtype)
+            keys = data[field] if field else data
             part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]]) if len(keys) else [0]
-            rows.append([{"part": int(part[a]), "keys": keys[a:b].tobytes()} for a, b in zip(edges[:-1], edges[1:])])
-        return pa.array(rows, type=pa.list_(pa.struct([("part", pa.int64()), ("keys", pa.binary())])))
+            rows.append([{"part": int(part[a]), "data": data[a:b].tobytes()} for a, b in zip(edges[:-1], edges[1:])])
+        return pa.array(rows, type=pa.list_(pa.struct([("part", pa.int64()), ("data", pa.binary())])))
 
+    return F.arrow_udf(split, kind, F.ArrowUDFType.SCALAR)
+
+
+def repeated_keys(units: DataFrame, columns: list[str], fn, parts: int) -> DataFrame:
+    """``unit`` and ``known``: of the keys (sorted uint64, at most two of each) that ``fn`` makes of a unit, those that occur twice anywhere."""
     def compare(table: pa.Table) -> pa.Table:
         unit = table["unit"].to_numpy()
-        blobs = table["keys"].to_pylist()
+        blobs = table["data"].to_pylist()
         keys = np.frombuffer(b"".join(blobs), np.uint64)
         row = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(b) // 8 for b in blobs])
         order = np.argsort(keys, kind="stable")
@@ -213,7 +219,7 @@ def repeated_keys(units: DataFrame, parts: int) -> DataFrame:
         return pa.table({"unit": pa.array(unit[whose[edges[:-1]]], pa.int64()),
                          "keys": pa.array([out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
 
-    sent = units.select("unit", F.explode(F.arrow_udf(split, kind, F.ArrowUDFType.SCALAR)("keys")).alias("p")).select("unit", "p.*")
+    sent = units.select("unit", F.explode(_parted(fn, np.dtype(np.uint64), None, parts)(*columns)).alias("p")).select("unit", "p.*")
     found = sent.groupBy("part").applyInArrow(compare, "unit long, keys binary")
     return found.groupBy("unit").agg(F.collect_list("keys").alias("known"))
 
@@ -237,28 +243,17 @@ def _asks(entries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def shared_asks(units: DataFrame, parts: int) -> DataFrame:
-    """``unit`` and ``told``: from ``unit`` and ``asks``, what any unit asks about the entries that a unit has."""
-    kind = T.ArrayType(T.StructType([T.StructField("part", T.LongType()), T.StructField("asks", T.BinaryType())]))
-
-    def split(columns: pa.Array) -> pa.Array:
-        rows = []
-        for blob in columns.to_pylist():
-            asks = np.frombuffer(blob, _ASK)
-            part = ((asks["entry"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(asks)]]) if len(asks) else [0]
-            rows.append([{"part": int(part[a]), "asks": asks[a:b].tobytes()} for a, b in zip(edges[:-1], edges[1:])])
-        return pa.array(rows, type=pa.list_(pa.struct([("part", pa.int64()), ("asks", pa.binary())])))
-
+def shared_asks(units: DataFrame, columns: list[str], fn, parts: int) -> DataFrame:
+    """``unit`` and ``told``: what any unit asks about the entries that a unit has; ``fn`` makes the asks of a unit."""
     def answer(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b, _ASK) for b in table["asks"].to_pylist()]
+        blobs = [np.frombuffer(b, _ASK) for b in table["data"].to_pylist()]
         every = np.concatenate(blobs)
         told = _asks(every["entry"], every["low"], every["high"])
         told = told[told["high"] >= told["low"]]
         answers = [told[_among(told["entry"], b["entry"])].tobytes() for b in blobs]
         return pa.table({"unit": table["unit"].cast(pa.int64()), "told": pa.array(answers, pa.binary())})
 
-    sent = units.select("unit", F.explode(F.arrow_udf(split, kind, F.ArrowUDFType.SCALAR)("asks")).alias("p")).select("unit", "p.*")
+    sent = units.select("unit", F.explode(_parted(fn, _ASK, "entry", parts)(*columns)).alias("p")).select("unit", "p.*")
     found = sent.groupBy("part").applyInArrow(answer, "unit long, told binary").where(F.octet_length("told") > 0)
     return found.groupBy("unit").agg(F.collect_list("told").alias("told"))
 
@@ -280,9 +275,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([bare.tolist()], pa.list_(pa.bool_())), pa.array([keys.tobytes()], pa.binary())], names=_PARSED.names)
 
 
-def _limited(blob: Column) -> Column:
-    return F.arrow_udf(lambda a: pa.array([limited(np.frombuffer(b, np.uint64)).tobytes() for b in a.to_pylist()], type=pa.binary()),
-                       T.BinaryType(), F.ArrowUDFType.SCALAR)(blob)
+def _limited(blobs: pa.Array) -> pa.Array:
+    return pa.array([limited(np.frombuffer(b, np.uint64)).tobytes() for b in blobs.to_pylist()], type=pa.binary())
+
+
+def _as_is(blobs: pa.Array) -> pa.Array:
+    return blobs
 
 
 def _flagged(counts: Column, bare: Column, keys: Column, rows: Column, known: Column) -> Column:
@@ -382,7 +380,7 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_t
     parsed = cut_lineage(rows.mapInArrow(_parsed, _PARSED).withColumn("unit", F.monotonically_increasing_id()))
     n_entries = parsed.agg(F.sum(F.octet_length("entries"))).first()[0] or 0
     parts = 1 + n_entries // 8 // PART_KEYS
-    known = repeated_keys(parsed.select("unit", _limited(F.col("entries")).alias("keys")), parts)
+    known = repeated_keys(parsed.select("unit", "entries"), ["entries"], _limited, parts)
     joined = parsed.join(known, "unit", "left")
     flagged = joined.select(F.explode(_flagged(*map(F.col, ("counts", "bare", "entries", "texts", "known")))).alias("f")).select("f.*")
     flagged = cut_lineage(flagged.groupBy("row").agg(F.first("flags").alias("flags"), F.count("*").alias("copies")))
@@ -399,13 +397,13 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_t
     texts.join(flags, "unit").write.bucketBy(buckets, "unit").saveAsTable(name)
     try:
         units = spark.table(name)
-        at_anchors = cut_lineage(repeated_keys(units.select("unit", _udf(_anchor_keys)("texts", "flags").alias("keys")), parts))
+        at_anchors = cut_lineage(repeated_keys(units, ["texts", "flags"], _anchor_keys, parts))
         units = units.join(at_anchors, "unit", "left")
-        told = cut_lineage(shared_asks(units.select("unit", _udf(_unit_asks)("texts", "flags", "known").alias("asks")), parts))
+        told = cut_lineage(shared_asks(units, ["texts", "flags", "known"], _unit_asks, parts))
         units = units.join(told, "unit", "left")
         asked = cut_lineage(units.select("unit", _udf(_asked_keys)("texts", "flags", "told").alias("keys")))
         n_asked = (asked.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
-        more = repeated_keys(asked, 1 + n_asked // PART_KEYS).withColumnRenamed("known", "more")
+        more = repeated_keys(asked, ["keys"], _as_is, 1 + n_asked // PART_KEYS).withColumnRenamed("known", "more")
         done = units.join(more, "unit", "left").select(F.explode(_udf(_spans(with_text), _REMOVED)("texts", "flags", "known", "told", "more")).alias("r"))
         return cut_lineage(done.select("r.*"))
     finally:
