@@ -20,6 +20,11 @@ def signed_fixed(x: Column, digits: int) -> Column:
     return F.concat(F.when(x >= 0, F.lit("+")).otherwise(F.lit("")), fixed(x, digits))
 
 
+def timestamp_tag(at: Column | None = None) -> Column:
+    """A time, or the present one, as yyyymmdd-hhmmss in the session's time zone."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd-HHmmss")
+
+
 def six_digits(x: Column) -> Column:
     """Shortest text with six significant digits (the %.6g rules); "nan" for missing or infinite."""
     x = x.cast("double")

@@ -55,9 +55,13 @@ def target_missing(df: DataFrame, target: str):
     return is_missing(f"`{target}`", floating=dict(df.dtypes)[target] in ("float", "double"))
 
 
-def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
-    """Keep rows with a target.  Only numeric targets can be missing: text nulls become a class."""
+def drop_missing_target(df: DataFrame, target: str, text_nulls: str = "class") -> DataFrame:
+    """Keep rows with a target.  A null text is a class of its own, or missing too with ``text_nulls="drop"``."""
     require_columns(df, [target])
+    if text_nulls not in ("class", "drop"):
+        raise ValueError("text_nulls must be 'class' or 'drop'")
+    if text_nulls == "drop" and not is_numeric(dict(df.dtypes)[target]):
+        return df.where(F.col(f"`{target}`").isNotNull())
     return df.where(~target_missing(df, target)) if is_numeric(dict(df.dtypes)[target]) else df
 
 

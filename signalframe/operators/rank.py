@@ -15,15 +15,13 @@ def fisher_scores(df: DataFrame, features: str, label: str, names: Sequence[str]
     Rows are reduced to (class, feature) moments in one pass; the rest works on that table.
     """
     m = feature_moments(df, features, len(names), [label])
-    overall = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
-    totals = m.groupBy("idx").agg(
-        overall.alias("mu"),
-        F.sum(F.col("n") * F.col("var")).alias("within"),
-        F.collect_list(F.struct("n", "mean")).alias("cells"),
-    )
-    between = F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["n"] * (c["mean"] - F.col("mu")) * (c["mean"] - F.col("mu")))
+    # The table of moments is small; the mean over classes is added to its rows, so no class list is built.
+    per = W.partitionBy("idx")
+    m = m.withColumn("mu", F.sum(F.col("n") * F.col("mean")).over(per) / F.sum("n").over(per))
+    off = F.col("mean") - F.col("mu")
+    totals = m.groupBy("idx").agg(F.sum(F.col("n") * off * off).alias("between"), F.sum(F.col("n") * F.col("var")).alias("within"))
     name = F.get(F.array(*[F.lit(n) for n in names]), F.col("idx"))
-    return totals.select("idx", name.alias("feature"), (between / F.greatest("within", F.lit(1e-8))).alias("score"))
+    return totals.select("idx", name.alias("feature"), (F.col("between") / F.greatest("within", F.lit(1e-8))).alias("score"))
 
 
 def ranked(scores: DataFrame) -> DataFrame:

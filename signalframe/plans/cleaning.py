@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..functions.text import domain_group, fixed, in_layout, index_of, parse_array, prefix_of, prompt_text, six_digits, slug
-from ..operators import clean, labels, spec
-from .frames import SQL_CELLS, SQL_RUNS, run_table, table, vectors
+from ..functions.text import domain_group, fixed, in_layout, index_of, parse_array, prefix_of, prompt_text, six_digits, slug, timestamp_tag
+from ..operators import clean, labels, prepare, spec
+from .frames import SQL_CELLS, SQL_RUNS, SQL_SPLIT, run_table, table, vectors
 from .registry import query
 
 
@@ -44,12 +44,18 @@ def sanitize_columns(spark, d):
     return kept.groupBy("flag").agg(F.count("*").alias("n"), rounded(F.sum("quantity")).alias("q"))
 
 
+_STRICT = {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "quantity": "quantity", "tax": "tax", "flag": "flag", "empty": "NULL",
+           "Unnamed: 7": "l_linenumber", "target": "target"}
+
+
 @query("sanitize_columns_strict", "PRJ-2",
-       """SELECT c AS column_name FROM (VALUES ('l_orderkey'), ('l_linenumber'), ('quantity'), ('tax'), ('flag'), ('empty'), ('Unnamed: 7'), ('target')) v(c)
-WHERE EXISTS (SELECT 1 FROM lineitem)""")
+       f"WITH {SQL_DIRTY} {' UNION ALL '.join(f"SELECT '{c}' AS column_name, count({e}) AS n FROM dirty" for c, e in _STRICT.items())}")
 def sanitize_columns_strict(spark, d):
+    """Values per column that the strict rule keeps."""
     kept = clean.sanitize(dirty_items(spark, d), "target", strict=True)
-    return kept.limit(1).select(F.explode(F.lit(kept.columns)).alias("column_name"))
+    counts = kept.agg(*[F.count(f"`{c}`").alias(c) for c in kept.columns])
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("n")) for c in kept.columns]
+    return counts.select(F.inline(F.array(*cells)))
 
 
 @query("drop_leakage", "PRJ-3 SET-5",
@@ -67,6 +73,12 @@ def drop_missing_target(spark, d):
     return clean.drop_missing_target(dirty_items(spark, d), "target").select("l_orderkey", "l_linenumber", "target")
 
 
+@query("drop_missing_text_target", "PRJ-4", f"WITH {SQL_DIRTY} SELECT l_orderkey, l_linenumber, flag FROM dirty WHERE flag IS NOT NULL")
+def drop_missing_text_target(spark, d):
+    """A text target whose nulls are missing, not a class."""
+    return clean.drop_missing_target(dirty_items(spark, d), "flag", text_nulls="drop").select("l_orderkey", "l_linenumber", "flag")
+
+
 @query("missing_target_count", "PRJ-4", f"WITH {SQL_DIRTY} SELECT count(*) FILTER (target IS NULL) AS dropped FROM dirty")
 def missing_target_count(spark, d):
     return clean.missing_target_count(dirty_items(spark, d), "target")
@@ -332,12 +344,61 @@ def six_digit_text(spark, d):
     return e.select("event_id", six_digits(F.col("value") * 1234.5678).alias("text"), six_digits(F.col("value") / 98765432.1).alias("small"))
 
 
+@query("timestamp_tags", "STR-7", "SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS tag FROM events")
+def timestamp_tags(spark, d):
+    return table(spark, d, "events").select("event_id", timestamp_tag(F.col("ts")).alias("tag"))
+
+
 @query("prompt_texts", "STR-4 STR-6",
        f"""WITH {SQL_CELLS} SELECT vec_id, 'EMC signal classification sample.' || chr(10) || 'Task: Name the class.' || chr(10)
 || 'Label meanings: 0=quiet; 1=busy.' || chr(10) || 'Observed features (spectrum-sensing style statistics where applicable): '
-|| string_agg(CASE i WHEN 0 THEN 'phase_a_current' WHEN 1 THEN 'phase_b_current' WHEN 2 THEN 'SU1_cov_flat_mean' WHEN 3 THEN 'SU1_cov_flat_max_eigenvalue' ELSE 'SU1_cov_flat_versus_SU2_cov_flat_cosine' END || '=' || format('{{:.6g}}', v), '; ' ORDER BY i) AS prompt
-FROM cells WHERE i < 5 GROUP BY vec_id""")
+|| string_agg(CASE i WHEN 0 THEN 'phase_a_current' WHEN 1 THEN 'phase_b_current' WHEN 2 THEN 'SU1_cov_flat_mean' WHEN 3 THEN 'SU1_cov_flat_max_eigenvalue' WHEN 4 THEN 'SU1_cov_flat_versus_SU2_cov_flat_cosine' ELSE 'x' || (i - 5) END || '=' || format('{{:.6g}}', v), '; ' ORDER BY i) AS prompt
+FROM cells GROUP BY vec_id""")
 def prompt_texts(spark, d):
     names = ["Ia", "Ib", "SU1_cov_flat__mean", "SU1_cov_flat_phys_eig_max", "SU1_cov_flat_vs_SU2_cov_flat_cosine"] + [f"x{i}" for i in range(59)]
-    text = prompt_text(F.col("features"), names, "Name the class.", {"1": "busy", "0": "quiet"}, limit=5)
+    text = prompt_text(F.col("features"), names, "Name the class.", {"1": "busy", "0": "quiet"})
     return vectors(spark, d).select("vec_id", text.alias("prompt"))
+
+
+# Orders with gaps: their ids are unique, as a split needs them.
+SQL_GAPS = """gaps AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price,
+         CASE WHEN o_orderkey % 11 = 0 THEN 'NaN'::DOUBLE ELSE (o_custkey % 50)::DOUBLE END AS rest,
+         CASE WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END AS flag, CASE WHEN o_orderkey % 5 <> 0 THEN (o_custkey % 3)::DOUBLE END AS target
+  FROM orders)"""
+
+
+def orders_with_gaps(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        k, F.when(k % 7 != 0, F.col("o_totalprice")).alias("price"), F.when(k % 11 == 0, F.lit(float("nan"))).otherwise((F.col("o_custkey") % 50).cast("double")).alias("rest"),
+        F.when(k % 13 != 0, F.col("o_orderstatus")).alias("flag"), F.when(k % 5 != 0, F.col("o_custkey") % 3).cast("double").alias("target"),
+        F.col("o_custkey").alias("later"), F.lit(None).cast("double").alias("Unnamed: 8"))
+
+
+_SPLIT_ITEMS = SQL_SPLIT[SQL_SPLIT.index("), sized AS"):].replace("SELECT vec_id, label, CASE", "SELECT *, CASE")
+
+
+def _prepared_sql(source: str, columns: dict[str, str], y: str, shown: str, seed: int) -> str:
+    """Split and standardise the numbers in ``columns``, named as the features, by class ``y``."""
+    z = ", ".join(f"(x.{c} - avg(x.{c}) FILTER (split = 'train') OVER ()) / CASE WHEN stddev_pop(x.{c}) FILTER (split = 'train') OVER () < 1e-12 "
+                  f"THEN 1.0 ELSE stddev_pop(x.{c}) FILTER (split = 'train') OVER () END AS z_{c}" for c in columns)
+    return f"""WITH {SQL_GAPS}, {source}, x AS (SELECT o_orderkey, {shown}, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM rows),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {y} ORDER BY md5('{seed}|' || o_orderkey)) AS rn,
+  count(*) OVER (PARTITION BY {y}) AS n, count(*) OVER () AS total FROM x
+{_SPLIT_ITEMS}, scaled AS (SELECT *, {z} FROM split x)
+SELECT o_orderkey, {y}, split, {', '.join(f'round(z_{c}, 5) + 0.0 AS {c}' for c in columns)} FROM scaled"""
+
+
+_FLAGS = {f"flag__{v}": f"(coalesce(flag, 'missing') = '{v}')::INT::DOUBLE" for v in ("F", "O", "P", "missing")}
+
+
+@query("prepared_table", "PRJ-5 PRJ-7 SMP-1", _prepared_sql(
+    """rows AS (SELECT *, dense_rank() OVER (ORDER BY target) - 1 AS y, avg(price) OVER () AS mq, avg(rest) FILTER (NOT isnan(rest)) OVER () AS mt
+  FROM gaps WHERE target IS NOT NULL)""",
+    {"price": "coalesce(price, mq)", "rest": "CASE WHEN isnan(rest) THEN mt ELSE rest END", **_FLAGS}, "y", "CAST(y AS INT) AS y", 42))
+def prepared_table(spark, d):
+    """A whole preparation run for one target: all features of all rows."""
+    p = prepare.prepare(orders_with_gaps(spark, d), ["o_orderkey"], "target", ["later", "not_there"])
+    assert p.dropped == ["later"]
+    return p.rows.select("o_orderkey", "y", "split", *[rounded(F.get("features", F.lit(i)), 5).alias(n) for i, n in enumerate(p.names)])
