@@ -28,18 +28,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .text import ALNUM
+from .near_dups import shingle_sets, sketch
+from .text import ALNUM, as_bytes, chunks
 
 #: Most labelled rows that the lexicon and the regression are fitted on.
 SAMPLE_ROWS = 24_000
-#: A term must be in so many toxic documents of the sample (or this share of them), and be so many times as frequent there.
-LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 3, 0.003, 15.0
+#: A term must be so many times as frequent in toxic documents of the sample, and be so by more than chance gives one of
+#: a million candidates (log-likelihood ratio).
+LEAST_LIFT, LEAST_EVIDENCE = 6.0, 30.0
+#: A whole term that begins with a stem is kept, for its misspellings, if it makes up this share of the stem's documents.
+OF_STEM = 0.5
 #: Terms from this length on may have one error: a character missing, added or replaced, or two neighbours swapped.
 ERROR_LENGTH = 5
 #: Stems have so many characters; a stem matches a word that begins with it.
 STEM_LENGTHS = range(4, 9)
 #: Most terms that are broadcast, the most frequent first.
 MOST_TERMS = 2000
+#: Coordinates of the sketch that finds copies in the sample, and how many equal ones make a copy.
+BRIEF, COPY = 24, 8
 #: Words on either side of a match that are looked at.
 CONTEXT = 6
 #: Words of reporting, which mark a quoted term.
@@ -136,13 +142,14 @@ class Scorer:
         if not any([self._kind(w) for w in set(words)]):
             return (0.0,) * N_FEATURES
         counts = [0.0, 0.0, 0.0]  # plain, misspelled, quoted
-        tokens = _TOKEN.findall(text)
+        found = {w.decode("utf-8", "replace"): k for w in set(words) if (k := self.known[w])}
+        tokens = _TOKEN.findall(text.translate(_ASCII_LOWER))
         for i, token in enumerate(tokens):
-            kind = self._kind(token.translate(_ASCII_LOWER).encode())
+            kind = found.get(token)
             if kind:
                 before, after = tokens[max(0, i - CONTEXT):i], tokens[i + 1:i + 1 + CONTEXT]
                 quoted = 1.0 if not _MARKS.isdisjoint(before) and not _MARKS.isdisjoint(after) else 0.0
-                if not quoted and any(t.lower() in REPORTING for t in (*before, *after)):
+                if not quoted and not REPORTING.isdisjoint((*before, *after)):
                     quoted = REPORTED
                 counts[0 if kind == 2 else 1] += 1 - quoted
                 counts[2] += quoted
@@ -208,15 +215,22 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         return Lexicon([], [])
     counts = sample.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    lift = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    found = counts.where((F.col("toxic") >= least) & (lift >= LEAST_LIFT)).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS)
-    terms = [r["term"] for r in found.collect()]
+    share = n_toxic / (n_toxic + n_clean)
+    t, c = F.col("toxic"), F.col("clean")
+    lift = (t + 0.5) / (n_toxic + 1) / ((c + 0.5) / (n_clean + 1))
+    evidence = 2 * (t * F.ln(t / ((t + c) * share)) + F.when(c > 0, c * F.ln(c / ((t + c) * (1 - share)))).otherwise(0.0))
+    found = counts.where((t > 0) & (lift >= LEAST_LIFT)).where(evidence >= LEAST_EVIDENCE).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS)
+    terms = {r["term"]: r["toxic"] for r in found.collect()}
     stems: set[str] = set()
-    for s in sorted((t[:-1] for t in terms if t.endswith("*")), key=lambda s: (len(s), s)):
+    for s in sorted((x[:-1] for x in terms if x.endswith("*")), key=lambda s: (len(s), s)):
         if not any(s[:n] in stems for n in STEM_LENGTHS if n < len(s)):
             stems.add(s)
-    return Lexicon(sorted(t for t in terms if not t.endswith("*")), sorted(stems))
+
+    def alone(term: str) -> bool:
+        over = [s for s in (term[:n] for n in STEM_LENGTHS) if s in stems]
+        return not over or terms[term] >= OF_STEM * terms[over[0] + "*"]
+
+    return Lexicon(sorted(x for x in terms if not x.endswith("*") and alone(x)), sorted(stems))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -226,6 +240,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, rows: int
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
 
+def _brief(text: Column) -> Column:
+    """A small similarity sketch; empty for texts without words."""
+    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            sets = [s for _, part in chunks(texts) for s in shingle_sets(as_bytes(part), 3)]
+            yield pa.array([sketch(s, BRIEF).view(np.int64).tolist() if len(s) else [] for s in sets], type=pa.list_(pa.int64()))
+
+    return F.arrow_udf(batches, T.ArrayType(T.LongType()), F.ArrowUDFType.SCALAR_ITER)(text)
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The bounded sample without near copies, which would make the words of one text look like evidence from many."""
+    holders: dict[tuple[int, int], list[int]] = {}
+    kept: list[int] = []
+    for doc_id, brief in sample.select("doc_id", _brief(F.col("text"))).orderBy("doc_id").collect():
+        shared = Counter(k for place in enumerate(brief) for k in holders.get(place, ()))
+        if not shared or max(shared.values()) < COPY:
+            for place in enumerate(brief):
+                holders.setdefault(place, []).append(doc_id)
+            kept.append(doc_id)
+    ids = sample.sparkSession.createDataFrame([(k,) for k in kept], "doc_id long")
+    return sample.join(F.broadcast(ids), "doc_id", "left_semi")
+
+
 def _features(text: Column, lexicon: Lexicon) -> Column:
     def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(lexicon)
@@ -236,8 +274,9 @@ def _features(text: Column, lexicon: Lexicon) -> Column:
 
 
 def fit(sample: DataFrame) -> Model:
-    """Lexicon and weights from a bounded sample with ``text`` and ``toxic``."""
+    """Lexicon and weights from a bounded sample with ``doc_id``, ``text`` and ``toxic``."""
     sample = cut_lineage(sample)
+    sample = cut_lineage(without_copies(sample))
     lexicon = learn_lexicon(sample)
     rows = sample.select(_features(F.col("text"), lexicon).alias("x"), "toxic").collect()
     x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), N_FEATURES)
