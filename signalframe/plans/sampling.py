@@ -69,6 +69,40 @@ def inner_holdout(spark, d):
     return split.holdout_rows(folds.where("fold <> 0").drop("fold"), ["vec_id"], "label", 0.15, seed=43)
 
 
+# Orders with a class that is null for some: null is a class of its own and its rows stay.
+SQL_NULL_CLASS = "o AS (SELECT o_orderkey, CASE WHEN o_custkey % 9 <> 0 THEN o_orderpriority END AS cls FROM orders)"
+
+
+def null_classes(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 9 != 0, F.col("o_orderpriority")).alias("cls"))
+
+
+@query("null_class_split", "SMP-1",
+       f"""WITH {SQL_NULL_CLASS}, r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5('13|' || o_orderkey)) AS rn, count(*) OVER (PARTITION BY cls) AS n, count(*) OVER () AS t FROM o),
+s AS (SELECT *, round_even(t * 0.8, 0) AS nt, round_even(t * 0.1, 0) AS nv FROM r),
+q AS (SELECT *, greatest(1, round_even(n * nv / t, 0)) AS qv, greatest(1, round_even(n * nt / t, 0)) AS qt FROM s)
+SELECT o_orderkey, cls, CASE WHEN rn <= qt THEN 'train' WHEN rn <= qt + qv THEN 'val' ELSE 'test' END AS split FROM q""")
+def null_class_split(spark, d):
+    return split.split_rows(null_classes(spark, d), ["o_orderkey"], "cls", 0.8, 0.1, seed=13)
+
+
+@query("null_class_folds", "SMP-5 SMP-6",
+       f"""WITH {SQL_NULL_CLASS}, f AS (SELECT *, CAST(ntile(5) OVER (PARTITION BY cls ORDER BY md5('42|' || o_orderkey)) - 1 AS INT) AS fold FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5('43|' || o_orderkey)) AS rn, count(*) OVER (PARTITION BY cls) AS n FROM f)
+SELECT o_orderkey, cls, fold, CASE WHEN rn <= greatest(1, round_even(n * 0.15, 0)) THEN 'val' ELSE 'train' END AS part FROM r""")
+def null_class_folds(spark, d):
+    folds = split.fold_rows(null_classes(spark, d), ["o_orderkey"], "cls", 5, seed=42)
+    return split.holdout_rows(folds, ["o_orderkey"], "cls", 0.15, seed=43)
+
+
+@query("null_class_weights", "SMP-9 AGG-23",
+       f"""WITH {SQL_NULL_CLASS}, n AS (SELECT cls, count(*)::DOUBLE AS n FROM o GROUP BY cls)
+SELECT o_orderkey, o.cls, round((SELECT sum(n) / count(*) FROM n) / n.n, 9) AS weight FROM o JOIN n ON o.cls IS NOT DISTINCT FROM n.cls""")
+def null_class_weights(spark, d):
+    w = split.with_class_weights(null_classes(spark, d), "cls")
+    return w.withColumn("weight", rounded("weight", 9))
+
+
 @query("learning_curve_subset", "SMP-7",
        """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('9|' || o_orderkey)) AS rn, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey FROM r WHERE rn <= greatest(2, round_even(n * 0.35, 0))""")

@@ -154,3 +154,21 @@ def test_plans_do_not_shuffle_the_payload(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     plan = split.split_rows(e, ["vec_id"], "label", 0.7, 0.15, 3)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_null_groups_stay(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") % 5 != 0, F.col("id") % 3).alias("y"), (F.col("id") * 7 % 101).cast("double").alias("score"))
+    assert split.split_rows(df, ["id"], "y").count() == 400
+    assert split.fold_rows(df, ["id"], "y", 4).groupBy("y").count().count() == 4
+    assert split.holdout_rows(df, ["id"], "y", 0.2, 1).count() == 400
+    assert split.with_class_weights(df, "y").where("weight IS NULL").count() == 0
+    sums = ordering.running_sums(df.groupBy("y", "score").agg(F.count("*").alias("n")), "score", ["n"], ["y"])
+    assert {r["y"]: r["m"] for r in sums.groupBy("y").agg(F.max("cum_n").alias("m")).collect()} == {None: 80, 0: 107, 1: 107, 2: 106}
+    for small in (10**9, 10):
+        q = ordering.exact_quantiles(df, "score", [0.5], ["y"], small_group=small)
+        assert q.count() == 4 and q.where("y IS NULL AND quantile IS NOT NULL").count() == 1
+
+
+def test_ids_with_nulls_have_different_keys(spark):
+    rows = spark.createDataFrame([(1, None), (None, 1)], "a int, b int")
+    assert rows.select(hash_key(1, "a", "b")).distinct().count() == 2
