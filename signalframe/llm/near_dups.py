@@ -44,6 +44,8 @@ MISS = 3e-8
 BRIEF, SLACK = 128, 0.21
 #: Members of a bucket that are compared with all others in the second search; eight times as many in each after it.
 HUBS = 8
+#: All members at once where their pairs across components are no more than so many times the members of all buckets.
+FEW = 4
 
 SCHEMA = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()),
@@ -210,27 +212,29 @@ def _links(members: DataFrame, classes: DataFrame, sets: DataFrame, t: Threshold
     found = cut_lineage(_verified(tested, classes, sets, t))
     nodes = members.select("node").distinct().withColumn("c", F.col("node"))
     labels = cut_lineage(_contracted(nodes, found))
-    share = HUBS
+    share, many = HUBS, FEW * members.count()
     while True:
         placed = members.join(labels, "node")
         open_buckets = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
         placed = cut_lineage(placed.join(open_buckets, "bucket"))
-        chance = F.pmod(F.xxhash64("bucket", "node", F.lit(share)), F.greatest(F.lit(1), F.ceil(F.col("size") / share)))
-        hub = placed.where(chance == 0).select("bucket", F.col("node").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"))
+        parts = placed.groupBy("bucket", "c").agg(F.count("*").cast("double").alias("k")).groupBy("bucket").agg((F.pow(F.sum("k"), 2) - F.sum(F.col("k") * F.col("k"))).alias("cross"))
+        cross = parts.agg(F.sum("cross")).first()[0]
+        if not cross:
+            return labels
+        everyone = cross <= many or share >= largest
+        chance = F.pmod(F.xxhash64("node", F.lit(share)), F.greatest(F.lit(1), F.ceil(F.col("size") / share)))
+        hub = placed.where(F.lit(everyone) | (chance == 0)).select("bucket", F.col("node").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"))
         pairs = placed.join(hub, "bucket").where((F.col("c") != F.col("hc")) & t.possible(F.col("n"), F.col("hn")))
         fresh = cut_lineage(pairs.select(*pair("node", "h")).distinct().join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if share >= largest:
-                return labels
-        else:
+        if not fresh.isEmpty():
             tested = cut_lineage(tested.unionByName(fresh))
             found = _verified(fresh, classes, sets, t)
             at = lambda c: labels.select(F.col("node").alias(c), F.col("c").alias(f"c{c}"))
             between = cut_lineage(found.join(at("a"), "a").join(at("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             if not between.isEmpty():
                 labels = cut_lineage(_contracted(labels, between))
-            if share >= largest:
-                return labels
+        if everyone:
+            return labels
         share *= 8
 
 
