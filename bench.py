@@ -24,7 +24,7 @@ HEADLINE = [
     "three_phase_items", "vector_aggregates", "detector_statistics", "temporal_statistics", "event_time_statistics", "event_steps",
     "fft_summary", "stft_summary", "waveform_head", "wide_signals", "macro_summary", "per_class_metrics", "roc_pr_areas",
     "threshold_best", "multitask_metrics", "best_run_per_dataset", "benchmark_ranking", "family_means", "run_records", "slugs",
-    "prompt_texts",
+    "prompt_texts", "prepared_table", "logistic_regression_model", "random_forest_model", "cross_validation", "wide_signal_spectra",
 ]
 
 

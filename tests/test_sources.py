@@ -21,7 +21,7 @@ def test_csv_and_parquet_agree(spark, tmp_path):
 def test_array_text_with_line_breaks_survives_csv(spark, tmp_path):
     text = "array([1.0, 2.0,\n       3.0])"
     sinks.write_csv(spark.createDataFrame([(1, text)], "id int, a string"), str(tmp_path / "a.csv"))
-    assert readers.read_csv(spark, str(tmp_path / "a.csv")).first()["a"] == text
+    assert readers.read_csv(spark, str(tmp_path / "a.csv"), multiline=True).first()["a"] == text
 
 
 def test_directory_prefers_csv(spark, tmp_path):
