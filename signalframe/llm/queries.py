@@ -207,7 +207,30 @@ def op8_benchmark_decontamination(spark, sf_dir):
                        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), contamination.is_contaminated(c).alias("contaminated"))
 
 
-@query("op9_quality_rules")
+@query("op9_quality_rules", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM l),
+c AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS chars FROM w GROUP BY doc_id),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS g
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM l, (VALUES (3), (5), (6), (7), (8), (9), (10)) v(n) WHERE len(ws) >= n)),
+rep AS (SELECT doc_id, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, g) AS k FROM grams) WHERE k > 1),
+inside AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS i FROM rep),
+cov AS (SELECT doc_id, n, count(*) AS words, sum(length(w)) AS chars FROM inside JOIN w USING (doc_id, i) GROUP BY doc_id, n),
+lines AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM d)),
+again AS (SELECT doc_id, line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1),
+dup AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM again GROUP BY doc_id),
+bad AS (SELECT DISTINCT doc_id FROM cov JOIN c USING (doc_id) JOIN (VALUES (5, 15), (6, 14), (7, 13), (8, 12), (9, 11), (10, 10)) m(n, most) USING (n) WHERE 100 * cov.chars > most * c.chars),
+f AS (
+  SELECT d.doc_id, t, coalesce(n_words, 0) AS n_words, CAST(coalesce(c.chars, 0) AS BIGINT) AS word_chars, coalesce(dup.n, 0) AS n_dup_lines,
+    coalesce(dup.chars, 0) AS dup_chars, coalesce(cov.words, 0) AS n_repeat_words, bad.doc_id IS NOT NULL AS bad
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN cov ON cov.doc_id = d.doc_id AND cov.n = 3 LEFT JOIN bad ON bad.doc_id = d.doc_id)
+SELECT doc_id, n_words, word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * dup_chars <= 20 * word_chars AND NOT bad AS kept
+FROM f
+""")
 def op9_quality_rules(spark, sf_dir):
     """Repetition counts and verdict of every document."""
     docs = repetition.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), name="q")
