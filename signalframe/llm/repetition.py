@@ -21,10 +21,11 @@ from pyspark.sql import types as T
 
 from .text import Words, as_bytes, chunks, covered, hash_words, mix, sums, window_hashes
 
-#: Percent of the characters inside words that repeated windows of so many words may hold.
-WINDOW_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+#: Percent of the characters inside words that repeated windows of so many words may hold: twice what is usual for long web
+#: pages, so that a short text may say one line twice.
+WINDOW_LIMITS = {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}
 #: Percent of the characters inside words that repeated lines (all but the first of each) may hold.
-LINE_LIMIT = 20
+LINE_LIMIT = 30
 #: Fixed rule: fewer words fail, and more than this percent of words in repeated windows of BASE_WINDOW words.
 BASE_WORDS, BASE_REPEATS, BASE_WINDOW = 50, 50, 3
 
