@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .components import components
-from .text import LOWER, Words, as_bytes, chunks, hash_words, mix, mix_rounds, row_key, window_hashes
+from .text import LOWER, Words, as_bytes, batches_of, chunks, hash_words, mix, mix_rounds, row_key, window_hashes
 from .url_filter import BROADCAST_BLOCKS, bloom_blocks, bloom_probe
 
 #: Coordinates of a band, and bands: at similarity 0.85 a pair is in no common bucket with 2e-8, at 0.8 with 3e-8 (see ``bands_for``).
@@ -42,6 +42,8 @@ ROWS = 8
 MISS = 3e-8
 #: Coordinates that are kept, a byte each, to estimate the similarity of a pair; the estimate may lie this far below.
 BRIEF, SLACK = 128, 0.21
+#: Rows of an Arrow batch: sets of long texts come in them, two at a time when a pair is verified.
+BATCH_ROWS = 500
 #: Members of a bucket that are compared with all others in the second search; eight times as many in each after it.
 HUBS = 8
 #: All members at once where their pairs across components are no more than so many times the members of all buckets.
@@ -252,20 +254,21 @@ def _labelled(docs: DataFrame, shingle: int, up: int, down: int, text: str, doc_
     """``id``, ``row`` (see ``row_key``), ``n``, and group ``c`` with its ``component_id``, null for rows without words."""
     t = Threshold(up, down)
     bands = bands_for(up / down)
-    rows = cut_lineage(docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("row"), _sketched(F.col(text), shingle, bands).alias("s")).select("id", "row", "s.*"))
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("brief").alias("brief"))
-    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
-
-    slots = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut_lineage(slots.join(shared, "bucket").select("bucket", "node", "n", "size"))
-    largest = members.agg(F.max("size")).first()[0]
-    if largest:
-        sets = _candidate_sets(docs, rows, classes, members, shingle, text, doc_id)
-        labels = _links(members, classes, sets, t, largest)
-        classes = classes.join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    else:
-        classes = classes.withColumn("c", F.col("node"))
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        rows = cut_lineage(docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("row"), _sketched(F.col(text), shingle, bands).alias("s")).select("id", "row", "s.*"))
+        classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("brief").alias("brief"))
+        classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
+
+        slots = classes.select("node", "n", F.explode("bands").alias("bucket"))
+        shared = slots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        members = cut_lineage(slots.join(shared, "bucket").select("bucket", "node", "n", "size"))
+        largest = members.agg(F.max("size")).first()[0]
+        if largest:
+            sets = _candidate_sets(docs, rows, classes, members, shingle, text, doc_id)
+            labels = _links(members, classes, sets, t, largest)
+            classes = classes.join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        else:
+            classes = classes.withColumn("c", F.col("node"))
     least = classes.groupBy("c").agg(F.min("least").alias("component_id"))
     found = classes.select("key", "c").join(least, "c")
     return rows.select("id", "row", "n", "key").join(found, "key", "left").select("id", "row", "n", "c", "component_id")
