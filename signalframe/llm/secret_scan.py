@@ -127,22 +127,25 @@ def with_spans(docs: DataFrame, text: str = "text", name: str = "secret_spans",
     return docs.withColumn(name, secret_spans(F.col(text), **options))
 
 
-def redacted(text: Column, mask: str = "[REDACTED]", **options) -> Column:
-    """The text with every maximal union of spans replaced by ``mask``; a null stays null."""
+def redacted(text: Column, mask: str = "[REDACTED]", limits: dict[str, float] | None = None, allowed: tuple[str, ...] = ALLOWED) -> Column:
+    """The text with every maximal union of spans replaced by ``mask``; a null stays null.  One Python worker per task."""
+    limits, allow = dict(LIMITS if limits is None else limits), "|".join(f"(?:{a})" for a in allowed) or r"(?!)"
 
-    def batches(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, spans in columns:
+    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pattern = re.compile(allow)
+        for texts in columns:
             out = texts.to_pylist()
-            for i in pc.indices_nonzero(pc.greater(pc.list_value_length(spans), 0)).to_pylist():
+            hits = pc.fill_null(pc.match_substring_regex(texts, _ANY), False)
+            for i in pc.indices_nonzero(hits).to_pylist():
                 parts, end = [], 0
-                for s in spans[i].as_py():
-                    if s["start"] >= end:
-                        parts += [out[i][end:s["start"]], mask]
-                    end = max(end, s["end"])
+                for _, start, stop in scan(out[i], limits, pattern):
+                    if start >= end:
+                        parts += [out[i][end:start], mask]
+                    end = max(end, stop)
                 out[i] = "".join([*parts, out[i][end:]])
             yield pa.array(out, type=texts.type)
 
-    return F.arrow_udf(batches, T.StringType(), F.ArrowUDFType.SCALAR_ITER)(text, secret_spans(text, **options))
+    return F.arrow_udf(batches, T.StringType(), F.ArrowUDFType.SCALAR_ITER)(text)
 
 
 def span_text(spans: Column) -> Column:
