@@ -1,10 +1,15 @@
 """Language-model scores: cross-entropy difference between a target and a background model.
 
 Both models are smoothed word bigrams over one vocabulary and one set of bigrams, so their losses can be
-compared token by token.  The background is all documents; the target those marked as such.  A word is in the
-vocabulary if it is at least one in ``WORD_SHARE`` of all words, a bigram of two such words is kept if it is at
-least one in ``PAIR_SHARE``: whatever the size of the corpus there are no more than that many, so the tables can be
-broadcast.  All other words are one unknown word, all other bigrams fall back to the smoothed word.
+compared token by token.  The background is all documents; the target those marked as such.  Every word is in the
+vocabulary and every bigram is kept, at every size of the corpus, so the counts grow with it.  They stay in tables
+partitioned by key and are never broadcast or sent to the driver.
+
+Tasks cut the corpus into chunks of about ``CHUNK_BYTES`` of text.  A bigram is one row in each chunk that has it, with its
+documents packed beside it: a common bigram has a row per chunk, not per document.  Those rows are joined to the
+loss differences of the bigrams and go back to their chunks, which add them up per document.  The words that are most
+common bring their counts by broadcast, at most ``HOT`` of them, because so many bigrams share them; all others by
+a shuffle.  Words are compared by 64-bit hashes.
 
 A token's loss difference is kept in millionths of a bit as an integer: sums do not depend on their order.  The
 score is the mean difference, target loss minus background loss: the lower, the closer to the target.
@@ -19,184 +24,158 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .text import ALNUM, as_bytes, chunks, sums
+from .text import ALNUM, Words, as_bytes, hash_words, row_key, sums
 
-#: A word of the vocabulary is at least one of so many words; there are at most so many of them.
-WORD_SHARE = 1 << 18
-#: The same for kept bigrams.
-PAIR_SHARE = 1 << 19
+#: Text of a chunk, and its documents at most, which are numbered in 16 bits.
+CHUNK_BYTES, CHUNK_ROWS = 6 << 20, 1 << 16
+#: A word that is at least one in so many words brings its counts by broadcast.
+HOT = 4096
 #: Weight of the word model in the bigram model, in observations.
 PRIOR = 200.0
 #: Integer units per bit.
 UNIT = 1e6
-#: Entries that a task gathers before it hands them on.
-GATHERED = 500_000
-#: Bits of a word number in a bigram's key; number 0 is the unknown word.
-_BITS = 20
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def made(counts: dict[bytes, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-
-    counts: dict[bytes, int] = {}
+#: Rows that a task hands on at once.
+HANDED = 1 << 16
+#: Hash that stands for the context of a text's first word; no word is empty.
+START = int(hash_words([b""]).view(np.int64)[0])
+
+#: ``docs`` holds the number of the document of each occurrence; one more row per chunk has ``names`` and ``counts`` of its documents.
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("c", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("n_target", pa.int64()), ("docs", pa.binary()),
+                     ("names", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+
+
+def _chunk(number: int, texts: list[bytes], names: list[str], flags: list[bool]) -> Iterator[pa.RecordBatch]:
+    """The rows of one chunk, sorted by bigram."""
+    words = Words(texts, ALNUM)
+    ids, owner = words.ids, words.owner
+    hashes = np.concatenate([hash_words(words.vocabulary).view(np.int64), [START]])
+    before = np.concatenate([[0], ids[:-1]]).astype(np.int64)[:len(ids)]
+    before[words.starts[words.counts > 0]] = len(hashes) - 1
+    keys = before << 32 | ids
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+    ends = np.concatenate([first, [len(keys)]])
+    chosen = np.concatenate([[0], np.cumsum(np.array(flags, dtype=np.int64)[owner[order]])])
+    docs = owner[order].astype(np.uint16)
+    c, w = hashes[keys[first] >> 32], hashes[keys[first] & 0xFFFFFFFF]
+    for a in range(0, len(first), HANDED):
+        b = min(a + HANDED, len(first))
+        cut = ends[a:b + 1]
+        packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((2 * (cut - cut[0])).astype(np.int32)), pa.py_buffer(docs[cut[0]:cut[-1]].tobytes())])
+        columns = [np.full(b - a, number), c[a:b], w[a:b], np.diff(cut), np.diff(chosen[cut])]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), packed, *(pa.nulls(b - a, t) for t in _CHUNKS.types[6:])], schema=_CHUNKS)
+    ends_here = [[number], None, None, None, None, None, [names], [words.counts.tolist()]]
+    yield pa.RecordBatch.from_arrays([pa.array(x or [None], t) for x, t in zip(ends_here, _CHUNKS.types)], schema=_CHUNKS)
+
+
+def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    texts: list[bytes] = []
+    names: list[str] = []
+    flags: list[bool] = []
+    size = 0
     for batch in batches:
-        for text in as_bytes(batch.column(0)):
-            for w in text.translate(ALNUM).split():
-                counts[w] = counts.get(w, 0) + 1
-            if len(counts) > GATHERED:
-                yield made(counts)
-                counts = {}
-    yield made(counts)
-
-
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``word`` (UTF-8 bytes) and ``n`` over all documents."""
-    return docs.select(text).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, text: str = "text", share: int = WORD_SHARE) -> tuple[list[bytes], int]:
-    """The words of the vocabulary, sorted, and the number of all words."""
-    counts = cut_lineage(word_counts(docs, text))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") * share >= total).select("word").collect() if total else []
-    return sorted(bytes(r["word"]) for r in kept), total
-
-
-def _numbers(words: list[bytes]) -> dict[bytes, int]:
-    return {w: i + 1 for i, w in enumerate(words)}
-
-
-def _encode(texts: list[bytes], get) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of several texts in a row, the text of each, and whether a word is the first of its text."""
-    ids = [np.fromiter((get(w, 0) for w in t.translate(ALNUM).split()), dtype=np.int64) for t in texts]
-    counts = np.array([len(x) for x in ids], dtype=np.int64)
-    flat = np.concatenate([*ids, np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(len(texts)), counts)
-    return flat, owner, np.concatenate([[True], owner[1:] != owner[:-1]])[:len(flat)]
-
-
-def pair_counts(marked: DataFrame, words, text: str = "text", target: str = "target") -> DataFrame:
-    """``key``, ``n`` and ``n_target``: a word's number, or first number << 20 | second for a bigram of the vocabulary.
-
-    ``words`` is the broadcast vocabulary; ``target`` a boolean column.  Tasks add up what they have gathered
-    before Spark does over all tasks.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _numbers(words.value).get
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            keys, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return keys, sums(np.concatenate([h[1] for h in held]), place, len(keys)), sums(np.concatenate([h[2] for h in held]), place, len(keys))
-
-        def made(entries) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in entries], names=["key", "n", "n_target"])
-
-        for batch in batches:
-            flags = batch["target"].to_numpy(zero_copy_only=False).astype(bool)
-            for first, part in chunks(batch["text"]):
-                ids, owner, starts = _encode(as_bytes(part), get)
-                chosen = flags[first:first + len(part)][owner]
-                pairs = np.flatnonzero(~starts[1:] & (ids[1:] > 0) & (ids[:-1] > 0)) + 1 if len(ids) else ids
-                keys = np.concatenate([ids, ids[pairs - 1] << _BITS | ids[pairs]])
-                keys, place = np.unique(keys, return_inverse=True)
-                hit = np.concatenate([chosen, chosen[pairs]])
-                held.append((keys, np.bincount(place, minlength=len(keys)), sums(hit, place, len(keys))))
-                if sum(len(h[0]) for h in held) > 2 * GATHERED:
-                    held = [merged()]
-                    if len(held[0][0]) > GATHERED:
-                        yield made(held[0])
-                        held = []
-        if held:
-            yield made(merged())
-
-    narrow = marked.select(F.col(text).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    counts = narrow.mapInArrow(count, "key long, n long, n_target long")
-    return counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-class Differences:
-    """Integer loss differences: ``word[w]``, ``context[v]`` for bigrams that are not kept, ``pair`` for ``keys``."""
-
-    def __init__(self, counts: dict[str, np.ndarray], size: int):
-        keys, n, m = (np.asarray(counts[c], dtype=np.int64) for c in ("key", "n", "n_target"))
-        single = keys < (1 << _BITS)
-        base, goal = np.zeros(size + 1), np.zeros(size + 1)
-        base[keys[single]], goal[keys[single]] = n[single], m[single]
-        p_base, p_goal = (base + 1) / (base.sum() + size + 1), (goal + 1) / (goal.sum() + size + 1)
-        order = np.argsort(keys[~single])
-        self.keys = keys[~single][order]
-        v, w = self.keys >> _BITS, self.keys & ((1 << _BITS) - 1)
-        n, m = n[~single][order], m[~single][order]
-        self.word = self._units(np.log2(p_base) - np.log2(p_goal))
-        self.context = self._units(np.log2(goal + PRIOR) - np.log2(base + PRIOR))
-        self.pair = self._units(np.log2((n + PRIOR * p_base[w]) / (base[v] + PRIOR)) - np.log2((m + PRIOR * p_goal[w]) / (goal[v] + PRIOR)))
-
-    @staticmethod
-    def _units(bits: np.ndarray) -> np.ndarray:
+        for text, name, flag in zip(as_bytes(batch["text"]), batch["row"].to_pylist(), batch["target"].to_pylist()):
+            if texts and (size + len(text) > CHUNK_BYTES or len(texts) == CHUNK_ROWS):
+                yield from _chunk(number, texts, names, flags)
+                number, texts, names, flags, size = number + 1, [], [], [], 0
+            texts.append(text)
+            names.append(name)
+            flags.append(flag)
+            size += len(text)
+    if texts:
+        yield from _chunk(number, texts, names, flags)
+
+
+def _units(total: int, n_target: int, size: int) -> Column:
+    """Integer loss difference of a bigram from its counts and those of its two words."""
+
+    def rounded(bits: np.ndarray) -> np.ndarray:
         return np.floor(bits * UNIT + 0.5).astype(np.int64)
 
-    def of(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Difference of every token; the first of a text has no context."""
-        out = self.word[ids].copy()
-        if len(ids) < 2:
-            return out
-        keys = ids[:-1] << _BITS | ids[1:]
-        inner = ~starts[1:]
-        if len(self.keys):
-            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            kept = inner & (self.keys[place] == keys)
-        else:
-            place, kept = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        tail = out[1:]
-        tail += np.where(inner, self.context[ids[:-1]], 0)
-        tail[kept] = self.pair[place[kept]]
-        return out
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[list[bytes], Differences]:
-    """Vocabulary and loss differences; ``target_ids`` has the ids of the target documents in ``doc_id``."""
-    spark = docs.sparkSession
-    words, total = vocabulary(docs, text)
+    @F.arrow_udf(T.LongType())
+    def units(c: pa.Array, n: pa.Array, m: pa.Array, base: pa.Array, goal: pa.Array, base_before: pa.Array, goal_before: pa.Array) -> pa.Array:
+        first = c.to_numpy(zero_copy_only=False) == START
+        n, m, base, goal, x, y = (a.to_numpy(zero_copy_only=False).astype(float) for a in (n, m, base, goal, base_before, goal_before))
+        p, q = (base + 1) / (total + size + 1), (goal + 1) / (n_target + size + 1)
+        alone = rounded(np.log2(p) - np.log2(q))
+        after = rounded(np.log2((n + PRIOR * p) / (x + PRIOR)) - np.log2((m + PRIOR * q) / (y + PRIOR)))
+        return pa.array(np.where(first, alone, after))
+
+    return units("c", "n", "n_target", "w_n", "w_target", F.coalesce("c_n", F.lit(0)), F.coalesce("c_target", F.lit(0)))
+
+
+def _with_word(pairs: DataFrame, words: DataFrame, hot: DataFrame, side: str) -> DataFrame:
+    """Add the counts of the word in column ``side``.  Rows of hot words have them by broadcast and are dealt anywhere by the join."""
+    named = lambda df, tail: df.select(F.col("w").alias(f"word{tail}"), F.col("n").alias(f"n{tail}"), F.col("n_target").alias(f"t{tail}"))
+    out = pairs.join(F.broadcast(named(hot, "_hot")), F.col(side) == F.col("word_hot"), "left")
+    out = out.withColumn("at", F.when(F.col("word_hot").isNull(), F.col(side)).otherwise(F.xxhash64("c", "w")))
+    out = out.join(named(words, "_all"), F.col("at") == F.col("word_all"), "left")
+    pick = lambda k: F.when(F.col("word_hot").isNotNull(), F.col(f"{k}_hot")).otherwise(F.col(f"{k}_all"))
+    return out.select(*pairs.columns, pick("n").alias(f"{side}_n"), pick("t").alias(f"{side}_target"))
+
+
+def pair_units(chunks: DataFrame) -> DataFrame:
+    """``c``, ``w`` and ``units`` of every bigram; ``c`` is ``START`` for the first word of a text."""
+    pairs = cut_lineage(chunks.where("w IS NOT NULL").groupBy("c", "w").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    words = cut_lineage(pairs.groupBy("w").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    size, total, n_target = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    hot = words.where(F.col("n") * HOT >= total)
+    # The start of a text is no word but is as common as texts are.
+    starts = hot.sparkSession.createDataFrame([(START, 0, 0)], hot.schema)
+    out = _with_word(_with_word(pairs, words, hot, "w"), words, hot.union(starts), "c")
+    return out.select("c", "w", _units(total, n_target, size).alias("units"))
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of some chunks: sums per document."""
+    added: dict[int, np.ndarray] = {}
+    known: dict[int, tuple[list[str], list[int]]] = {}
+    for batch in batches:
+        chunk = batch["chunk"].to_numpy()
+        named = np.flatnonzero(batch["names"].is_valid().to_numpy(zero_copy_only=False))
+        for k in named:
+            known[int(chunk[k])] = batch["names"][k].as_py(), batch["counts"][k].as_py()
+        packed = [d or b"" for d in batch["docs"].to_pylist()]
+        docs = np.frombuffer(b"".join(packed), dtype=np.uint16).astype(np.int64)
+        times = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 2
+        units = np.repeat(batch["units"].fill_null(0).to_numpy(zero_copy_only=False), times)
+        found, place = np.unique(chunk, return_inverse=True)
+        place = np.repeat(place, times)
+        for k, number in enumerate(found.tolist()):
+            here = place == k if len(found) > 1 else slice(None)
+            part = sums(units[here], docs[here], CHUNK_ROWS)
+            added[number] = added[number] + part if number in added else part
+    for number, (names, counts) in known.items():
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(added[number][:len(names)])],
+                                         names=["row", "n_tokens", "loss_units"])
+
+
+def loss_differences(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``row`` (see ``row_key``), ``n_tokens`` and ``loss_units``, the sum over the tokens of a row; ``target_ids`` has the ids of the target documents."""
     target = target_ids.select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("target", F.lit(True))
+    narrow = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row"))
     # The target grows with the corpus, so it is merged at every size and never broadcast.
-    marked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(target.hint("merge"), "id", "left")
-    counts = pair_counts(marked, spark.sparkContext.broadcast(words))
-    kept = counts.where((F.col("key") < (1 << _BITS)) | (F.col("n") * PAIR_SHARE >= total)).toArrow()
-    return words, Differences({c: kept[c].to_numpy() for c in ("key", "n", "n_target")}, len(words))
-
-
-SCHEMA = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("loss_units", T.LongType())])
-
-
-def loss_difference(docs: DataFrame, words: list[bytes], differences: Differences, text: str = "text") -> Column:
-    """Struct for a text column: its tokens and the sum of their loss differences in millionths of a bit."""
-    model = docs.sparkSession.sparkContext.broadcast((words, differences))
-
-    def batches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, table = model.value
-        get = _numbers(vocabulary).get
-        for texts in columns:
-            counts, totals = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, part in chunks(texts):
-                ids, owner, starts = _encode(as_bytes(part), get)
-                counts.append(np.bincount(owner, minlength=len(part)))
-                totals.append(sums(table.of(ids, starts), owner, len(part)))
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(counts)), pa.array(np.concatenate(totals))], names=SCHEMA.names)
-
-    return F.arrow_udf(batches, SCHEMA, F.ArrowUDFType.SCALAR_ITER)(F.col(text))
+    marked = narrow.join(target.hint("merge"), "id", "left").select("text", "row", F.coalesce("target", F.lit(False)).alias("target"))
+    schema = "chunk long, c long, w long, n long, n_target long, docs binary, names array<string>, counts array<long>"
+    chunks = cut_lineage(marked.mapInArrow(_in_chunks, schema))
+    # A bigram has as many rows as chunks have it.
+    scored = chunks.where("w IS NOT NULL").select("chunk", "c", "w", "docs").join(pair_units(chunks), ["c", "w"]).select(
+        "chunk", "docs", "units", F.lit(None).cast("array<string>").alias("names"), F.lit(None).cast("array<long>").alias("counts"))
+    ends = chunks.where("names IS NOT NULL").select("chunk", "docs", F.lit(None).cast("long").alias("units"), "names", "counts")
+    added = scored.union(ends).repartition("chunk").mapInArrow(_add_up, "row string, n_tokens long, loss_units long")
+    return added.groupBy("row").agg(F.max("n_tokens").alias("n_tokens"), F.max("loss_units").alias("loss_units"))
 
 
 def with_score(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", name: str = "lm") -> DataFrame:
     """``docs`` with a struct ``name``: ``n_tokens``, ``loss_units`` and ``score`` in bits per token."""
-    words, differences = fit(docs, target_ids, text, doc_id)
-    out = docs.withColumn(name, loss_difference(docs, words, differences, text))
-    n, units = F.col(f"`{name}`.n_tokens"), F.col(f"`{name}`.loss_units")
-    return out.withColumn(name, F.struct(n.alias("n_tokens"), units.alias("loss_units"), F.when(n > 0, units / n / UNIT).alias("score")))
+    found = loss_differences(docs, target_ids, text, doc_id).select(
+        F.col("row").alias("_sf_row"), F.struct("n_tokens", "loss_units", F.when(F.col("n_tokens") > 0, F.col("loss_units") / F.col("n_tokens") / UNIT).alias("score")).alias("_sf_lm"))
+    return docs.withColumn("_sf_row", row_key(doc_id, text)).join(found, "_sf_row", "left").select(*(F.col(f"`{c}`") for c in docs.columns if c != name), F.col("_sf_lm").alias(name))

@@ -354,6 +354,42 @@ def test_lm_scores_prefer_the_target(spark):
     assert all(r["score"] is None or math.isfinite(r["score"]) for r in flat)
 
 
+def brute_units(texts, targets):
+    """Loss units of every text from the counts of all words and all bigrams."""
+    words = [alnum_words(t) for t in texts]
+    base, goal, pairs, good = Counter(), Counter(), Counter(), Counter()
+    for i, ws in enumerate(words):
+        for count, ours in ((base, ws), (pairs, list(zip(ws, ws[1:])))):
+            count.update(ours)
+        if i in targets:
+            goal.update(ws)
+            good.update(zip(ws, ws[1:]))
+    n, m, size = sum(base.values()), sum(goal.values()), len(base)
+    p = {w: (base[w] + 1) / (n + size + 1) for w in base}
+    q = {w: (goal[w] + 1) / (m + size + 1) for w in base}
+    unit = lambda bits: math.floor(bits * 1e6 + 0.5)
+    out = []
+    for ws in words:
+        units = unit(np.log2(p[ws[0]]) - np.log2(q[ws[0]])) if ws else 0
+        for c, w in zip(ws, ws[1:]):
+            units += unit(np.log2((pairs[c, w] + 200 * p[w]) / (base[c] + 200)) - np.log2((good[c, w] + 200 * q[w]) / (goal[c] + 200)))
+        out.append(units)
+    return out
+
+
+def test_lm_keeps_rare_words_and_bigrams_of_large_corpora(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 200_000, raising=False)
+    rng = random.Random(16)
+    # More than 2^19 words: one occurrence is below any share of them.
+    texts = [prose(rng, 5000, 200) for _ in range(110)] + ["rare words stand here once", "other seldom seen terms", None, "", "w1 rare"]
+    targets = {0, 1, 2, 110, 114}
+    ids = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    rows = {r["doc_id"]: r["lm"] for r in lm_scoring.with_score(docs_of(spark, texts, 4), ids).collect()}
+    want = brute_units(texts, targets)
+    assert [rows[i]["loss_units"] for i in range(len(texts))] == want
+    assert [rows[i]["n_tokens"] for i in range(len(texts))] == [len(alnum_words(t)) for t in texts]
+
+
 # ---- near copies
 
 def brute_groups(texts, k, up, down):
