@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -52,13 +53,23 @@ CONTEXT = 6
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes term word words phrase insult insults slur reported".split())
 #: How much a reporting word nearby weakens a match.
 REPORTED = 0.5
-_TOKEN = re.compile(r"[^\W_]+|[\"“”„«»]")
+#: Accents and vowel signs, which are part of the word although ``\\w`` leaves them out.
+_SIGNS = re.escape("".join(c for c in map(chr, (*range(0x80, 0x20000), *range(0xE0100, 0xE01F0))) if unicodedata.category(c)[0] == "M"))
+_TOKEN = re.compile(rf"(?:[^\W_]|[{_SIGNS}])+|[\"“”„«»]")
+#: Non-ASCII characters that are in no word: punctuation, symbols, blanks.
+_OTHER = re.compile(rf"[^\x00-\x7F\w{_SIGNS}]+")
 _MARKS = frozenset("\"“”„«»")
 N_FEATURES = 5
 #: Distinct words that a task remembers.
 REMEMBERED = 400_000
 
 
+def _words(text: str | None) -> list[bytes]:
+    """Words of a text, A-Z in lower case: what ``_TOKEN`` finds without the quotation marks."""
+    text = text or ""
+    return (text if text.isascii() else _OTHER.sub(" ", text)).encode().translate(ALNUM).split()
+
+
 @dataclass
 class Node:
     children: dict[str, Node] = field(default_factory=dict)
@@ -136,7 +147,7 @@ class Scorer:
         return kind
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        words = (text or "").encode().translate(ALNUM).split()
+        words = _words(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if not any([self._kind(w) for w in set(words)]):
@@ -189,7 +200,7 @@ def learn_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int =
 def _candidates(text: str | None) -> set[str]:
     """Whole words as they are, stems with ``*`` behind them."""
     out: set[str] = set()
-    for b in set((text or "").encode().translate(ALNUM).split()):
+    for b in set(_words(text)):
         w = b.decode("utf-8", "replace").lower()
         out.add(w)
         out.update(w[:n] + "*" for n in STEM_LENGTHS if n <= len(w))

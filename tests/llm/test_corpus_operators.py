@@ -553,6 +553,21 @@ def test_quoted_terms_count_less():
     assert model.features(None) == model.features("") == model.features("nice words") == (0.0,) * toxicity.N_FEATURES
 
 
+@pytest.mark.parametrize("text", ["“idiot”", "idiot…", "¡idiota!", "idiot—you", "an\u00a0idiot\u00a0here", "you—idoit…"])
+def test_terms_next_to_unicode_punctuation_count(text):
+    model = toxicity.Scorer(toxicity.Lexicon(["idiot", "idiota"], []))
+    assert sum(model.features(text)[:3]) > 0
+    assert {"idiot", "idiota", "idoit"} & toxicity._candidates(text)
+    assert model.features("they wrote “idiot” in it") == model.features('they wrote "idiot" in it')
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aB1_ é\u0301ü—…“”\"¡¿\u00a0\u200b😀कि.", max_size=20))
+def test_words_are_the_tokens(text):
+    tokens = toxicity._TOKEN.findall(text.translate(toxicity._ASCII_LOWER))
+    assert [w.decode() for w in toxicity._words(text)] == [t for t in tokens if t not in toxicity._MARKS]
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
