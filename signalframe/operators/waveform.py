@@ -1,8 +1,8 @@
 """Waveform features in the time and frequency domain.
 
 Time-domain statistics run on long rows (signal, t, value) with partial aggregation, so one huge
-signal is shared by all tasks.  Transforms need a whole signal and run on one array per signal; a
-caller can bound its length with the reader's time limit.
+signal is shared by all tasks.  ``long_features`` transforms long rows in pieces too; the functions on an
+array column need a whole signal in one row.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ TIME_STATS = ("mean", "std", "rms", "abs_mean", "max", "min", "peak_to_peak", "c
 FFT_STATS = ("total_power", "dominant_frequency", "dominant_amplitude", "spectral_centroid", "spectral_bandwidth", "spectral_flatness")
 STFT_STATS = ("energy", "mean_magnitude", "std_magnitude", "max_magnitude", "temporal_flux")
 
+SPECTRUM_VALUES = 1 << 20  # values of a spectrum that a task holds at once
 BLOCK_VALUES = 1 << 22  # values a UDF transforms at once: 32 MB of doubles
 CHUNK = 65_536  # samples per chunk of a long signal
 
@@ -226,6 +227,106 @@ def signal_features(df: DataFrame, wave: str, length: int) -> DataFrame:
     return out.withColumn("signal_zero_cross_rate", zero_cross_rate(F.col(wave)))
 
 
+def long_stft(long: DataFrame, length: int, nperseg: int = 64, noverlap: int = 32, signal: str = "signal_id", t: str = "t", value: str = "value") -> DataFrame:
+    """``stft_summary`` of (signal, t, value) rows, t from 0 to ``length`` - 1, in pieces of about ``CHUNK`` samples.
+
+    A piece also holds the frame before its first, for the flux.
+    """
+    frame, step = frame_sizes(length, nperseg, noverlap)
+    taper = np.ones(1) if length == 1 else (1 - np.cos(np.linspace(0, 2 * np.pi, frame, endpoint=False))) / 2
+    count, per = 1 + (length - frame) // step, max(1, CHUNK // step)
+    kind = dict(long.dtypes)[signal]
+
+    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        frames = _frames(rows["value"].to_numpy(dtype=float)[None, :], frame, step)[0]
+        lines = np.abs(np.fft.rfft(frames * taper)) / taper.sum()
+        own = lines[1:] if rows["piece"].iloc[0] else lines
+        sums = own.sum(), np.square(own).sum(), own.max(), np.abs(np.diff(lines, axis=0)).sum()
+        return pd.DataFrame([(rows["signal"].iloc[0], *map(float, sums))], columns=["signal", "total", "square", "top", "moved"])
+
+    # Frames that hold sample t, and the one after them, whose piece needs t for the flux.
+    low = F.greatest(F.lit(0), F.ceil((F.col(t) - (frame - 1)) / step))
+    high = F.least(F.floor(F.col(t) / step) + 1, F.lit(count - 1))
+    pieces = F.sequence(F.floor(low / per), F.floor(high / per))
+    rows = long.where(F.col(t) <= (count - 1) * step + frame - 1).select(
+        F.col(signal).alias("signal"), F.col(t).alias("t"), F.col(value).cast("double").alias("value"), F.explode(pieces).alias("piece"))
+    sums = rows.groupBy("signal", "piece").applyInPandas(add_up, f"signal {kind}, total double, square double, top double, moved double")
+    cells = count * (frame // 2 + 1)
+    mean, energy = F.sum("total") / cells, F.sum("square") / cells
+    values = (energy, mean, F.sqrt(F.greatest(energy - mean * mean, F.lit(0.0))), F.max("top"), F.sum("moved") / max(1, (count - 1) * (frame // 2 + 1)))
+    return sums.groupBy(F.col("signal").alias(signal)).agg(*(v.alias(n) for n, v in zip(STFT_STATS, values)))
+
+
+def long_fft(long: DataFrame, length: int, sample_rate: float = 1.0, signal: str = "signal_id", t: str = "t", value: str = "value") -> DataFrame:
+    """``fft_summary`` of (signal, t, value) rows, t from 0 to ``length`` - 1, as a transform in two steps.
+
+    With ``length`` = rest * step, each residue class of t modulo ``rest`` is transformed alone; then, after twiddling, the classes
+    are transformed across, bin by bin.  ``rest`` is the divisor next below the root, so a task holds
+    ``length`` / ``rest`` samples at once: for a prime ``length`` that is the whole signal.
+    """
+    if length < 2:
+        raise ValueError("a spectrum needs at least two samples")
+    rest = next(k for k in range(int(np.sqrt(length)), 0, -1) if length % k == 0)
+    step = length // rest
+    wide = max(1, SPECTRUM_VALUES // rest)  # bins of the first transform that a block of the second holds
+    kind = dict(long.dtypes)[signal]
+    middle = (length // 2) * (sample_rate / length) / 2
+
+    def along(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        r = int(rows["r"].iloc[0])
+        lines = np.fft.fft(rows["value"].to_numpy(dtype=float))
+        lines *= np.exp(-2j * np.pi * (np.arange(step) * r % length) / length)
+        cuts = range(0, step, wide)
+        return pd.DataFrame({"signal": rows["signal"].iloc[0], "block": np.arange(len(cuts)), "r": r,
+                             "re": [lines.real[a:a + wide] for a in cuts], "im": [lines.imag[a:a + wide] for a in cuts]})
+
+    def across(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("r")
+        lines = np.abs(np.fft.fft(np.stack(rows["re"].to_numpy()) + 1j * np.stack(rows["im"].to_numpy()), axis=0))
+        k = (int(rows["block"].iloc[0]) * wide + np.arange(lines.shape[1]))[None, :] + step * np.arange(rest)[:, None]
+        half = k <= length // 2
+        k, lines = k[half], lines[half]
+        if not len(k):
+            return pd.DataFrame(columns=names)
+        order = np.argsort(k)
+        k, lines = k[order], lines[order]
+        energy, at = np.square(lines), k * (sample_rate / length)
+        best = int(np.argmax(lines))
+        off = at - middle
+        return pd.DataFrame([(rows["signal"].iloc[0], len(k), energy.sum(), energy @ at, energy @ off, energy @ (off * off), np.log(np.clip(lines, EPS, None)).sum(),
+                              lines.sum(), lines[best], int(k[best]))], columns=names)
+
+    names = ["signal", "n", "s", "at", "off", "off2", "logs", "lines", "top", "k"]
+    rows = long.select(F.col(signal).alias("signal"), F.col(t).alias("t"), F.col(value).cast("double").alias("value"), (F.col(t) % rest).cast("bigint").alias("r"))
+    first = rows.groupBy("signal", "r").applyInPandas(along, f"signal {kind}, block bigint, r bigint, re array<double>, im array<double>")
+    parts = first.groupBy("signal", "block").applyInPandas(
+        across, f"signal {kind}, n bigint, s double, at double, off double, off2 double, logs double, lines double, top double, k bigint")
+    total = parts.groupBy("signal").agg(*(F.sum(c).alias(c) for c in names[1:8]), F.max(F.struct("top", (-F.col("k")).alias("k"))).alias("best"))
+    c = F.col
+    mean = c("at") / F.greatest(c("s"), F.lit(EPS))
+    second = c("off2") - 2 * (mean - middle) * c("off") + (mean - middle) * (mean - middle) * c("s")
+    found = {
+        "total_power": c("s"), "spectral_centroid": mean,
+        "spectral_bandwidth": F.sqrt(F.greatest(second, F.lit(0.0)) / F.greatest(c("s"), F.lit(EPS))),
+        "dominant_frequency": -c("best.k") * (sample_rate / length), "dominant_amplitude": c("best.top"),
+        "spectral_flatness": F.exp(c("logs") / c("n")) / F.greatest(c("lines") / c("n"), F.lit(EPS)),
+    }
+    return total.select(c("signal").alias(signal), *(found[k].alias(k) for k in FFT_STATS))
+
+
+def long_features(long: DataFrame, length: int, signal: str = "signal_id", t: str = "t", value: str = "value") -> DataFrame:
+    """``signal_features`` of (signal, t, value) rows, t from 0 to ``length`` - 1; no signal is gathered."""
+    size, lap = min(256, length), min(128, max(1, length // 4))
+    tagged = lambda df, tag, names: df.select(signal, *(F.col(n).alias(tag + n) for n in names))
+    stats = time_statistics(long, signal, value, "signal_").select(signal, *(f"signal_{n}" for n in TIME_STATS))
+    flips = step_statistics(long, signal, [t], value).select(signal, F.col("zero_cross_rate").alias("signal_zero_cross_rate"))
+    fft = tagged(long_fft(long, length, 1.0, signal, t, value), "fft_", FFT_STATS)
+    stft = tagged(long_stft(long, length, size, lap, signal, t, value), "stft_", STFT_STATS)
+    return stats.join(fft, signal).join(stft, signal).join(flips, signal)
+
+
 # Names of the short waveform features, in order (fixed values).
 HEAD_STATS = ("mean", "std", "max", "min", "rms")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.clean import drop_missing_target, require_columns
 from ..operators.ordering import attach
 from ..operators.split import sample_stratified
-from ..operators.waveform import gather, signal_features, wide_to_long
+from ..operators.waveform import long_features, wide_to_long
 
 SCHEMAS = ("tabular", "waveform", "spectrum")
 # Seed of the signal sample and columns that are unpivoted at once, where the caller gives none.
@@ -199,11 +199,11 @@ def read_signal_table(spark: SparkSession, path: str, metadata: DataFrame, targe
                             positive_int(o.get("seed"), SEED), signal)
     ids = sorted(str(r[0]) for r in chosen.select(signal).collect())  # names of columns
     long = read_signals_long(spark, path, ids, steps, positive_int(o.get("signal_chunk_size"), CHUNK), signal)
-    waves = gather(long, signal, "t", "value", steps)
-    length = waves.agg(F.max(F.size("wave")).alias("n")).first()["n"] or 0
+    length = long.agg(F.max("t").alias("t")).first()["t"]
+    length = 0 if length is None else length + 1
     if length < 2:
         raise ValueError("signals need at least two timesteps")
-    features = signal_features(waves, "wave", length).drop("wave")
+    features = long_features(long, length, signal)
     keyed = chosen.withColumn(signal, F.col(signal).cast("string"))
     return keyed.join(features, signal)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from signalframe.functions.hashing import hash_key
-from signalframe.operators import labels, ordering, split
+from signalframe.operators import labels, ordering, split, waveform
 from signalframe.operators.evaluate import curve_areas, summary
 from signalframe.operators.waveform import step_statistics
 
@@ -135,6 +135,31 @@ def test_steps_do_not_depend_on_pieces(spark, chunk):
     assert got["one"]["variation"] == 0
 
 
+@pytest.mark.parametrize("length", [2, 3, 97, 300, 1024, 1800])
+def test_features_do_not_need_whole_signals(spark, monkeypatch, length):
+    monkeypatch.setattr(waveform, "CHUNK", 400)
+    monkeypatch.setattr(waveform, "SPECTRUM_VALUES", 128)
+    rng = np.random.default_rng(length)
+    rows = [(s, i, float(v)) for s in ("a", "b") for i, v in enumerate(rng.normal(size=length))]
+    long = spark.createDataFrame(rows, "signal_id string, t bigint, value double").repartition(5)
+    features = waveform.long_features(long, length)
+    want = waveform.signal_features(waveform.gather(long), "wave", length).drop("wave")
+    assert features.columns == want.columns
+    got, want = ({r["signal_id"]: list(r)[1:] for r in df.collect()} for df in (features, want))
+    assert sorted(got) == ["a", "b"]
+    for s in got:
+        assert got[s] == pytest.approx(want[s], rel=1e-9, abs=1e-9)
+
+
+def test_signal_table_gathers_no_signal(spark, tmp_path, monkeypatch):
+    from signalframe.sources import readers
+    monkeypatch.setattr(waveform, "gather", None)
+    monkeypatch.setattr(readers, "gather", None, raising=False)
+    spark.range(50).select((F.col("id") % 7).cast("double").alias("0")).coalesce(1).write.parquet(str(tmp_path / "w"))
+    meta = spark.createDataFrame([(0, 0, 0, 1)], "signal_id int, id_measurement int, phase int, target int")
+    assert readers.read_signal_table(spark, str(tmp_path / "w"), meta, "target").count() == 1
+
+
 @pytest.mark.parametrize("partitions", ["1", "8"])
 def test_shuffle_partitions_do_not_matter(spark, skewed, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
