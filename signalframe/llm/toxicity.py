@@ -37,8 +37,6 @@ SAMPLE_ROWS = 24_000
 #: A term must be so many times as frequent in toxic documents of the sample, and be so by more than chance gives one of
 #: a million candidates (log-likelihood ratio).
 LEAST_LIFT, LEAST_EVIDENCE = 6.0, 30.0
-#: A whole term that begins with a stem is kept, for its misspellings, if it makes up this share of the stem's documents.
-OF_STEM = 0.5
 #: Terms from this length on may have one error: a character missing, added or replaced, or two neighbours swapped.
 ERROR_LENGTH = 5
 #: Stems have so many characters; a stem matches a word that begins with it.
@@ -236,12 +234,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     for s in sorted((x[:-1] for x in terms if x.endswith("*")), key=lambda s: (len(s), s)):
         if not any(s[:n] in stems for n in STEM_LENGTHS if n < len(s)):
             stems.add(s)
-
-    def alone(term: str) -> bool:
-        over = [s for s in (term[:n] for n in STEM_LENGTHS) if s in stems]
-        return not over or terms[term] >= OF_STEM * terms[over[0] + "*"]
-
-    return Lexicon(sorted(x for x in terms if not x.endswith("*") and alone(x)), sorted(stems))
+    # Terms that begin with a stem stay too: only they find their misspellings.
+    return Lexicon(sorted(x for x in terms if not x.endswith("*")), sorted(stems))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> DataFrame:

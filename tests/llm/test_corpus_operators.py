@@ -568,6 +568,13 @@ def test_words_are_the_tokens(text):
     assert [w.decode() for w in toxicity._words(text)] == [t for t in tokens if t not in toxicity._MARKS]
 
 
+def test_rare_inflections_of_a_stem_keep_their_misspellings(spark):
+    forms = ["grumbler", "grumbling", "grumbles"]
+    rows = [(i, f"{forms[i % 3]} here{i}", 1) for i in range(120)] + [(i, f"calm here{i}", 0) for i in range(120, 360)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert [lexicon.match(w) for w in ("grumbler", "gurmbler", "grmbling", "grumbels", "gurmbles")] == [2, 1, 1, 2, 1]
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
