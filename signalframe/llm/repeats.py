@@ -391,7 +391,8 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_t
     unit = F.pmod(F.xxhash64("row"), F.lit(max(1, n // UNIT_TEXTS))).alias("unit")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = bloom_probe(rows, "row", bloom, blocks).where("possible").select(unit, "row", "text")
-    texts = texts.repartition(buckets, "unit").groupBy("unit").agg(F.collect_list(F.struct("row", "text")).alias("texts"))
+    # Equal rows meet here and all but one go, so that a unit never holds the copies of a row.
+    texts = texts.repartition(buckets, "unit").dropDuplicates(["unit", "row"]).groupBy("unit").agg(F.collect_list(F.struct("row", "text")).alias("texts"))
     flags = flagged.select(unit, "*").groupBy("unit").agg(F.collect_list(F.struct("row", "flags", "copies")).alias("flags"))
     name = f"repeats_units_{uuid.uuid4().hex}"
     texts.join(flags, "unit").write.bucketBy(buckets, "unit").saveAsTable(name)

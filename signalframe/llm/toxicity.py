@@ -242,7 +242,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, rows: int
     """``text`` and ``toxic`` of at most ``rows`` labelled documents; ``usable`` is a condition on ``doc_id``."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(
         (F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # An id that many rows carry is one row here.
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _brief(text: Column) -> Column:

@@ -515,6 +515,25 @@ def test_repeats(spark):
     assert changed > 30 and changed < len(texts)
 
 
+def test_a_unit_holds_equal_rows_once(spark, monkeypatch):
+    seen = []
+
+    def spy(units, *rest, ask=repeats.shared_asks):
+        seen.append(units.agg(F.max(F.size("texts") - F.size(F.array_distinct("texts.row")))).first()[0])
+        return ask(units, *rest)
+
+    monkeypatch.setattr(repeats, "shared_asks", spy)
+    rows = [(7, "the same long row " * 60)] * 300 + [(i, prose(random.Random(i), 200)) for i in range(5)]
+    assert [r["row"][:2] for r in repeats.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()] == ["7:"]
+    assert seen == [0]
+
+
+def test_training_rows_take_an_id_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 7}") for i in range(500)] + [(2, "other"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.training_rows(docs, labels, F.lit(True)).collect())) == [(1, "text 0", 1), (2, "other", 0)]
+
+
 def test_repeated_rows_repeat_each_other(spark):
     text = prose(random.Random(11), 120, 4000)
     one = docs_of(spark, [text])
