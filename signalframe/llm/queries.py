@@ -67,8 +67,7 @@ WITH d AS (
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 goals AS (SELECT DISTINCT doc_id, 1 AS goal FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
 t AS (SELECT doc_id, unnest(w) AS raw, unnest(range(1, len(w) + 1)) AS i FROM d),
-total AS (SELECT count(*) AS n FROM t),
-v AS (SELECT raw FROM t, total GROUP BY raw, total.n HAVING count(*) * 262144 >= total.n),
+v AS (SELECT raw FROM t GROUP BY raw),
 k AS (SELECT t.doc_id, i, coalesce(v.raw, '') AS w, coalesce(goal, 0) AS goal FROM t LEFT JOIN v USING (raw) LEFT JOIN goals USING (doc_id)),
 b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM k),
 size AS (SELECT count(*) AS n FROM v),
@@ -77,8 +76,8 @@ u AS (
   SELECT w, cb, ct, (cb + 1) / (nb + size.n + 1) AS pb, (ct + 1) / (nt + size.n + 1) AS pt
   FROM (SELECT w, CAST(count(*) AS DOUBLE) AS cb, CAST(sum(goal) AS DOUBLE) AS ct FROM k GROUP BY w), sides, size),
 g AS (
-  SELECT c, w, CAST(count(*) AS DOUBLE) AS cb, CAST(sum(goal) AS DOUBLE) AS ct FROM b, total
-  WHERE c <> '' AND w <> '' GROUP BY c, w, total.n HAVING count(*) * 524288 >= total.n),
+  SELECT c, w, CAST(count(*) AS DOUBLE) AS cb, CAST(sum(goal) AS DOUBLE) AS ct FROM b
+  WHERE c <> '' AND w <> '' GROUP BY c, w),
 units AS (
   SELECT b.doc_id, CAST(CASE
     WHEN b.c IS NULL THEN floor((log2(u.pb) - log2(u.pt)) * 1e6 + 0.5)
