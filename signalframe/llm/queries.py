@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, lm_scoring, near_dups, packing, repeats, repetition, secret_scan, text, token_counts, toxicity, url_filter
+from . import clustering, contamination, lm_scoring, mixing, near_dups, packing, periodicity, repeats, repetition, secret_scan, text, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -245,3 +245,115 @@ def op10_token_counts(spark, sf_dir):
     docs = token_counts.with_token_count(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
                        (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query("op11_periodic_runs", r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS h
+  FROM documents),
+p AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS e FROM d),
+l AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // e) + 1] END) ELSE w END AS w FROM p),
+g AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i + 1, i + 3), ' ') AS g FROM (SELECT doc_id, n, w, unnest(range(n - 2)) AS i FROM l WHERE n >= 6)),
+same AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+every AS (
+  SELECT doc_id, min(i) AS start, count(*) + 2 + q AS length, q AS period FROM islands GROUP BY doc_id, q, island HAVING count(*) + 2 + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM every r WHERE NOT EXISTS (
+    SELECT 1 FROM every o WHERE o.doc_id = r.doc_id AND o.period < r.period AND o.start <= r.start AND o.start + o.length >= r.start + r.length)),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+text AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM l) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT l.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(text.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM l LEFT JOIN best USING (doc_id) LEFT JOIN text USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op11_periodic_runs(spark, sf_dir):
+    """Runs of at least four periods in every document; a tenth of the documents is made periodic first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodicity.with_runs(docs.withColumn("text", made_periodic(F.col("doc_id"), F.col("text"))), name="r")
+    runs, best = F.col("r.runs"), periodicity.longest(F.col("r.runs"))
+    return found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), *(best[c].alias(c) for c in ("start", "length", "period")),
+                        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+                        F.sha2(periodicity.run_text(runs), 256).alias("runs_sha256"), F.sha2(F.col("r.collapsed"), 256).alias("collapsed_sha256"))
+
+
+def made_periodic(doc_id, body):
+    """Of every tenth document, by the checksum of its id, the words from a place on repeat; other texts stay as they are."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    blank = r"[\x20\x09-\x0D]+"
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        first = F.pmod(g, n)
+        period = 1 + F.floor((n - first) / (3 + F.pmod(g, F.lit(8))))
+        unit = F.slice(words, (first + 1).cast("int"), period.cast("int"))
+        tail = F.slice(F.flatten(F.array_repeat(unit, (F.floor((n - first) / period) + 1).cast("int"))), F.lit(1), (n - first).cast("int"))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), first.cast("int")), tail), " ")
+
+    # A list of one, so that the words are split once.
+    words = F.array(F.split(F.regexp_replace(body, rf"\A{blank}|{blank}\z", ""), blank))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & body.rlike(r"[^\x20\x09-\x0D]"), F.get(F.transform(words, repeated), F.lit(0))).otherwise(body)
+
+
+def _cluster_sql(rounds: int) -> str:
+    """The rounds one after another: assignments ``a`` and centroids ``c``."""
+    def assigned(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (
+  SELECT u, any_value(vec_id) AS vec_id, any_value(q) AS q, min(struct_pack(d := d, k := k)) AS best
+  FROM (SELECT u, vec_id, v.q, k, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{r} c) GROUP BY u)"""
+
+    def moved(r: int) -> str:
+        return f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN (
+    SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q
+    FROM (SELECT best.k AS k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best, unnest(q) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY ALL) GROUP BY k) m USING (k))"""
+
+    steps = [part for r in range(rounds) for part in (assigned(r), moved(r))]
+    return f"""WITH v AS MATERIALIZED (
+  SELECT vec_id, embedding, row_number() OVER () AS u, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), embedding) - 1 AS k, q FROM v WHERE vec_id IS NOT NULL QUALIFY k < 8),
+{"," .join(steps)}, {assigned(rounds)}
+SELECT vec_id, CAST(best.k AS INT) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.k = best.k"""
+
+
+@query("op12_centroid_clusters", _cluster_sql(10))
+def op12_centroid_clusters(spark, sf_dir):
+    """Eight clusters of all vectors after ten rounds."""
+    found = clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", clustering.centroid_digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+@query("op13_source_mix", r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, 2 * source_size AS bound, CASE k % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS weight FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY bound / weight, k) AS r FROM w),
+c AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5) - CAST(coalesce(sum(bound) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS open,
+    CAST(sum(weight) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS rest FROM r),
+f AS (SELECT r AS least_r, open, rest FROM c WHERE weight * (open / rest) <= bound ORDER BY r LIMIT 1),
+t AS (SELECT c.source, source_size, CASE WHEN least_r IS NULL OR r < least_r THEN CAST(bound AS DOUBLE) ELSE weight * f.open / f.rest END AS target FROM c LEFT JOIN f ON true),
+x AS (
+  SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS budget,
+    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY md5('13:' || doc_id), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END AS taken
+FROM x
+""")
+def op13_source_mix(spark, sf_dir):
+    """Words that a mix of all sources takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, packing.word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
