@@ -19,11 +19,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
+from . import newton, sweeps
 from .augment import gaussian_noise, noise_levels
 from .evaluate import argmax_class, curve_areas, metric_column, minmax_scores, summary, tuned_or_native
 from .scale import apply_scaler, fit_scaler
 from .spec import layout_indices, pick
-from .split import bootstrap_counts, fold_rows, fraction_rows, with_class_weights
+from .split import fold_rows, fraction_rows, resampled_bags, with_class_weights
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -90,24 +91,20 @@ def _logistic(rows: int, p: Mapping) -> LogisticRegression:
     return LogisticRegression(**_PROB, weightCol="weight", standardization=True, maxIter=p["iterations"], regParam=1.0 / (p["c"] * max(rows, 1)))
 
 
-def _fit_bags(train: DataFrame, rows: int, p: Mapping, seed: int, ids: Sequence[str]) -> Scorer:
-    models = []
-    for b in range(p["bags"]):
-        drawn = bootstrap_counts(train, ids, f"{seed}-{b}", "_sf_n").where("_sf_n > 0")
-        drawn = drawn.withColumn("weight", F.col("weight") * F.col("_sf_n"))
-        models.append(_logistic(rows, p).fit(drawn))
+def _fit_bags(train: DataFrame, classes: int, width: int, p: Mapping, seed: int, ids: Sequence[str]) -> Scorer:
+    """Models of exact bootstrap resamples, each with its own scaling and class weights, fitted together; probabilities are averaged."""
+    rows = train.select(*ids, "features", F.col("y").cast("int").alias("y"))
+    rows = cut_lineage(resampled_bags(rows, ids, seed, p["bags"], "masks").select("features", "y", "masks"))
+    bags = newton.fit_all(rows, [newton.Fit(b, tuple(range(width)), p["c"]) for b in range(p["bags"])], p["bags"], classes, width, p["iterations"])
 
-    def score(df: DataFrame) -> DataFrame:
-        out = _vectors(df)
-        names = []
-        for i, m in enumerate(models):
-            out = m.transform(out).withColumn(f"_sf_p{i}", vector_to_array("_sf_prob")).drop("_sf_prob", "_sf_raw", "_sf_pred")
-            names.append(F.col(f"_sf_p{i}"))
-        total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), names)
-        mean = F.transform(total, lambda x: x / len(names))
-        return _clean(_with_class(out, mean)).drop(*[f"_sf_p{i}" for i in range(len(models))])
+    @F.pandas_udf("array<double>")
+    def mean(rows: pd.Series) -> pd.Series:
+        if len(rows) == 0:
+            return pd.Series([], dtype=object)
+        x = np.stack(rows.to_numpy()).astype(float)
+        return pd.Series(list(sum(m.probabilities(x) for m in bags) / len(bags)))
 
-    return score
+    return lambda df: _with_class(df, mean("features"))
 
 
 def _fit_svc(train: DataFrame, classes: int, rows: int, p: Mapping) -> Scorer:
@@ -158,7 +155,7 @@ def fit_candidate(name: str, train: DataFrame, classes: int, width: int, seed: i
     if name == "linear_svc":
         return _fit_svc(weighted, classes, rows, p)
     if name == "bagged_logistic_regression":
-        return _fit_bags(weighted, rows, p, seed, ids)
+        return _fit_bags(train, classes, width, p, seed, ids)
     return _probabilities(_logistic(rows, p).fit(weighted))
 
 
@@ -214,7 +211,7 @@ def select_candidate(candidates: Sequence[str], train: DataFrame, val: DataFrame
     return best, scorers[best], table
 
 
-# --- sweeps ----------------------------------------------------------------------------------
+# --- sweeps: linear and majority models advance together, other candidates are fitted one by one ----
 
 
 def _standardized(train: DataFrame, other: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -226,12 +223,19 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _linear_options(params: Mapping | None) -> dict:
+    p = candidate_params("logistic_regression", params)
+    return {"c": p["c"], "iterations": p["iterations"]}
+
+
 def cross_validate(df: DataFrame, name: str, classes: int, width: int, k: int = 5, seed: int = 42, params: Mapping | None = None,
                    ids: Sequence[str] = ("id",)) -> DataFrame:
     """(fold, model_name, accuracy, f1, macro_f1, precision, recall), every fold with its own scaler.
 
     Scored rows of all folds are evaluated together, grouped by fold.
     """
+    if sweeps.fits_batch(name, classes, width):
+        return sweeps.cross_validate(df, name, classes, width, k, seed, ids, **_linear_options(params))
     folds = cut_lineage(fold_rows(df, ids, "y", k, seed))
     parts = []
     for f in range(k):
@@ -251,6 +255,8 @@ def _fit_on(parts: Mapping[str, DataFrame], name: str, classes: int, width: int,
 def learning_curve(train: DataFrame, val: DataFrame, test: DataFrame, name: str, classes: int, width: int, fractions: Sequence[float],
                    seed: int = 42, params: Mapping | None = None, ids: Sequence[str] = ("id",)) -> DataFrame:
     """(fraction, split, accuracy, macro_f1) for growing parts of the training rows."""
+    if sweeps.fits_batch(name, classes, width):
+        return sweeps.learning_curve(train, val, test, name, classes, width, fractions, seed, ids, **_linear_options(params))
     out = []
     for f in fractions:
         part = cut_lineage(fraction_rows(train, ids, f, seed))
@@ -261,9 +267,11 @@ def learning_curve(train: DataFrame, val: DataFrame, test: DataFrame, name: str,
 def layout_ablation(train: DataFrame, test: DataFrame, names: Sequence[str], layouts: Sequence[str], model: str, classes: int,
                     seed: int = 42, params: Mapping | None = None, ids: Sequence[str] = ("id",)) -> DataFrame:
     """(layout, position, accuracy, macro_f1): scores when only one layout's features are used."""
+    columns = {layout: layout_indices(train.sparkSession, names, layout) for layout in layouts}
+    if sweeps.fits_batch(model, classes, len(names)):
+        return sweeps.layouts(train, test, columns, model, classes, len(names), ids, **_linear_options(params))
     out = []
-    for i, layout in enumerate(layouts):
-        idx = layout_indices(train.sparkSession, names, layout)
+    for i, (layout, idx) in enumerate(columns.items()):
         cut = [df.withColumn("features", pick("features", idx)) for df in (train, test)]
         scorer = fit_candidate(model, cut_lineage(cut[0]), classes, len(idx), seed, params, ids)
         out.append(scorer(cut[1]).select("y", "y_pred").withColumns({"layout": F.lit(layout), "position": F.lit(i)}))
@@ -279,7 +287,10 @@ def noise_sweep(test: DataFrame, scorer: Scorer, levels: Sequence[float], metric
 
 
 def ratio_sweep(fit_and_evaluate: Callable[[float], DataFrame], ratios: Sequence[float], metric: str = "macro_f1") -> DataFrame:
-    """(train_ratio, metric) of a user function that returns a metrics frame; ratios outside (0, 1] are skipped."""
+    """(train_ratio, metric) of a user function that returns a metrics frame; ratios outside (0, 1] are skipped.
+
+    ``sweeps.train_ratios`` fits the linear models of all ratios together.
+    """
     rows = []
     for r in sorted(float(x) for x in ratios):
         if 0 < r <= 1:
@@ -293,10 +304,17 @@ def ratio_sweep(fit_and_evaluate: Callable[[float], DataFrame], ratios: Sequence
 def recipe_comparison(df: DataFrame, recipes: Mapping[str, Sequence[int]], models: Sequence[str], classes: int, k: int = 5, seed: int = 42,
                       params: Mapping | None = None, ids: Sequence[str] = ("id",)) -> DataFrame:
     """(recipe, model_name, cv_mean, cv_std) of cross-validated accuracy per feature recipe and model."""
+    together = [m for m in models if sweeps.fits_batch(m, classes, max(map(len, recipes.values())))]
     out = []
+    if together:
+        used = sorted({i for idx in recipes.values() for i in idx})
+        part = df.withColumn("features", pick("features", used))
+        places = {recipe: [used.index(i) for i in idx] for recipe, idx in recipes.items()}
+        out.append(sweeps.recipe_comparison(part, places, together, classes, len(used), k, seed, ids, **_linear_options(params)))
     for recipe, idx in recipes.items():
         part = df.withColumn("features", pick("features", idx))
         for m in models:
-            out.append(cross_validate(part, m, classes, len(idx), k, seed, params, ids).withColumn("recipe", F.lit(recipe)))
-    folds = _union(out)
+            if m not in together:
+                out.append(cross_validate(part, m, classes, len(idx), k, seed, params, ids).withColumn("recipe", F.lit(recipe)))
+    folds = reduce(lambda a, b: a.unionByName(b), out)
     return folds.groupBy("recipe", "model_name").agg(F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"))

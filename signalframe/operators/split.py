@@ -9,11 +9,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.hashing import hash_key, poisson1_of
+from ..functions.hashing import fine_uniform_of, hash_key, poisson1_of
 from ..functions.numeric import half_even
-from .ordering import attach, hash_cutoffs
+from .ordering import attach, hash_cutoffs, join_groups
 
 
 def split_sizes(n: int, train_ratio: float, val_ratio: float) -> tuple[int, int, int]:
@@ -196,6 +196,76 @@ def sample_stratified(df: DataFrame, ids: Sequence[str], label: str, wanted: int
     )
 
 
+def ranked_rows(df: DataFrame, ids: Sequence[str], seed: int | str, by: Sequence[str] = (), column: str = "rank", digits: int = 4) -> DataFrame:
+    """Add ``rank``, the place from 0 of each row in the md5 order of its group.
+
+    Rows are counted by the first hex digits of their key; running totals of those counts give the place of each digit
+    group, and only the rows inside one, about 1/16**digits of a group, are ordered with each other.
+    """
+    by = list(by)
+    keyed = df.withColumn("_sf_key", hash_key(seed, *ids)).withColumn("_sf_b", F.substring("_sf_key", 1, digits))
+    ahead = Window.partitionBy(*by).orderBy("_sf_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(*by, "_sf_b").agg(F.count("*").alias("_sf_n")).withColumn("_sf_at", F.coalesce(F.sum("_sf_n").over(ahead), F.lit(0))).drop("_sf_n")
+    inside = Window.partitionBy(*by, "_sf_b").orderBy("_sf_key", *ids)
+    placed = join_groups(keyed.withColumn("_sf_rn", F.row_number().over(inside)), counts, [*by, "_sf_b"])
+    return placed.withColumn(column, F.col("_sf_at") + F.col("_sf_rn") - 1).drop("_sf_key", "_sf_b", "_sf_rn", "_sf_at")
+
+
+def _draws(spark, n: int, seed: int | str, even: bool) -> DataFrame:
+    """``draw`` 0..n-1 with ``u`` in [0, 1), from md5 of (seed, draw); ``even``: draw t inside [t / n, (t + 1) / n)."""
+    u = fine_uniform_of(hash_key(seed, F.col("draw")))
+    rows = spark.range(n).withColumnRenamed("id", "draw")
+    return rows.withColumn("u", (F.col("draw") + u) / F.lit(float(max(n, 1))) if even else u)
+
+
+def _located(n: int) -> Column:
+    """The row that a uniform falls on, of n rows of equal weight."""
+    return F.least(F.floor(F.col("u") * F.lit(float(n))), F.lit(n - 1)).alias("_sf_rank")
+
+
+def resampled_counts(df: DataFrame, ids: Sequence[str], seed: int | str, column: str = "draws") -> DataFrame:
+    """How often each row enters a bootstrap resample of exactly as many rows, drawn independently with replacement."""
+    n = df.count()
+    hits = _draws(df.sparkSession, n, seed, False)
+    hits = hits.groupBy(_located(n)).agg(F.count("*").alias("_sf_hits"))
+    rows = ranked_rows(df, ids, seed, column="_sf_rank").join(hits, "_sf_rank", "left")
+    return rows.withColumn(column, F.coalesce("_sf_hits", F.lit(0)).cast("int")).drop("_sf_rank", "_sf_hits")
+
+
+def resampled_bags(df: DataFrame, ids: Sequence[str], seed: int, bags: int, column: str = "draws") -> DataFrame:
+    """``column``: an array with the count of every one of ``bags`` resamples; rows are ranked once for all of them."""
+    n = df.count()
+    bag, draw = F.col("id") % bags, F.floor(F.col("id") / bags)
+    hits = df.sparkSession.range(n * bags).select(bag.alias("bag"), fine_uniform_of(F.md5(F.concat_ws("|", F.concat(F.lit(f"{seed}-"), bag), draw))).alias("u"))
+    hits = hits.groupBy(_located(n)).agg(F.array(*(F.count_if(F.col("bag") == b).cast("int") for b in range(bags))).alias("_sf_hits"))
+    rows = ranked_rows(df, ids, seed, column="_sf_rank").join(hits, "_sf_rank", "left")
+    return rows.withColumn(column, F.coalesce("_sf_hits", F.lit([0] * bags).cast("array<int>"))).drop("_sf_rank", "_sf_hits")
+
+
+def balanced_resample(df: DataFrame, ids: Sequence[str], label: str, seed: int, n: int | None = None, even: bool = False, max_classes: int = 100_000) -> DataFrame:
+    """``n`` rows (as many as there are) drawn with replacement, every class as likely as any other: all columns and ``draw``.
+
+    Weights 1 / (classes * class size) laid end to end, class after class, make one interval per row.  A draw's uniform falls
+    into a class, and within it on a row by its rank, so classes of any size are located by an equal join.  ``even`` spreads the uniforms
+    so that every class gets its share to within one draw.
+    """
+    spark = df.sparkSession
+    counts = _class_counts(df, label).limit(max_classes + 1).collect()
+    if len(counts) > max_classes:
+        raise ValueError(f"more than {max_classes} classes in {label}")
+    counts.sort(key=lambda r: (r[0] is None, r[0]))
+    kind = df.select(label).schema[0].dataType.simpleString()
+    named = spark.createDataFrame([(i, r[0], r["n"]) for i, r in enumerate(counts)], f"_sf_class bigint, `{label}` {kind}, _sf_n bigint")
+    total, classes = sum(r["n"] for r in counts), len(counts)
+    place = F.col("u") * F.lit(float(classes))
+    draws = _draws(spark, total if n is None else n if classes else 0, seed, even).withColumn("_sf_class", F.least(F.floor(place), F.lit(classes - 1)))
+    draws = draws.join(named.select("_sf_class", "_sf_n"), "_sf_class")
+    rank = F.least(F.floor((place - F.col("_sf_class")) * F.col("_sf_n")), F.col("_sf_n") - 1)
+    tagged = join_groups(df, named.select(label, "_sf_class"), [label])
+    rows = ranked_rows(tagged, ids, seed, ["_sf_class"], "_sf_rank")
+    return draws.select("draw", "_sf_class", rank.alias("_sf_rank")).join(rows, ["_sf_class", "_sf_rank"]).select(*df.columns, "draw")
+
+
 def bootstrap_counts(df: DataFrame, ids: Sequence[str], seed: int, column: str = "draws") -> DataFrame:
     """How often each row enters a bootstrap resample (independent Poisson(1) draws)."""
     return df.withColumn(column, poisson1_of(hash_key(seed, *ids)))

@@ -120,6 +120,39 @@ def bootstrap_draws(spark, d):
     return split.bootstrap_counts(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 17)
 
 
+_FINE = "('0x' || substr(md5({k}), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query("exact_bootstrap_draws", "SMP-8",
+       f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('19|' || o_orderkey)) - 1 AS rank, count(*) OVER () AS n FROM orders),
+hits AS (SELECT least(floor({_FINE.format(k="'19|' || t")} * n), n - 1) AS rank, count(*) AS draws FROM (SELECT count(*) AS n, unnest(range(count(*))) AS t FROM orders) GROUP BY ALL)
+SELECT o_orderkey, CAST(coalesce(draws, 0) AS INT) AS draws FROM r LEFT JOIN hits USING (rank)""")
+def exact_bootstrap_draws(spark, d):
+    """As many draws as there are orders, to the last one."""
+    return split.resampled_counts(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 19)
+
+
+def _resample_sql(even: bool) -> str:
+    u = _FINE.format(k="'29|' || t")
+    return f"""WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('29|' || doc_id)) - 1 AS rank FROM labels),
+c AS (SELECT row_number() OVER (ORDER BY quality) - 1 AS cls, quality, count(*) AS n, sum(count(*)) OVER () AS total, count(*) OVER () AS classes FROM labels GROUP BY quality),
+t AS (SELECT t, {f"(t + {u}) / total::DOUBLE" if even else u} * classes AS place FROM (SELECT any_value(total) AS total, any_value(classes) AS classes, unnest(range(any_value(total)::BIGINT)) AS t FROM c)),
+located AS (SELECT t, cls, quality, least(floor((place - cls) * n), n - 1) AS rank FROM t JOIN c ON c.cls = least(floor(place), classes - 1))
+SELECT doc_id, quality, t AS draw FROM located JOIN r USING (quality, rank)"""
+
+
+@query("balanced_resample", "SMP-9", _resample_sql(False))
+def balanced_resample(spark, d):
+    """Labelled documents drawn with replacement, both classes equally likely."""
+    return split.balanced_resample(table(spark, d, "labels").select("doc_id", "quality"), ["doc_id"], "quality", 29)
+
+
+@query("even_resample", "SMP-9", _resample_sql(True))
+def even_resample(spark, d):
+    """The same with evenly spread draws: each class has its share to within one."""
+    return split.balanced_resample(table(spark, d, "labels").select("doc_id", "quality"), ["doc_id"], "quality", 29, even=True)
+
+
 _CELL = "md5('23|' || vec_id || '|' || i)"
 
 
