@@ -26,9 +26,9 @@ def _poisson1_cdf() -> tuple[float, ...]:
 POISSON1_CDF = _poisson1_cdf()
 
 
-def hash_key(seed: int | str, *ids: Column | str) -> Column:
+def hash_key(seed: int | str | Column, *ids: Column | str) -> Column:
     """32 hex digits ordering rows for a seed; a null id counts as a character that no text id has."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("\0")) for c in ids]))
+    return F.md5(F.concat_ws("|", seed if isinstance(seed, Column) else F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("\0")) for c in ids]))
 
 
 def uniform_of(key: Column, word: int = 0) -> Column:

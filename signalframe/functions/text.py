@@ -21,8 +21,9 @@ def signed_fixed(x: Column, digits: int) -> Column:
 
 
 def timestamp_tag(at: Column | None = None) -> Column:
-    """A time, or the present one, as yyyymmdd-hhmmss in the session's time zone."""
-    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd-HHmmss")
+    """A time, or the present one, as yyyymmdd-hhmmss in UTC, whatever the session's time zone."""
+    utc = F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone())
+    return F.date_format(utc, "yyyyMMdd-HHmmss")
 
 
 def six_digits(x: Column) -> Column:

@@ -196,7 +196,7 @@ def sample_stratified(df: DataFrame, ids: Sequence[str], label: str, wanted: int
     )
 
 
-def ranked_rows(df: DataFrame, ids: Sequence[str], seed: int | str, by: Sequence[str] = (), column: str = "rank", digits: int = 4) -> DataFrame:
+def ranked_rows(df: DataFrame, ids: Sequence[str], seed: int | str | Column, by: Sequence[str] = (), column: str = "rank", digits: int = 4) -> DataFrame:
     """Add ``rank``, the place from 0 of each row in the md5 order of its group.
 
     Rows are counted by the first hex digits of their key; running totals of those counts give the place of each digit
@@ -233,13 +233,19 @@ def resampled_counts(df: DataFrame, ids: Sequence[str], seed: int | str, column:
 
 
 def resampled_bags(df: DataFrame, ids: Sequence[str], seed: int, bags: int, column: str = "draws") -> DataFrame:
-    """``column``: an array with the count of every one of ``bags`` resamples; rows are ranked once for all of them."""
-    n = df.count()
-    bag, draw = F.col("id") % bags, F.floor(F.col("id") / bags)
-    hits = df.sparkSession.range(n * bags).select(bag.alias("bag"), fine_uniform_of(F.md5(F.concat_ws("|", F.concat(F.lit(f"{seed}-"), bag), draw))).alias("u"))
-    hits = hits.groupBy(_located(n)).agg(F.array(*(F.count_if(F.col("bag") == b).cast("int") for b in range(bags))).alias("_sf_hits"))
-    rows = ranked_rows(df, ids, seed, column="_sf_rank").join(hits, "_sf_rank", "left")
-    return rows.withColumn(column, F.coalesce("_sf_hits", F.lit([0] * bags).cast("array<int>"))).drop("_sf_rank", "_sf_hits")
+    """``column``: an array with the counts of ``bags`` resamples; bag b is ``resampled_counts`` with seed "seed-b".
+
+    Only ids are copied per bag, and all bags are ranked and drawn together.
+    """
+    n, ids = df.count(), list(ids)
+    bag = F.concat(F.lit(f"{seed}-"), F.col("_sf_bag").cast("string"))
+    draws = df.sparkSession.range(n * bags).select((F.col("id") % bags).cast("int").alias("_sf_bag"), F.floor(F.col("id") / bags).alias("draw"))
+    draws = draws.withColumn("u", fine_uniform_of(hash_key(bag, F.col("draw"))))
+    hits = draws.groupBy("_sf_bag", _located(n)).agg(F.count("*").alias("_sf_hits"))
+    copies = df.select(*ids, F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("_sf_bag"))
+    drawn = ranked_rows(copies, ids, bag, ["_sf_bag"], "_sf_rank").join(hits, ["_sf_bag", "_sf_rank"])
+    per = drawn.groupBy(*ids).agg(F.array(*(F.coalesce(F.max(F.when(F.col("_sf_bag") == b, F.col("_sf_hits"))), F.lit(0)).cast("int") for b in range(bags))).alias("_sf_per"))
+    return join_groups(df, per, ids, "left").withColumn(column, F.coalesce("_sf_per", F.lit([0] * bags).cast("array<int>"))).drop("_sf_per")
 
 
 def balanced_resample(df: DataFrame, ids: Sequence[str], label: str, seed: int, n: int | None = None, even: bool = False, max_classes: int = 100_000) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.arrays import array_moments, fft_head, sum_abs, sum_squares, zero_cross_rate
 from ..functions.numeric import EPS, signbit
+from .chirp import chirp_spectrum
 
 # Output names of the summaries, in order (fixed values).
 TIME_STATS = ("mean", "std", "rms", "abs_mean", "max", "min", "peak_to_peak", "crest_factor")
@@ -24,6 +25,7 @@ STFT_STATS = ("energy", "mean_magnitude", "std_magnitude", "max_magnitude", "tem
 SPECTRUM_VALUES = 1 << 20  # values of a spectrum that a task holds at once
 BLOCK_VALUES = 1 << 22  # values a UDF transforms at once: 32 MB of doubles
 CHUNK = 65_536  # samples per chunk of a long signal
+CLASS_VALUES = 512  # samples of a residue class that need no other transform
 
 
 def wide_to_long(df: DataFrame, signals: Sequence[str], t: str = "t", signal: str = "signal_id", chunk: int = 256) -> DataFrame:
@@ -262,8 +264,8 @@ def long_fft(long: DataFrame, length: int, sample_rate: float = 1.0, signal: str
     """``fft_summary`` of (signal, t, value) rows, t from 0 to ``length`` - 1, as a transform in two steps.
 
     With ``length`` = rest * step, each residue class of t modulo ``rest`` is transformed alone; then, after twiddling, the classes
-    are transformed across, bin by bin.  ``rest`` is the divisor next below the root, so a task holds
-    ``length`` / ``rest`` samples at once: for a prime ``length`` that is the whole signal.
+    are transformed across, bin by bin.  ``rest`` is the divisor next below the root.  Where that leaves classes of more than
+    ``CLASS_VALUES`` samples and four times the root, as for a prime, the chirp transform takes over, which cuts any length.
     """
     if length < 2:
         raise ValueError("a spectrum needs at least two samples")
@@ -273,6 +275,15 @@ def long_fft(long: DataFrame, length: int, sample_rate: float = 1.0, signal: str
     kind = dict(long.dtypes)[signal]
     middle = (length // 2) * (sample_rate / length) / 2
 
+    def summed(name, k: np.ndarray, lines: np.ndarray) -> pd.DataFrame:
+        """Partial sums over spectrum lines ``k``, ascending."""
+        if not len(k):
+            return pd.DataFrame(columns=names)
+        energy, at = np.square(lines), k * (sample_rate / length)
+        best, off = int(np.argmax(lines)), at - middle
+        return pd.DataFrame([(name, len(k), energy.sum(), energy @ at, energy @ off, energy @ (off * off), np.log(np.clip(lines, EPS, None)).sum(),
+                              lines.sum(), lines[best], int(k[best]))], columns=names)
+
     def along(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
         r = int(rows["r"].iloc[0])
@@ -287,22 +298,17 @@ def long_fft(long: DataFrame, length: int, sample_rate: float = 1.0, signal: str
         lines = np.abs(np.fft.fft(np.stack(rows["re"].to_numpy()) + 1j * np.stack(rows["im"].to_numpy()), axis=0))
         k = (int(rows["block"].iloc[0]) * wide + np.arange(lines.shape[1]))[None, :] + step * np.arange(rest)[:, None]
         half = k <= length // 2
-        k, lines = k[half], lines[half]
-        if not len(k):
-            return pd.DataFrame(columns=names)
-        order = np.argsort(k)
-        k, lines = k[order], lines[order]
-        energy, at = np.square(lines), k * (sample_rate / length)
-        best = int(np.argmax(lines))
-        off = at - middle
-        return pd.DataFrame([(rows["signal"].iloc[0], len(k), energy.sum(), energy @ at, energy @ off, energy @ (off * off), np.log(np.clip(lines, EPS, None)).sum(),
-                              lines.sum(), lines[best], int(k[best]))], columns=names)
+        order = np.argsort(k[half])
+        return summed(rows["signal"].iloc[0], k[half][order], lines[half][order])
 
     names = ["signal", "n", "s", "at", "off", "off2", "logs", "lines", "top", "k"]
-    rows = long.select(F.col(signal).alias("signal"), F.col(t).alias("t"), F.col(value).cast("double").alias("value"), (F.col(t) % rest).cast("bigint").alias("r"))
-    first = rows.groupBy("signal", "r").applyInPandas(along, f"signal {kind}, block bigint, r bigint, re array<double>, im array<double>")
-    parts = first.groupBy("signal", "block").applyInPandas(
-        across, f"signal {kind}, n bigint, s double, at double, off double, off2 double, logs double, lines double, top double, k bigint")
+    schema = f"signal {kind}, n bigint, s double, at double, off double, off2 double, logs double, lines double, top double, k bigint"
+    if step > max(CLASS_VALUES, 4 * np.sqrt(length)):
+        parts = chirp_spectrum(long, length, summed, schema, SPECTRUM_VALUES, signal, t, value)
+    else:
+        rows = long.select(F.col(signal).alias("signal"), F.col(t).alias("t"), F.col(value).cast("double").alias("value"), (F.col(t) % rest).cast("bigint").alias("r"))
+        first = rows.groupBy("signal", "r").applyInPandas(along, f"signal {kind}, block bigint, r bigint, re array<double>, im array<double>")
+        parts = first.groupBy("signal", "block").applyInPandas(across, schema)
     total = parts.groupBy("signal").agg(*(F.sum(c).alias(c) for c in names[1:8]), F.max(F.struct("top", (-F.col("k")).alias("k"))).alias("best"))
     c = F.col
     mean = c("at") / F.greatest(c("s"), F.lit(EPS))

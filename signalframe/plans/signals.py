@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import VECTOR_AGGREGATES, array_shape_moments, vector_aggregates, zero_cross_rate
 from ..functions.numeric import rounded
+from ..sources import readers
 from ..operators import covariance as cov
 from ..operators import tensors, waveform
 from ..operators.profile import correlation_ranking
@@ -426,3 +427,34 @@ def hybrid_tensor(spark, d):
              (("scalar", F.col("hybrid.scalar")), ("cov", F.flatten("hybrid.cov")), ("temporal", F.flatten("hybrid.temporal")))]
     rows = t.select("vec_id", F.inline(F.array(*parts)))
     return rows.select("vec_id", "branch", F.posexplode("vals").alias("pos", "value")).withColumn("value", rounded("value"))
+
+
+PRIME = 1009
+_PRIME_FRAMES = f"(SELECT unnest(range({1 + (PRIME - 256) // 128})) AS g)"
+SQL_PRIME = f"""long AS (SELECT signal_id, t, v FROM (SELECT t, l_quantity::DOUBLE AS l_quantity, l_extendedprice::DOUBLE AS l_extendedprice, l_discount::DOUBLE AS l_discount
+    FROM (SELECT *, row_number() OVER () - 1 AS t FROM lineitem) WHERE t < {PRIME}) UNPIVOT (v FOR signal_id IN (l_quantity, l_extendedprice, l_discount))),
+moves AS (SELECT *, lag(v) OVER (PARTITION BY signal_id ORDER BY t) AS p FROM long),
+spec AS (SELECT signal_id, k / {PRIME}.0::DOUBLE AS f, sqrt(power(sum(v * cos(2 * pi() * (k * t % {PRIME}) / {PRIME})), 2) + power(sum(v * sin(2 * pi() * (k * t % {PRIME}) / {PRIME})), 2)) AS m
+  FROM long, (SELECT unnest(range({PRIME // 2 + 1})) AS k) GROUP BY signal_id, k),
+tot AS (SELECT signal_id, sum(m * m) AS tp, sum(m * m * f) / greatest(sum(m * m), 1e-12) AS cen, max(m) AS amp, arg_max(f, m) AS dom,
+  exp(avg(ln(greatest(m, 1e-12)))) / greatest(avg(m), 1e-12) AS flat FROM spec GROUP BY signal_id),
+wide_spec AS (SELECT signal_id, sqrt(sum(m * m * power(f - cen, 2)) / greatest(any_value(tp), 1e-12)) AS bw FROM spec JOIN tot USING (signal_id) GROUP BY signal_id),
+fr AS (SELECT signal_id, g, t - 128 * g AS j, v * (0.5 - 0.5 * cos(2 * pi() * (t - 128 * g) / 256)) AS w FROM long, {_PRIME_FRAMES} WHERE t BETWEEN 128 * g AND 128 * g + 255),
+st AS (SELECT signal_id, g, k, sqrt(power(sum(w * cos(2 * pi() * k * j / 256)), 2) + power(sum(w * sin(2 * pi() * k * j / 256)), 2)) / 128 AS m FROM fr, (SELECT unnest(range(129)) AS k) GROUP BY signal_id, g, k),
+fl AS (SELECT *, m - lag(m) OVER (PARTITION BY signal_id, k ORDER BY g) AS dm FROM st),
+short AS (SELECT signal_id, {', '.join(f'{e} AS {k}' for k, e in _STFT_SQL.items())} FROM fl GROUP BY signal_id),
+stats AS (SELECT signal_id, {', '.join(f'{_TIME_SQL[k]} AS signal_{k}' for k in waveform.TIME_STATS)}, avg(((v < 0) <> (p < 0))::INT) AS zc FROM moves GROUP BY signal_id)"""
+
+
+@query("prime_length_spectra", "SRC-5 WAV-2 WAV-4 WAV-5",
+       f"""WITH {SQL_PRIME} SELECT signal_id, {', '.join(f'round(signal_{k}, 4) + 0.0 AS signal_{k}' for k in waveform.TIME_STATS)}, round(zc, 6) + 0.0 AS signal_zero_cross_rate,
+  round(tp / 1e6, 4) AS fft_total_power, round(dom, 9) AS fft_dominant_frequency, round(amp, 4) AS fft_dominant_amplitude, round(cen, 9) AS fft_spectral_centroid,
+  round(bw, 9) AS fft_spectral_bandwidth, round(flat, 9) AS fft_spectral_flatness, {', '.join(f'round({k}, 4) AS stft_{k}' for k in waveform.STFT_STATS)}
+FROM stats JOIN tot USING (signal_id) JOIN wide_spec USING (signal_id) JOIN short USING (signal_id)""")
+def prime_length_spectra(spark, d):
+    """All 20 features of signals that no transform in two steps can cut: a prime number of samples."""
+    long = readers.read_signals_long(spark, f"{d}/lineitem.parquet", ["l_quantity", "l_extendedprice", "l_discount"], PRIME)
+    out = waveform.long_features(long, PRIME)
+    digits = {c: 4 for c in out.columns if c.startswith(("signal_", "stft_", "fft_dominant_amplitude"))} | {"signal_zero_cross_rate": 6}
+    out = out.withColumn("fft_total_power", F.round(F.col("fft_total_power") / 1e6, 4))
+    return out.select("signal_id", *(F.col(c) if c == "fft_total_power" else rounded(c, digits.get(c, 9)).alias(c) for c in out.columns if c != "signal_id"))

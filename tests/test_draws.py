@@ -26,8 +26,9 @@ def test_bootstrap_totals_are_exact(spark, n):
         got = {r["id"]: r["draws"] for r in split.resampled_counts(rows(spark, n), ["id"], seed).collect()}
         assert sum(got.values()) == n and len(got) == n
         assert got == {r["id"]: r["draws"] for r in split.resampled_counts(rows(spark, n, 7), ["id"], seed).collect()}
-    bags = [r["draws"] for r in split.resampled_bags(rows(spark, n), ["id"], 3, 4).collect()]
-    assert [sum(b) for b in zip(*bags)] == [n] * 4
+    bags = {r["id"]: r["draws"] for r in split.resampled_bags(rows(spark, n), ["id"], 3, 4).collect()}
+    assert [sum(b) for b in zip(*bags.values())] == [n] * 4
+    assert {i: b[2] for i, b in bags.items()} == {r["id"]: r["draws"] for r in split.resampled_counts(rows(spark, n), ["id"], "3-2").collect()}
 
 
 def test_bootstrap_of_nothing(spark):

@@ -346,3 +346,17 @@ def test_candidates(spark):
         assert models.evaluation(out).first()["accuracy"] > 0.8, name
     sweep = models.noise_sweep(df, scorer, [5.0, 0.0, -1.0]).collect()
     assert [r["noise_sigma"] for r in sweep] == [0.0, 5.0] and sweep[0]["macro_f1"] >= sweep[1]["macro_f1"]
+
+
+def test_timestamp_tags_are_utc(spark):
+    """Also in another session zone; an hour that summer time repeats has one tag."""
+    from signalframe.functions.text import timestamp_tag
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("Asia/Kolkata", "America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            row = spark.sql("SELECT timestamp_seconds(1700000000) AS a").select(timestamp_tag(F.col("a"))).first()
+            assert row[0] == "20231114-221320"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
