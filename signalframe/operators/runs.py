@@ -67,6 +67,72 @@ def benchmark_records(df: DataFrame) -> DataFrame:
     return df.select(*[out[n].alias(n) for n, _ in BENCHMARK_FIELDS])
 
 
+def config_value(config: str, section: str, key: str) -> Column:
+    """A value of a two-level configuration text: JSON, or a block of ``section:`` with indented ``key: value`` lines; null if missing."""
+    text = F.col(config)
+    # A section's lines are indented; the key is looked for among them only.
+    block = F.regexp_extract(text, rf"(?m)^{section}:[ \t]*$((?:\r?\n(?:[ \t].*)?)*)", 1)
+    plain = F.nullif(F.trim(F.regexp_extract(block, rf"(?m)^[ \t]+{key}:[ \t]*(.*?)[ \t\r]*$", 1)), F.lit(""))
+    plain = F.regexp_replace(plain, r"""^(["'])(.*)\1$""", "$2")
+    plain = F.when(~F.lower(plain).isin("null", "~"), plain)
+    return F.when(text.startswith("{"), F.try_variant_get(F.try_parse_json(text), f"$.{section}.{key}", "string")).otherwise(plain)
+
+
+def metric_value(metrics: str, name: str, kind: str = "string") -> Column:
+    """A top-level value of a JSON text; null if missing or of another kind."""
+    return F.try_variant_get(F.try_parse_json(F.col(metrics)), f"$.{name}", kind)
+
+
+def _number(metrics: str, name: str) -> Column:
+    """A metric as a number: 0.0 where it is missing or text."""
+    text = metric_value(metrics, name)
+    quoted = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(metrics)), f"$.{name}", "variant")) == "STRING"
+    return F.coalesce(F.when(~quoted, F.coalesce(text.try_cast("double"), F.when(text == "true", 1.0))), F.lit(0.0))
+
+
+def _by_name(metrics: str, metric: Column) -> Column:
+    names = ("accuracy", "f1", "macro_f1", "minority_f1", "minority_precision", "minority_recall", "positive_f1", "positive_precision", "positive_recall", "precision", "recall")
+    score = F.lit(0.0)
+    for n in names:
+        # only the combined names have a spelling with a hyphen
+        score = F.when(metric.isin(n, n.replace("_", "-")), _number(metrics, n)).otherwise(score)
+    return score
+
+
+def run_rows(files: DataFrame) -> DataFrame:
+    """The 24 fields of run records from (origin, metrics, config) texts."""
+    m = lambda n, default: F.coalesce(metric_value("metrics", n), default)
+    c = lambda s, k, default: F.coalesce(config_value("config", s, k), F.lit(default))
+    model = m("model_name", c("model", "name", "model"))
+    primary, secondary = c("task", "metric_primary", "accuracy"), c("task", "metric_secondary", "f1")
+    out = {
+        "alias": F.element_at(F.split("origin", "/"), -1), "run_dir": F.col("origin"), "prepared_dir": c("runtime", "prepared_dir", ""),
+        "dataset": c("dataset", "name", "dataset"), "task_name": m("task_name", c("task", "task_name", "task")),
+        "target_column": m("target_column", c("task", "target_column", "label")), "model_name": model, "selected_baseline": m("selected_baseline", model),
+        "model_family": m("model_family", F.lit("ml")), "seed": F.coalesce(config_value("config", "trainer", "random_state").try_cast("int"), F.lit(42)),
+        "primary_metric": primary, "primary_score": _by_name("metrics", primary), "secondary_metric": secondary, "secondary_score": _by_name("metrics", secondary),
+        **{n: _number("metrics", n) for n in ("accuracy", "f1", "macro_f1", "minority_f1", "precision", "recall", "overfit_gap")},
+        **{n: m(n, F.lit("")) for n in ("threshold", "risk_note", "resolved_device")},
+    }
+    return files.select(*(out[n].alias(n) for n, _ in RUN_FIELDS))
+
+
+def benchmark_rows(files: DataFrame) -> DataFrame:
+    """The 22 fields of benchmark records from (origin, metrics, config) texts; ``config`` is the name of the run directory."""
+    m = lambda n, default: F.coalesce(metric_value("metrics", n), F.lit(default) if isinstance(default, str) else default)
+    c = lambda s, k, default: F.coalesce(config_value("config", s, k), F.lit(default))
+    model = m("model_name", "model")
+    out = {
+        "config": F.element_at(F.split("origin", "/"), -1), "run_dir": F.col("origin"), "dataset": c("dataset", "name", "dataset"), "task_name": m("task_name", "task"),
+        "target_column": m("target_column", "label"), "model_name": model, "selected_baseline": m("selected_baseline", model), "model_family": m("model_family", "ml"),
+        "seed": F.coalesce(config_value("config", "trainer", "random_state").try_cast("int"), F.lit(42)), "mode": m("run_mode", c("model", "mode", "single_task")),
+        "macro_f1": F.when(metric_value("metrics", "macro_f1").isNotNull(), _number("metrics", "macro_f1")).otherwise(_number("metrics", "f1")),
+        **{n: m(n, "") for n in ("transfer_strategy", "pretrain_objective", "threshold", "risk_note")},
+        **{n: _number("metrics", n) for n in ("accuracy", "f1", "minority_f1", "minority_precision", "minority_recall", "precision", "recall")},
+    }
+    return files.select(*(out[n].alias(n) for n, _ in BENCHMARK_FIELDS))
+
+
 def sort_runs(df: DataFrame, primary: str = "accuracy", secondary: str = "f1") -> DataFrame:
     return df.orderBy("dataset", "task_name", F.desc(primary), F.desc(secondary))
 

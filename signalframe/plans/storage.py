@@ -13,7 +13,8 @@ from ..operators import evaluate as ev
 from ..operators import waveform
 from ..operators.rank import keep_features, ranked, top_features
 from ..session import work_path
-from ..sources import readers, sinks
+from ..operators import runs
+from ..sources import npy, readers, sinks
 from .frames import SQL_CELLS, SQL_FISHER, SQL_RUNS, SQL_SCALED, SQL_TASKS, run_table, scored_documents, table, task_predictions, vectors
 from .evaluation import SQL_SUMMARY
 from .ranking import scaled_vectors, vector_scores
@@ -193,3 +194,71 @@ def run_outputs(spark, d):
         sinks.write_run({"predictions": p.select("doc_id", "y_true", "y_pred"), "per_class": ev.per_class(p)}, path, run)
     back = spark.read.parquet(f"{path}/predictions")
     return back.groupBy(F.col("run_id").cast("string").alias("run_id"), "y_true").agg(F.count("*").alias("n"))
+
+
+@query("npy_ranges", "SRC-4 JON-3",
+       f"""WITH {SQL_CELLS}, f AS (SELECT *, vec_id // 100 AS file, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id, i) - 1 AS pos FROM cells)
+SELECT (file % 7) || '_block_' || file || '.npy' AS sample_id, CASE WHEN file % 3 = 0 THEN 'listed' ELSE CAST(file % 7 AS VARCHAR) END AS label,
+count(*) AS size, count(*) AS n, round(sum(v), 5) + 0.0 AS total, round(sum(v * pos) / 1000, 4) + 0.0 AS weighted FROM f GROUP BY file""")
+def npy_ranges(spark, d):
+    """Matrices of a hundred vectors each as .npy files, read back by byte ranges, several tasks a file."""
+    file = F.floor(F.col("vec_id") / 100)
+    name = F.concat(file % 7, F.lit("_block_"), file, F.lit(".npy"))
+    rows = vectors(spark, d).groupBy(name.alias("sample_id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "features"))), lambda x: x["features"])).alias("features"))
+    path = work_path(spark, "npy")
+    listed = npy.write_npy(rows, path, width=64).select(F.col("name").alias("file"), F.lit("listed").alias("label"))
+    listed = listed.where(F.regexp_extract("file", r"_(\d+)\.npy$", 1).cast("int") % 3 == 0)
+    pieces = npy.with_labels(npy.read_npy(spark, path, range_bytes=10_000, chunk_values=500), listed)
+    sums = pieces.select("sample_id", "label", "size", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda s, x: s + x).alias("total"),
+                         F.aggregate(F.transform("values", lambda x, i: x * (F.col("offset") + i)), F.lit(0.0), lambda s, x: s + x).alias("weighted"))
+    out = sums.groupBy("sample_id", "label", "size").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), (F.sum("weighted") / 1000).alias("weighted"))
+    return out.withColumns({"total": rounded("total", 5), "weighted": rounded("weighted", 4)})
+
+
+SQL_WRITTEN = f"""{SQL_RUNS}, written AS (SELECT 'run-' || supp || '-' || line AS run, supp % 20 = 1 AS even, * FROM runs WHERE supp % 10 = 1 AND line <= 3)"""
+
+
+def written_runs(spark, d) -> list[str]:
+    """Run directories: metrics as JSON, the configuration as indented lines or as JSON, or none; and one directory without files."""
+    r, root = run_table(spark, d).where("supp % 10 = 1 AND line <= 3"), work_path(spark, "records")
+    even, line = F.col("supp") % 20 == 1, F.col("line")
+    metrics = F.to_json(F.struct("accuracy", "f1", F.when(even, F.col("macro_f1")).alias("macro_f1"), F.when(even, F.col("model_name")).alias("model_name"),
+                                 F.when(line == 2, F.lit("high")).alias("risk_note"), F.when(line == 3, F.lit("0.5")).alias("precision")))
+    lines = F.concat(F.lit("# settings\ndataset:\n  name: "), F.col("dataset"), F.lit("\nmodel:\n  mode: "), F.col("mode"),
+                     F.lit("\n  name: 'fallback'\n\ntrainer:\n  random_state: "), F.col("seed"), F.lit("\ntask:\n  metric_primary: macro-f1\n"))
+    compact = F.to_json(F.struct(F.struct(F.col("dataset").alias("name")).alias("dataset"), F.struct(F.col("seed").alias("random_state")).alias("trainer")))
+    run = F.concat(F.lit("run-"), F.col("supp"), F.lit("-"), line)
+    files = r.select(run.alias("run"), F.inline(F.array(
+        F.struct(F.lit("metrics.json").alias("file"), metrics.alias("text")),
+        F.struct(F.lit("run_config.yaml").alias("file"), F.when(even, lines).when(line < 3, compact).alias("text"))))).where("text IS NOT NULL")
+    made = npy.write_files(files.select(F.concat("run", F.lit("/"), "file").alias("name"), "text"), root, "name", "text")
+    # names of directories
+    found = made.select(F.split("name", "/")[0].alias("run")).distinct().orderBy("run").collect()
+    return [f"{root}/{r['run']}" for r in found] + [f"{root}/absent"]
+
+
+_MODEL = "CASE WHEN even THEN model_name ELSE 'model' END"
+
+
+@query("run_directory_records", "EXP-7",
+       f"""WITH {SQL_WRITTEN} SELECT run AS alias, run AS run_dir, '' AS prepared_dir, CASE WHEN even OR line < 3 THEN dataset ELSE 'dataset' END AS dataset, 'task' AS task_name, 'label' AS target_column,
+{_MODEL} AS model_name, {_MODEL} AS selected_baseline, 'ml' AS model_family, CASE WHEN even OR line < 3 THEN seed ELSE 42 END AS seed, CASE WHEN even THEN 'macro-f1' ELSE 'accuracy' END AS primary_metric,
+round(CASE WHEN even THEN macro_f1 ELSE accuracy END, 9) AS primary_score, 'f1' AS secondary_metric, round(f1, 9) AS secondary_score, round(accuracy, 9) AS accuracy, round(f1, 9) AS f1,
+CASE WHEN even THEN round(macro_f1, 9) ELSE 0.0 END AS macro_f1, 0.0::DOUBLE AS minority_f1, 0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, '' AS threshold, CASE WHEN line = 2 THEN 'high' ELSE '' END AS risk_note,
+'' AS resolved_device, 0.0::DOUBLE AS overfit_gap FROM written""")
+def run_directory_records(spark, d):
+    """Records of all run directories from their metric and configuration files, by one scan."""
+    rows = runs.run_rows(readers.read_run_records(spark, written_runs(spark, d)))
+    rows = rows.withColumn("run_dir", F.element_at(F.split("run_dir", "/"), -1))
+    return rows.withColumns({c: rounded(c, 9) for c in ("primary_score", "secondary_score", "accuracy", "f1", "macro_f1")})
+
+
+@query("benchmark_directory_records", "EXP-8",
+       f"""WITH {SQL_WRITTEN} SELECT run AS config, run AS run_dir, CASE WHEN even OR line < 3 THEN dataset ELSE 'dataset' END AS dataset, 'task' AS task_name, 'label' AS target_column, {_MODEL} AS model_name,
+{_MODEL} AS selected_baseline, 'ml' AS model_family, CASE WHEN even OR line < 3 THEN seed ELSE 42 END AS seed, CASE WHEN even THEN mode ELSE 'single_task' END AS mode, '' AS transfer_strategy, '' AS pretrain_objective,
+round(accuracy, 9) AS accuracy, round(f1, 9) AS f1, round(CASE WHEN even THEN macro_f1 ELSE f1 END, 9) AS macro_f1, 0.0::DOUBLE AS minority_f1, 0.0::DOUBLE AS minority_precision, 0.0::DOUBLE AS minority_recall,
+0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, '' AS threshold, CASE WHEN line = 2 THEN 'high' ELSE '' END AS risk_note FROM written""")
+def benchmark_directory_records(spark, d):
+    rows = runs.benchmark_rows(readers.read_run_records(spark, written_runs(spark, d)))
+    rows = rows.withColumn("run_dir", F.element_at(F.split("run_dir", "/"), -1))
+    return rows.withColumns({c: rounded(c, 9) for c in ("accuracy", "f1", "macro_f1")})

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import os
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -211,22 +214,86 @@ def read_signal_table(spark: SparkSession, path: str, metadata: DataFrame, targe
 # --- run histories and predictions -----------------------------------------------------------
 
 
-def read_run_histories(spark: SparkSession, directories: Sequence[str], name: str = "benchmark_metrics.csv") -> DataFrame | None:
+def _plain(path: str) -> str:
+    """A path without scheme and host."""
+    return re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", path).rstrip("/")
+
+
+def _scan_directories(spark: SparkSession, directories: Sequence[str], names: Sequence[str]) -> DataFrame | None:
+    """(origin, position, name, file, text) of the files or dataset folders ``names`` in all directories, whole files, by one scan.
+
+    ``origin`` is the directory as given.  Directories without any of the files are skipped; None when all are.
+    """
+    found = list(dict.fromkeys(d.rstrip("/") for d in directories))
+    if not found:
+        return None
+    root = found[0] if len(found) == 1 else os.path.commonprefix([d + "/" for d in found]).rpartition("/")[0]
+    quoted = [re.sub(r"([\\{},*?\[\]])", r"\\\1", d[len(root):].lstrip("/")) for d in found]
+    base = re.sub(r"([\\{},*?\[\]])", r"\\\1", root)
+    inner = f"/{{{','.join(quoted)}}}" if len(found) > 1 else ""
+    try:
+        raw = spark.read.text(f"{base}{inner}/{{{','.join(names)}}}", wholetext=True)
+    except AnalysisException:
+        return None
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    path = F.regexp_replace(path, r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "")
+    place = "|".join(re.escape(n) for n in names)
+    rows = raw.select(F.col("value").alias("text"), F.regexp_extract(path, rf"^(.*)/(?:{place})(?:/[^/]*)?$", 1).alias("_sf_dir"),
+                      F.regexp_extract(path, rf"^.*/({place})(?:/[^/]*)?$", 1).alias("name"), path.alias("file"))
+    origins = spark.createDataFrame([(_plain(d), i, d) for i, d in enumerate(found)], "_sf_dir string, position int, origin string")
+    return rows.join(origins, "_sf_dir").select("origin", "position", "name", "file", "text")
+
+
+def _csv_rows(text: Column) -> Column:
+    """The rows of whole CSV files as maps by column name; empty cells are null."""
+    def rows(one: str) -> list[dict]:
+        lines = csv.reader(io.StringIO(one))
+        header = next(lines, [])
+        return [{c: (v if v != "" else None) for c, v in zip(header, line)} for line in lines if line]
+
+    @F.pandas_udf("array<map<string,string>>")
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(rows)
+
+    return parse(text)
+
+
+def read_run_maps(spark: SparkSession, directories: Sequence[str], name: str = "benchmark_metrics.csv") -> DataFrame | None:
+    """(benchmark_dir, position, values) of all run tables: a map per row, whatever its columns; nothing is read until it is used."""
+    files = _scan_directories(spark, directories, [name])
+    if files is None:
+        return None
+    return files.select(F.col("origin").alias("benchmark_dir"), "position", "file", F.posexplode(_csv_rows(F.col("text"))).alias("row", "values"))
+
+
+def read_run_histories(spark: SparkSession, directories: Sequence[str], name: str = "benchmark_metrics.csv",
+                       fields: Sequence[tuple[str, str]] | None = None) -> DataFrame | None:
     """All run tables below one another with their ``benchmark_dir``; columns may differ.
 
-    Directories without the file, or with an empty one, are skipped; None when nothing is left.
+    Any number of directories is one scan, plus one that finds the columns and their types (long, double, boolean, else text)
+    unless ``fields`` (name, type) are given.  Directories without the file, or with an empty one, are skipped; None when nothing is left.
     """
-    out = None
-    for d in dict.fromkeys(directories):
-        try:
-            frame = read_csv(spark, f"{d.rstrip('/')}/{name}")
-        except AnalysisException:
-            continue
-        if not frame.columns or frame.isEmpty():
-            continue
-        frame = frame.withColumn("benchmark_dir", F.lit(d))
-        out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
-    return out
+    maps = read_run_maps(spark, directories, name)
+    if maps is None:
+        return None
+    if fields is None:
+        cells = maps.select("position", "file", F.posexplode("values").alias("place", "column", "value"))
+        fits = lambda kind: F.bool_and(F.col("value").isNull() | F.col("value").try_cast(kind).isNotNull())
+        seen = cells.groupBy("column").agg(F.min(F.struct("position", "file", "place")).alias("first"), fits("bigint").alias("bigint"), fits("double").alias("double"),
+                                           fits("boolean").alias("boolean"), F.bool_or(F.col("value").isNotNull()).alias("any")).orderBy("first").collect()
+        if not seen:
+            return None
+        fields = [(r["column"], next((k for k in ("bigint", "double", "boolean") if r["any"] and r[k]), "string")) for r in seen]
+    return maps.select(*(F.col("values")[c].try_cast(kind).alias(c) for c, kind in fields), "benchmark_dir")
+
+
+def read_run_records(spark: SparkSession, directories: Sequence[str]) -> DataFrame | None:
+    """(origin, metrics, config) texts of run directories, from one scan: ``metrics.json`` beside ``run_config.yaml``; a missing file is null."""
+    files = _scan_directories(spark, directories, ["metrics.json", "run_config.yaml"])
+    if files is None:
+        return None
+    pick = lambda n: F.max(F.when(F.col("name") == n, F.col("text")))
+    return files.groupBy("origin").agg(pick("metrics.json").alias("metrics"), pick("run_config.yaml").alias("config"))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
