@@ -62,3 +62,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = work_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``cut_lineage`` has written, once all that was made of it is written itself."""
+    root = f"{shared_dir(df.sparkSession)}/signalframe/cut-"
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        if str(path).startswith(str(system.makeQualified(jvm.org.apache.hadoop.fs.Path(root)))):
+            system.delete(path, True)
