@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 from .components import components
 from .text import LOWER, Words, as_bytes, batches_of, chunks, hash_words, mix, mix_rounds, row_key, window_hashes
 from .url_filter import BROADCAST_BLOCKS, bloom_blocks, bloom_probe
@@ -41,7 +41,9 @@ ROWS = 8
 #: Largest chance that a pair at the threshold shares no bucket.
 MISS = 3e-8
 #: Coordinates that are kept, a byte each, to estimate the similarity of a pair; the estimate may lie this far below.
-BRIEF, SLACK = 128, 0.21
+BRIEF, SLACK = 256, 0.145
+#: Members of a block, and rows of one block that are compared with all of another at once.
+BLOCK, STEP = 512, 64
 #: Rows of an Arrow batch: sets of long texts come in them, two at a time when a pair is verified.
 BATCH_ROWS = 500
 #: Members of a bucket that are compared with all others in the second search; eight times as many in each after it.
@@ -157,14 +159,12 @@ def _common(a: Column, b: Column) -> Column:
     return F.arrow_udf(count, T.LongType(), F.ArrowUDFType.SCALAR)(a, b)
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Equal coordinates of two brief sketches."""
-
-    def count(left: pa.Array, right: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(side.to_pylist()), dtype=np.uint8).reshape(len(side), BRIEF) for side in (left, right))
-        return pa.array((x == y).sum(1).astype(np.int64))
-
-    return F.arrow_udf(count, T.LongType(), F.ArrowUDFType.SCALAR)(a, b)
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal coordinates of all rows of x with all rows of y."""
+    out = np.zeros((len(x), len(y)), np.int16)
+    for k in range(0, len(y), STEP):
+        out[:, k:k + STEP] = (x[:, None, :] == y[None, k:k + STEP]).sum(2, dtype=np.int16)
+    return out
 
 
 @dataclass(frozen=True)
@@ -182,19 +182,71 @@ class Threshold:
         return F.least(a, b) * self.down >= F.greatest(a, b) * self.up
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The linked ones of distinct pairs (a, b) that may be linked by their sizes."""
-    brief = classes.select("node", "brief")
-    least = int(np.floor((t.up / t.down - SLACK) * BRIEF))
-    near = pairs.join(brief.select(F.col("node").alias("a"), F.col("brief").alias("x")), "a").join(
-        brief.select(F.col("node").alias("b"), F.col("brief").alias("y")), "b")
-    near = near.where(_alike(F.col("x"), F.col("y")) >= least).select("a", "b")
-    full = near.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y"), F.col("n").alias("m")), "b").join(
+def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """The linked ones of distinct pairs (a, b), judged by their full sets."""
+    full = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y"), F.col("n").alias("m")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("elements").alias("x"), "n"), "a")
     full = full.withColumn("common", _common(F.col("x"), F.col("y")))
     return full.where(t.linked(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")
 
 
+def _near_pairs(members: DataFrame, hubs: DataFrame, hub_blocks: int | None, t: Threshold) -> DataFrame:
+    """Distinct (a, b) of members and hubs of a bucket, of different components, that sizes and brief sketches leave possible.
+
+    A bucket is cut into blocks of about ``BLOCK`` members, and so are its hubs (``hub_blocks``; None: the hubs are all members).  Blocks
+    meet as matrices inside a task, so no pair is a row unless it is left.
+    """
+    least = int(np.floor((t.up / t.down - SLACK) * BRIEF))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    others = blocks if hub_blocks is None else F.lit(hub_blocks)
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    columns = ["hub", "node", "n", "c", "brief"]
+    # Where the hubs are all members, a pair of blocks meets once.
+    left = members.select("bucket", place(blocks).alias("i"), F.sequence(F.lit(0) if hub_blocks else place(blocks), others - 1).alias("js"), F.lit(False).alias("hub"), "node", "n", "c", "brief")
+    right = hubs.select("bucket", F.sequence(F.lit(0), blocks - 1 if hub_blocks else place(blocks)).alias("is"), place(others).alias("j"), F.lit(True).alias("hub"), "node", "n", "c", "brief")
+    sides = left.select("bucket", "i", F.explode("js").alias("j"), *columns).unionByName(right.select("bucket", F.explode("is").alias("i"), "j", *columns))
+
+    def meet(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        hub = part["hub"].to_numpy().astype(bool)
+        if hub.all() or not hub.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        node, n, c = (part[k].to_numpy() for k in ("node", "n", "c"))
+        brief = np.frombuffer(b"".join(part["brief"].to_pylist()), np.uint8).reshape(len(hub), BRIEF)
+        x, y = np.flatnonzero(~hub), np.flatnonzero(hub)
+        small, large = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
+        possible = (c[x][:, None] != c[y]) & (small * t.down >= large * t.up)
+        if possible.any():
+            possible &= _alike(brief[x], brief[y]) >= least
+        p, q = np.nonzero(possible)
+        return np.minimum(node[x[p]], node[y[q]]), np.maximum(node[x[p]], node[y[q]])
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+
+        def segments(table: pa.Table, last: bool) -> tuple[list, pa.Table]:
+            keys = np.stack([table[k].to_numpy().astype(np.int64) for k in ("bucket", "i", "j")])
+            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])).tolist()
+            ends = [*starts[1:], len(table)] if last else starts[1:]
+            return [meet(table.slice(a, e - a)) for a, e in zip(starts, ends)], table.slice(len(table) if last else starts[-1])
+
+        def batch_of(found: list) -> pa.RecordBatch:
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in parts:
+            table = pa.Table.from_batches([batch])
+            waiting = table if waiting is None else pa.concat_tables([waiting, table])
+            if len(waiting) >= 8 * BLOCK:
+                found, waiting = segments(waiting.combine_chunks(), False)
+                if found:
+                    yield batch_of(found)
+        if waiting is not None and len(waiting):
+            yield batch_of(segments(waiting.combine_chunks(), True)[0])
+
+    dealt = sides.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(batches, "a long, b long").distinct()
+
+
 def _contracted(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with the component that links between components give."""
     roots = components(links)
@@ -202,19 +254,16 @@ def _contracted(members: DataFrame, links: DataFrame) -> DataFrame:
     return joined.withColumn("c", F.coalesce("root", "c")).drop("root")
 
 
-def _links(members: DataFrame, classes: DataFrame, sets: DataFrame, t: Threshold, largest: int) -> DataFrame:
-    """``node`` and ``c`` of all nodes in ``members`` (bucket, node, n, size): the search the module's text describes."""
-    def pair(one: str, other: str) -> list[Column]:
-        return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
-
-    hubs = members.groupBy("bucket").agg(F.min_by(F.struct("node", "n"), "node").alias("hub"))
-    star = members.join(hubs, "bucket").where(F.col("node") != F.col("hub.node"))
-    star = star.where(t.possible(F.col("n"), F.col("hub.n"))).select(*pair("node", "hub.node")).distinct()
-    tested = cut_lineage(star)
-    found = cut_lineage(_verified(tested, classes, sets, t))
+def _links(members: DataFrame, sets: DataFrame, t: Threshold, largest: int) -> DataFrame:
+    """``node`` and ``c`` of all nodes in ``members`` (bucket, node, n, size, brief): the search the module's text describes."""
+    alone = members.withColumn("c", F.col("node"))
+    hubs = alone.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "c", "brief", "size"), "node").alias("hub")).select("bucket", "hub.*")
+    tested = cut_lineage(_near_pairs(alone, hubs, 1, t))
+    found = cut_lineage(_verified(tested, sets, t))
     nodes = members.select("node").distinct().withColumn("c", F.col("node"))
     labels = cut_lineage(_contracted(nodes, found))
-    share, many = HUBS, FEW * members.count()
+    discard(found)
+    past, share, many = [tested], HUBS, FEW * members.count()
     while True:
         placed = members.join(labels, "node")
         open_buckets = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
@@ -222,22 +271,30 @@ def _links(members: DataFrame, classes: DataFrame, sets: DataFrame, t: Threshold
         parts = placed.groupBy("bucket", "c").agg(F.count("*").cast("double").alias("k")).groupBy("bucket").agg((F.pow(F.sum("k"), 2) - F.sum(F.col("k") * F.col("k"))).alias("cross"))
         cross = parts.agg(F.sum("cross")).first()[0]
         if not cross:
-            return labels
+            break
         everyone = cross <= many or share >= largest
         chance = F.pmod(F.xxhash64("node", F.lit(share)), F.greatest(F.lit(1), F.ceil(F.col("size") / share)))
-        hub = placed.where(F.lit(everyone) | (chance == 0)).select("bucket", F.col("node").alias("h"), F.col("n").alias("hn"), F.col("c").alias("hc"))
-        pairs = placed.join(hub, "bucket").where((F.col("c") != F.col("hc")) & t.possible(F.col("n"), F.col("hn")))
-        fresh = cut_lineage(pairs.select(*pair("node", "h")).distinct().join(tested, ["a", "b"], "left_anti"))
+        hubs = placed if everyone else placed.where(chance == 0)
+        pairs = _near_pairs(placed, hubs, None if everyone else -(-share // BLOCK), t)
+        for earlier in past:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        fresh = cut_lineage(pairs)
+        discard(placed)
         if not fresh.isEmpty():
-            tested = cut_lineage(tested.unionByName(fresh))
-            found = _verified(fresh, classes, sets, t)
+            past.append(fresh)
+            found = _verified(fresh, sets, t)
             at = lambda c: labels.select(F.col("node").alias(c), F.col("c").alias(f"c{c}"))
             between = cut_lineage(found.join(at("a"), "a").join(at("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             if not between.isEmpty():
-                labels = cut_lineage(_contracted(labels, between))
+                older, labels = labels, cut_lineage(_contracted(labels, between))
+                discard(older)
+            discard(between)
         if everyone:
-            return labels
+            break
         share *= 8
+    for earlier in past:
+        discard(earlier)
+    return labels
 
 
 def groups(docs: DataFrame, shingle: int = 5, up: int = 4, down: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -261,14 +318,19 @@ def _labelled(docs: DataFrame, shingle: int, up: int, down: int, text: str, doc_
 
         slots = classes.select("node", "n", F.explode("bands").alias("bucket"))
         shared = slots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        members = cut_lineage(slots.join(shared, "bucket").select("bucket", "node", "n", "size"))
+        # Buckets of one member go before the sketches move.
+        several = cut_lineage(slots.join(shared, "bucket").select("bucket", "node", "n", "size"))
+        members = cut_lineage(several.join(classes.select("node", "brief"), "node").select("bucket", "node", "n", "size", "brief"))
+        discard(several)
         largest = members.agg(F.max("size")).first()[0]
         if largest:
             sets = _candidate_sets(docs, rows, classes, members, shingle, text, doc_id)
-            labels = _links(members, classes, sets, t, largest)
+            labels = _links(members, sets, t, largest)
+            discard(sets)
             classes = classes.join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
         else:
             classes = classes.withColumn("c", F.col("node"))
+        discard(members)
     least = classes.groupBy("c").agg(F.min("least").alias("component_id"))
     found = classes.select("key", "c").join(least, "c")
     return rows.select("id", "row", "n", "key").join(found, "key", "left").select("id", "row", "n", "c", "component_id")
