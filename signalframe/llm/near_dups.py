@@ -254,41 +254,50 @@ def _contracted(members: DataFrame, links: DataFrame) -> DataFrame:
     return joined.withColumn("c", F.coalesce("root", "c")).drop("root")
 
 
+def _merged(pairs: DataFrame, labels: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """``labels`` after the written ``pairs`` are judged: first one pair of each node, then those that still join two components."""
+    def between(some: DataFrame) -> DataFrame:
+        at = lambda c: labels.select(F.col("node").alias(c), F.col("c").alias(f"c{c}"))
+        return some.join(at("a"), "a").join(at("b"), "b").where("ca <> cb")
+
+    first = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    for some in (first, pairs.join(first, ["a", "b"], "left_anti")):
+        open_pairs = cut_lineage(between(some).select("a", "b"))
+        if not open_pairs.isEmpty():
+            links = cut_lineage(between(_verified(open_pairs, sets, t)).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+            if not links.isEmpty():
+                older, labels = labels, cut_lineage(_contracted(labels, links))
+                discard(older)
+            discard(links)
+        discard(open_pairs)
+    discard(first)
+    return labels
+
+
 def _links(members: DataFrame, sets: DataFrame, t: Threshold, largest: int) -> DataFrame:
     """``node`` and ``c`` of all nodes in ``members`` (bucket, node, n, size, brief): the search the module's text describes."""
+    labels = cut_lineage(members.select("node").distinct().withColumn("c", F.col("node")))
     alone = members.withColumn("c", F.col("node"))
     hubs = alone.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "c", "brief", "size"), "node").alias("hub")).select("bucket", "hub.*")
-    tested = cut_lineage(_near_pairs(alone, hubs, 1, t))
-    found = cut_lineage(_verified(tested, sets, t))
-    nodes = members.select("node").distinct().withColumn("c", F.col("node"))
-    labels = cut_lineage(_contracted(nodes, found))
-    discard(found)
-    past, share, many = [tested], HUBS, FEW * members.count()
+    past = [cut_lineage(_near_pairs(alone, hubs, 1, t))]
+    labels = _merged(past[0], labels, sets, t)
+    share, many = HUBS, FEW * members.count()
     while True:
         placed = members.join(labels, "node")
         open_buckets = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
         placed = cut_lineage(placed.join(open_buckets, "bucket"))
         parts = placed.groupBy("bucket", "c").agg(F.count("*").cast("double").alias("k")).groupBy("bucket").agg((F.pow(F.sum("k"), 2) - F.sum(F.col("k") * F.col("k"))).alias("cross"))
         cross = parts.agg(F.sum("cross")).first()[0]
-        if not cross:
-            break
-        everyone = cross <= many or share >= largest
-        chance = F.pmod(F.xxhash64("node", F.lit(share)), F.greatest(F.lit(1), F.ceil(F.col("size") / share)))
-        hubs = placed if everyone else placed.where(chance == 0)
-        pairs = _near_pairs(placed, hubs, None if everyone else -(-share // BLOCK), t)
-        for earlier in past:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        fresh = cut_lineage(pairs)
+        everyone = not cross or cross <= many or share >= largest
+        if cross:
+            chance = F.pmod(F.xxhash64("node", F.lit(share)), F.greatest(F.lit(1), F.ceil(F.col("size") / share)))
+            hubs = placed if everyone else placed.where(chance == 0)
+            pairs = _near_pairs(placed, hubs, None if everyone else -(-share // BLOCK), t)
+            for earlier in past:
+                pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+            past.append(cut_lineage(pairs))
+            labels = _merged(past[-1], labels, sets, t)
         discard(placed)
-        if not fresh.isEmpty():
-            past.append(fresh)
-            found = _verified(fresh, sets, t)
-            at = lambda c: labels.select(F.col("node").alias(c), F.col("c").alias(f"c{c}"))
-            between = cut_lineage(found.join(at("a"), "a").join(at("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            if not between.isEmpty():
-                older, labels = labels, cut_lineage(_contracted(labels, between))
-                discard(older)
-            discard(between)
         if everyone:
             break
         share *= 8
@@ -316,11 +325,11 @@ def _labelled(docs: DataFrame, shingle: int, up: int, down: int, text: str, doc_
         classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("brief").alias("brief"))
         classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
 
-        slots = classes.select("node", "n", F.explode("bands").alias("bucket"))
+        # One exchange serves the count and the join; buckets of one member go before the sketches move.
+        slots = classes.select("node", F.explode("bands").alias("bucket")).repartition("bucket")
         shared = slots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        # Buckets of one member go before the sketches move.
-        several = cut_lineage(slots.join(shared, "bucket").select("bucket", "node", "n", "size"))
-        members = cut_lineage(several.join(classes.select("node", "brief"), "node").select("bucket", "node", "n", "size", "brief"))
+        several = cut_lineage(slots.join(shared.hint("merge"), "bucket").select("bucket", "node", "size"))
+        members = cut_lineage(several.join(classes.select("node", "n", "brief"), "node").select("bucket", "node", "n", "size", "brief"))
         discard(several)
         largest = members.agg(F.max("size")).first()[0]
         if largest:
