@@ -149,7 +149,7 @@ cuts AS (
   SELECT doc_id, a AS e, lag(e, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS a FROM spans
   UNION ALL SELECT doc_id, octet_length(b) + 1, max(e) FROM spans JOIN d USING (doc_id) GROUP BY doc_id, b),
 kept AS (SELECT doc_id, string_agg(hex(b[a:e - 1]), '' ORDER BY a) AS k FROM cuts JOIN d USING (doc_id) WHERE e > a GROUP BY doc_id)
-SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, n IS NOT NULL AS changed,
   CASE WHEN n IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(k, ''))) END AS kept_sha256
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """)
@@ -162,7 +162,7 @@ def op6_suffix_dedup(spark, sf_dir):
                        F.sha2(body, 256).alias("whole"))
     out = rows.join(lost, "row", "left")
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
-                      F.coalesce("spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+                      F.coalesce("spans", F.lit(0).cast("long")).alias("n_spans"), F.col("spans").isNotNull().alias("changed"), F.coalesce("sha", "whole").alias("kept_sha256"))
 
 
 @query("op7_toxicity")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard, work_path
 from .text import as_bytes, chunks, covered, mix, row_key
 from .url_filter import BROADCAST_BLOCKS, bloom_blocks, bloom_probe
 
@@ -395,9 +395,10 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_t
     texts = texts.repartition(buckets, "unit").dropDuplicates(["unit", "row"]).groupBy("unit").agg(F.collect_list(F.struct("row", "text")).alias("texts"))
     flags = flagged.select(unit, "*").groupBy("unit").agg(F.collect_list(F.struct("row", "flags", "copies")).alias("flags"))
     name = f"repeats_units_{uuid.uuid4().hex}"
-    texts.join(flags, "unit").write.bucketBy(buckets, "unit").saveAsTable(name)
+    # Below the shared folder: the warehouse folder may be one machine's.
+    texts.join(flags, "unit").write.option("path", work_path(spark, "cut")).bucketBy(buckets, "unit").saveAsTable(name)
+    stored = units = spark.table(name)
     try:
-        units = spark.table(name)
         at_anchors = cut_lineage(repeated_keys(units, ["texts", "flags"], _anchor_keys, parts))
         units = units.join(at_anchors, "unit", "left")
         told = cut_lineage(shared_asks(units, ["texts", "flags", "known"], _unit_asks, parts))
@@ -408,4 +409,5 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_t
         done = units.join(more, "unit", "left").select(F.explode(_udf(_spans(with_text), _REMOVED)("texts", "flags", "known", "told", "more")).alias("r"))
         return cut_lineage(done.select("r.*"))
     finally:
+        discard(stored)
         spark.sql(f"DROP TABLE IF EXISTS {name}")

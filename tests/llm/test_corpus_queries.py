@@ -61,3 +61,27 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed} == set(texts)
     final = corpus_pipeline.run(spark, SMALLEST)
     assert final.count() == len(packed)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null ids, texts and sources, copies, columns with clashing names, an empty benchmark and an empty table."""
+    import random
+
+    rng = random.Random(3)
+    bodies = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    rows = [(1, bodies[0], "a"), (None, bodies[0], None), (2, bodies[1], None), (None, bodies[2], "b"), (None, bodies[3], "b"), (3, None, "a"), (4, "", "a"),
+            (5, bodies[4] + " one more", "a"), (6, bodies[4], "b"), (6, bodies[4], "b"), (7, " ".join([bodies[5]] * 1), "c")]
+    columns = "doc_id long, text string, source string, n_chars int, `row` string, c int, node long, spans string"
+    docs = spark.createDataFrame([(i, t, s, len(t or ""), "x", 1, 2, "y") for i, t, s in rows], columns)
+    no_items = spark.createDataFrame([], "item_id string, text string")
+    for name, table in (("some", docs), ("none", docs.where("false"))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        no_items.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    some, none = str(tmp_path / "some"), str(tmp_path / "none")
+    kept = spark.read.parquet(f"{some}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, some)
+        assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 5), (False, 7), (True, 0), (True, 0)]
+    assert corpus_pipeline.run(spark, none).count() == 0
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, some).collect()} == {1, 2, 5, 7, None}
