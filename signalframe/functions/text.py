@@ -208,6 +208,7 @@ def prompt_text(
     shown = [readable_name(n) for n in names]
     if limit and limit > 0:
         shown = shown[:limit]
+    # The sentences of the prompt, the default instruction among them, are fixed values.
     head = f"EMC signal classification sample.\nTask: {instruction}\n"
     if label_meanings:
         pairs = "; ".join(f"{k}={label_meanings[k]}" for k in sorted(label_meanings, key=str))
