@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
 
 def feature_moments(df: DataFrame, features: str, width: int, by: Sequence[str] = ()) -> DataFrame:
     """(by..., idx, n, mean, var): population moments of every array element.
@@ -25,13 +26,27 @@ def column_moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     return feature_moments(packed, "_sf_x", len(columns), by).withColumn("feature", F.get(names, F.col("idx")))
 
 
-def fit_scaler(df: DataFrame, features: str, width: int, train: Column | None = None) -> DataFrame:
-    """(idx, mean, std) from the training rows; a spread below 1e-12 becomes 1."""
-    rows = df if train is None else df.where(train)
+def merged_moments(moments: DataFrame) -> DataFrame:
+    """(idx, n, mean, var) of all groups of a table of moments together: no second look at the rows.
+
+    The spread of the union is the mean spread of the groups plus the spread of their means.
+    """
+    per = W.partitionBy("idx")
+    centred = moments.withColumn("_sf_mu", F.sum(F.col("n") * F.col("mean")).over(per) / F.sum("n").over(per))
+    off = F.col("mean") - F.col("_sf_mu")
+    return centred.groupBy("idx").agg(
+        F.sum("n").alias("n"), F.first("_sf_mu").alias("mean"), (F.sum(F.col("n") * (F.col("var") + off * off)) / F.sum("n")).alias("var"))
+
+
+def scaler_of(moments: DataFrame) -> DataFrame:
+    """(idx, mean, std) from one row of moments per element; a spread below 1e-12 becomes 1."""
     std = F.sqrt("var")
-    return feature_moments(rows, features, width).select(
-        "idx", "mean", F.when(std < 1e-12, F.lit(1.0)).otherwise(std).alias("std")
-    )
+    return moments.select("idx", "mean", F.when(std < 1e-12, F.lit(1.0)).otherwise(std).alias("std"))
+
+
+def fit_scaler(df: DataFrame, features: str, width: int, train: Column | None = None) -> DataFrame:
+    """(idx, mean, std) from the training rows."""
+    return scaler_of(feature_moments(df if train is None else df.where(train), features, width))
 
 
 def apply_scaler(df: DataFrame, features: str, scaler: DataFrame, out: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import domain_group, in_layout, index_of, parse_array, prefix_of
 
@@ -87,64 +87,104 @@ def impute_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(columns)}
 
 
+def _share_and_width(text: Column, parsed: Column) -> list[Column]:
+    """Aggregates: share of non-null texts that parse as arrays, and the longest array."""
+    ok = F.when(text.isNotNull(), parsed.isNotNull().cast("double"))
+    return [F.coalesce(F.avg(ok), F.lit(0.0)), F.greatest(F.coalesce(F.max(F.size(parsed)), F.lit(0)), F.lit(0))]
+
+
 def array_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, share, width): share of non-null texts that parse as arrays, and the longest array."""
     parsed = df.select(*[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(columns)],
                        *[parse_array(F.col(f"`{c}`")).alias(f"a{i}") for i, c in enumerate(columns)])
-    aggs = []
-    for i in range(len(columns)):
-        ok = F.when(F.col(f"t{i}").isNotNull(), F.col(f"a{i}").isNotNull().cast("double"))
-        aggs += [F.avg(ok).alias(f"s{i}"), F.max(F.size(f"a{i}")).alias(f"w{i}")]
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.coalesce(f"s{i}", F.lit(0.0)).alias("share"),
-                 F.greatest(F.coalesce(f"w{i}", F.lit(0)), F.lit(0)).alias("width"))
-        for i, c in enumerate(columns)
-    ]
+    aggs = [x.alias(f"{k}{i}") for i in range(len(columns)) for k, x in zip("sw", _share_and_width(F.col(f"t{i}"), F.col(f"a{i}")))]
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("share"), F.col(f"w{i}").alias("width")) for i, c in enumerate(columns)]
     return parsed.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
-def array_profile(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, int]]:
-    """``array_shares`` as {column: (share, width)}."""
-    if not columns:
-        return {}
-    return {r["column"]: (r["share"], r["width"]) for r in array_shares(df, columns).collect()}
+def _category_text(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("missing"))
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list[str]:
-    """Sorted distinct values with null as "missing".
+def categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
+    """Sorted distinct values of every column, null as "missing", from one pass over the rows.
 
     More than ``limit`` values would make as many columns; encode such a column as one index
     column instead (``labels.encode_labels``), which joins and has no limit.
     """
-    text = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("missing")).alias("v")
-    rows = df.select(text).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories; use encode_labels for it")
-    return sorted(r["v"] for r in rows)
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), _category_text(c).alias("v")) for i, c in enumerate(columns)])
+    # One value more than allowed per column is enough to tell; a window limit keeps at most so many rows of each.
+    rank = F.row_number().over(W.partitionBy("at").orderBy("v"))
+    rows = df.select(F.inline(cells)).distinct().withColumn("rank", rank).where(F.col("rank") <= limit + 1).collect()
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for r in rows:
+        found[columns[r["at"]]].append(r["v"])
+    for c, values in found.items():
+        if len(values) > limit:
+            raise ValueError(f"{c} has more than {limit} categories; use encode_labels for it")
+    return {c: sorted(v) for c, v in found.items()}
+
+
+@dataclass(frozen=True)
+class ColumnProfile:
+    """What one pass tells about a column; ``distinct`` is an estimate (5 % standard error)."""
+
+    mean: float = 0.0
+    share: float = 0.0
+    width: int = 0
+    distinct: int = 0
+
+
+def profile_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, ColumnProfile]:
+    """Means of numbers, shares and widths of arrays and the number of distinct values of the others: one aggregate for all columns.
+
+    Its state is of fixed size per column, whatever the values.
+    """
+    kinds = dict(df.dtypes)
+    texts = [c for c in columns if kinds[c] == "string"]
+    staged = df.withColumns({f"_sf_array_{c}": parse_array(F.col(f"`{c}`")) for c in texts}) if texts else df
+    aggs: list[Column] = []
+    for i, c in enumerate(columns):
+        src = F.col(f"`{c}`")
+        made: dict[str, Column] = {}
+        if is_numeric(kinds[c]):
+            made["mean"] = F.coalesce(F.avg(as_number(c, kinds[c])), F.lit(0.0))
+        elif kinds[c].startswith("array<"):
+            made.update(share=F.lit(1.0), width=F.greatest(F.coalesce(F.max(F.size(src)), F.lit(0)), F.lit(0)))
+        else:
+            made["distinct"] = F.approx_count_distinct(_category_text(c))
+            if c in texts:
+                made["share"], made["width"] = _share_and_width(src, F.col(f"`_sf_array_{c}`"))
+        aggs.append(F.struct(*[x.alias(k) for k, x in made.items()]).alias(f"p{i}"))
+    row = staged.agg(*aggs).first()
+    return {c: ColumnProfile(**row[f"p{i}"].asDict()) for i, c in enumerate(columns)}
 
 
 def infer_spec(df: DataFrame, columns: Sequence[str] | None = None, limit: int = MAX_CATEGORIES) -> FeatureSpec:
-    """Numbers are mean-filled, array texts padded to the longest, everything else one-hot encoded."""
+    """Numbers are mean-filled, array texts padded to the longest, everything else one-hot encoded.
+
+    One scan profiles all columns; a second lists the values of all category columns, if there are any.  A column whose
+    estimated number of values is twice the limit is refused after the first.
+    """
     kinds = dict(df.dtypes)
     columns = list(columns or df.columns)
-    numbers = [c for c in columns if is_numeric(kinds[c])]
-    texts = [c for c in columns if kinds[c] == "string"]
-    means = impute_means(df, numbers) if numbers else {}
-    arrays = array_profile(df, texts)
-    native = [c for c in columns if kinds[c].startswith("array<")]
-    if native:
-        row = df.agg(*[F.max(F.size(f"`{c}`")).alias(f"w{i}") for i, c in enumerate(native)]).first()
-        arrays.update({c: (1.0, max(row[f"w{i}"] or 0, 0)) for i, c in enumerate(native)})
+    seen = profile_columns(df, columns)
+    arrays = [c for c in columns if seen[c].share >= ARRAY_SHARE]
+    others = [c for c in columns if c not in arrays and not is_numeric(kinds[c])]
+    for c in others:
+        if seen[c].distinct > 2 * limit:
+            raise ValueError(f"{c} has more than {limit} categories; use encode_labels for it")
+    values = categories(df, others, limit)
     out = []
     for c in columns:
-        share, width = arrays.get(c, (0.0, 0))
-        if c in means:
-            out.append(Feature(c, "number", (c,), fill=means[c]))
-        elif share >= ARRAY_SHARE:
-            out.append(Feature(c, "array", tuple(f"{c}_{i}" for i in range(width)), width=width))
+        if c in arrays:
+            out.append(Feature(c, "array", tuple(f"{c}_{i}" for i in range(seen[c].width)), width=seen[c].width))
+        elif c in values:
+            out.append(Feature(c, "category", tuple(f"{c}__{v}" for v in values[c]), values=tuple(values[c])))
         else:
-            vals = categories(df, c, limit)
-            out.append(Feature(c, "category", tuple(f"{c}__{v}" for v in vals), values=tuple(vals)))
+            out.append(Feature(c, "number", (c,), fill=float(seen[c].mean)))
     return FeatureSpec(tuple(out))
 
 

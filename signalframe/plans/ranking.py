@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..operators.rank import fisher_scores, keep_features, ranked, top_features
-from ..operators.scale import feature_moments, fit_scaler, zscore
+from ..operators.rank import fisher_of, fit_scaled_scores, keep_features, ranked, top_features
+from ..operators.scale import apply_scaler, feature_moments, fit_scaler, zscore
 from ..operators.split import split_rows
 from .frames import NAMES, SQL_CELLS, SQL_FISHER, SQL_SCALED, SQL_SPLIT, WIDTH, vectors
 from .registry import query
@@ -21,8 +21,9 @@ def scaled_vectors(spark, d):
 
 
 def vector_scores(spark, d):
-    train = scaled_vectors(spark, d).where(F.col("split") == "train")
-    return fisher_scores(train, "features", "label", NAMES)
+    """Scores of the standardised training rows; the vectors are read once."""
+    train = split_vectors(spark, d).where(F.col("split") == "train")
+    return fisher_of(feature_moments(train, "features", WIDTH, ["label"]), NAMES, standardized=True)
 
 
 @query("fisher_top_features", "FS-1 FS-3 FS-4 SRC-2 PRJ-15",
@@ -49,7 +50,9 @@ SELECT s.vec_id, s.label, s.split, CAST(b.rk AS INT) AS rank, round(s.z, 6) + 0.
 FROM scaled s JOIN best b USING (i) WHERE b.rk <= 5""")
 def select_top_features(spark, d):
     """Rows reduced to their five best features, shown one value per row."""
-    reduced = keep_features(scaled_vectors(spark, d), "features", top_features(vector_scores(spark, d), 5))
+    rows = split_vectors(spark, d)
+    fitted = fit_scaled_scores(rows, "features", "label", NAMES, F.col("split") == "train")
+    reduced = keep_features(apply_scaler(rows, "features", fitted.scaler), "features", top_features(fitted.scores, 5))
     return reduced.select("vec_id", "label", "split", F.posexplode("features").alias("p", "x")).select(
         "vec_id", "label", "split", (F.col("p") + 1).alias("rank"), rounded("x").alias("value")
     )
