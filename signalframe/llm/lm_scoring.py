@@ -2,14 +2,15 @@
 
 Both models are smoothed word bigrams over one vocabulary and one set of bigrams, so their losses can be
 compared token by token.  The background is all documents; the target those marked as such.  Every word is in the
-vocabulary and every bigram is kept, at every size of the corpus, so the counts grow with it.  They stay in tables
-partitioned by key and are never broadcast or sent to the driver.
+vocabulary and every bigram is kept, at every size of the corpus, so the counts grow with it.  They are never
+broadcast or sent to the driver.
 
-Tasks cut the corpus into chunks of about ``CHUNK_BYTES`` of text.  A bigram is one row in each chunk that has it, with its
-documents packed beside it: a common bigram has a row per chunk, not per document.  Those rows are joined to the
-loss differences of the bigrams and go back to their chunks, which add them up per document.  The words that are most
-common bring their counts by broadcast, at most ``HOT`` of them, because so many bigrams share them; all others by
-a shuffle.  Words are compared by 64-bit hashes.
+Most bigrams are rare, so what moves is made small.  The corpus is written once in chunks of about ``CHUNK_BYTES`` of text,
+compressed.  A chunk sends each part of the key range one row: the sorted hashes of its bigrams and of its words there, as
+differences, with their counts.  A part adds up equal keys and answers every chunk with the totals in the order of the
+chunk's keys; the keys need not travel back.  A chunk then knows the counts of all its bigrams and words, and adds up the
+loss differences per document.  A bigram that every document has is one entry per chunk, so no key is hot, and documents
+are in none of these exchanges but as compressed chunks.  Words and bigrams are compared by 64-bit hashes.
 
 A token's loss difference is kept in millionths of a bit as an integer: sums do not depend on their order.  The
 score is the mean difference, target loss minus background loss: the lower, the closer to the target.
@@ -20,158 +21,223 @@ equal scores; an empty table gives an empty table, and without any target the ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import cut_lineage
-from .text import ALNUM, Words, as_bytes, hash_words, row_key, sums
+from ..session import cut_lineage, discard
+from .text import ALNUM, Words, as_bytes, batches_of, hash_words, mix, row_key, sums
 
-#: Text of a chunk, and its documents at most, which are numbered in 16 bits.
+#: Text of a chunk, and its documents at most.
 CHUNK_BYTES, CHUNK_ROWS = 6 << 20, 1 << 16
-#: A word that is at least one in so many words brings its counts by broadcast.
-HOT = 4096
+#: Text of the corpus per part of the key range; a part counts the keys of so much text in one task.
+PART_BYTES = 8 << 20
 #: Weight of the word model in the bigram model, in observations.
 PRIOR = 200.0
 #: Integer units per bit.
 UNIT = 1e6
-#: Rows that a task hands on at once.
-HANDED = 1 << 16
-#: Hash that stands for the context of a text's first word; no word is empty.
-START = int(hash_words([b""]).view(np.int64)[0])
-
-#: ``docs`` holds the number of the document of each occurrence; one more row per chunk has ``names`` and ``counts`` of its documents.
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("c", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("n_target", pa.int64()), ("docs", pa.binary()),
-                     ("names", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-
-
-def _chunk(number: int, texts: list[bytes], names: list[str], flags: list[bool]) -> Iterator[pa.RecordBatch]:
-    """The rows of one chunk, sorted by bigram."""
-    words = Words(texts, ALNUM)
-    ids, owner = words.ids, words.owner
-    hashes = np.concatenate([hash_words(words.vocabulary).view(np.int64), [START]])
-    before = np.concatenate([[0], ids[:-1]]).astype(np.int64)[:len(ids)]
-    before[words.starts[words.counts > 0]] = len(hashes) - 1
-    keys = before << 32 | ids
+#: Rows of an Arrow batch; a row holds a compressed chunk.
+BATCH_ROWS = 16
+
+_OWN = "chunk long, rows array<string>, ids array<string>, sizes array<int>, n_bytes long, body binary"
+_SENT = "chunk long, part long, pairs binary, words binary"
+_TOLD = _SENT + ", size long, total long, goal long"
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Integer columns of one length, byte by byte of rising weight, compressed."""
+    raw = np.stack(columns).astype(np.int64).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, columns: int) -> np.ndarray:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+
+
+def _chunked(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts, their row names and ids as rows of about ``limit`` bytes; case and punctuation are gone."""
+    schema = pa.schema([("chunk", pa.int64()), ("rows", pa.list_(pa.string())), ("ids", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("n_bytes", pa.int64()), ("body", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        texts: list[bytes] = []
+        rows: list[str] = []
+        ids: list[str | None] = []
+        size = number = 0
+
+        def chunk() -> pa.RecordBatch:
+            body = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+            values = [first + number, rows, ids, [len(t) for t in texts], size, body]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+
+        for batch in batches:
+            for text, row, name in zip(as_bytes(batch["text"]), batch["row"].to_pylist(), batch["id"].to_pylist()):
+                if texts and (size + len(text) > limit or len(texts) == CHUNK_ROWS):
+                    yield chunk()
+                    number, texts, rows, ids, size = number + 1, [], [], [], 0
+                texts.append(text.translate(ALNUM))
+                rows.append(row)
+                ids.append(name)
+                size += len(text)
+        if texts:
+            yield chunk()
+
+    return cut
+
+
+class _Bigrams:
+    """Words and bigrams of a chunk, each in the order of their hashes.
+
+    ``word_of`` and ``pair_of`` tell the word of each token and the bigram of each token in ``later``, those that are not
+    the first of their text; ``before`` and ``after`` are the two words of a bigram.
+    """
+
+    def __init__(self, body: bytes, sizes: list[int]):
+        whole = pa.decompress(body, decompressed_size=sum(sizes), codec="zstd", asbytes=True) if sum(sizes) else b""
+        ends = np.cumsum([0, *sizes]).tolist()
+        words = Words([whole[a:b] for a, b in zip(ends, ends[1:])])
+        self.counts, self.owner = words.counts, words.owner
+        hashes = hash_words(words.vocabulary)
+        order = np.argsort(hashes, kind="stable")
+        self.word_keys = hashes[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.word_of = rank[words.ids]
+        first = np.zeros(len(self.word_of), bool)
+        first[words.starts[words.counts > 0]] = True
+        self.later = np.flatnonzero(~first)
+        codes, place = np.unique(self.word_of[self.later - 1] << 32 | self.word_of[self.later], return_inverse=True)
+        before, after = codes >> 32, codes & 0xFFFFFFFF
+        keys = mix(mix(self.word_keys[before], 1) ^ self.word_keys[after], 2)
+        order = np.argsort(keys, kind="stable")
+        self.pair_keys, self.before, self.after = keys[order], before[order], after[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.pair_of = rank[place]
+
+
+def _sender(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per chunk and part of the key range, which has ``2 ** bits`` parts: keys and counts, all and in targets."""
+
+    def part_of(keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(1)) >> np.uint64(63 - bits)).astype(np.int64)
+
+    def cut(keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> dict[int, bytes]:
+        parts = part_of(keys)
+        starts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])[:len(parts)]).tolist()
+        steps = np.diff(keys, prepend=np.zeros(1, np.uint64)).view(np.int64)
+        out = {}
+        for a, b in zip(starts, [*starts[1:], len(keys)]):
+            step = steps[a:b].copy()
+            step[0] = keys[a:a + 1].view(np.int64)[0]
+            out[int(parts[a])] = _pack(step, n[a:b], m[a:b])
+        return out
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.to_pylist():
+                found = _Bigrams(own["body"], own["sizes"])
+                flags = np.zeros(len(own["sizes"]), np.int64)
+                flags[own["targets"] or []] = 1
+                goal = flags[found.owner]
+                many = lambda place, size, goal: (np.bincount(place, minlength=size), sums(goal, place, size))
+                words = cut(found.word_keys, *many(found.word_of, len(found.word_keys), goal))
+                pairs = cut(found.pair_keys, *many(found.pair_of, len(found.pair_keys), goal[found.later]))
+                parts = sorted(words.keys() | pairs.keys())
+                if parts:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([own["chunk"]] * len(parts)), pa.array(parts), pa.array([pairs.get(p) for p in parts], pa.binary()), pa.array([words.get(p) for p in parts], pa.binary())],
+                        names=["chunk", "part", "pairs", "words"])
+
+    return send
+
+
+def _totals(blobs: list[bytes | None]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    """For sent keys of one part the totals in the order of each blob, and the totals of its distinct keys."""
+    sent = [(i, _unpack(b, 3)) for i, b in enumerate(blobs) if b]
+    out: list[bytes | None] = [None] * len(blobs)
+    if not sent:
+        return out, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = np.concatenate([np.cumsum(x[0].view(np.uint64)) for _, x in sent])
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
-    ends = np.concatenate([first, [len(keys)]])
-    chosen = np.concatenate([[0], np.cumsum(np.array(flags, dtype=np.int64)[owner[order]])])
-    docs = owner[order].astype(np.uint16)
-    c, w = hashes[keys[first] >> 32], hashes[keys[first] & 0xFFFFFFFF]
-    for a in range(0, len(first), HANDED):
-        b = min(a + HANDED, len(first))
-        cut = ends[a:b + 1]
-        packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((2 * (cut - cut[0])).astype(np.int32)), pa.py_buffer(docs[cut[0]:cut[-1]].tobytes())])
-        columns = [np.full(b - a, number), c[a:b], w[a:b], np.diff(cut), np.diff(chosen[cut])]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), packed, *(pa.nulls(b - a, t) for t in _CHUNKS.types[6:])], schema=_CHUNKS)
-    ends_here = [[number], None, None, None, None, None, [names], [words.counts.tolist()]]
-    yield pa.RecordBatch.from_arrays([pa.array(x or [None], t) for x, t in zip(ends_here, _CHUNKS.types)], schema=_CHUNKS)
-
-
-def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    texts: list[bytes] = []
-    names: list[str] = []
-    flags: list[bool] = []
-    size = 0
-    for batch in batches:
-        for text, name, flag in zip(as_bytes(batch["text"]), batch["row"].to_pylist(), batch["target"].to_pylist()):
-            if texts and (size + len(text) > CHUNK_BYTES or len(texts) == CHUNK_ROWS):
-                yield from _chunk(number, texts, names, flags)
-                number, texts, names, flags, size = number + 1, [], [], [], 0
-            texts.append(text)
-            names.append(name)
-            flags.append(flag)
-            size += len(text)
-    if texts:
-        yield from _chunk(number, texts, names, flags)
-
-
-def _units(total: int, n_target: int, size: int) -> Column:
-    """Integer loss difference of a bigram from its counts and those of its two words."""
+    sorted_keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    n, m = (np.add.reduceat(np.concatenate([x[k] for _, x in sent])[order], starts) for k in (1, 2))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(starts)), np.diff([*starts, len(keys)]))
+    end = 0
+    for i, x in sent:
+        here = place[end:end + x.shape[1]]
+        out[i] = _pack(n[here], m[here])
+        end += x.shape[1]
+    return out, n, m
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """All rows of one part, with totals in place of keys; the first row has the sums of the part's words."""
+    words, n, m = _totals(table["words"].to_pylist())
+    pairs = _totals(table["pairs"].to_pylist())[0]
+    once = lambda x: pa.array([int(x), *[0] * (len(table) - 1)], pa.int64())
+    return pa.table([table["chunk"], table["part"], pa.array(pairs, pa.binary()), pa.array(words, pa.binary()), once(len(n)), once(n.sum()), once(m.sum())],
+                    names=["chunk", "part", "pairs", "words", "size", "total", "goal"])
+
+
+def _scorer(size: int, total: int, goal: int) -> Callable[[pa.Table], pa.Table]:
+    """Loss differences of a chunk's documents from the chunk and the totals of its words and bigrams."""
 
     def rounded(bits: np.ndarray) -> np.ndarray:
         return np.floor(bits * UNIT + 0.5).astype(np.int64)
 
-    @F.arrow_udf(T.LongType())
-    def units(c: pa.Array, n: pa.Array, m: pa.Array, base: pa.Array, goal: pa.Array, base_before: pa.Array, goal_before: pa.Array) -> pa.Array:
-        first = c.to_numpy(zero_copy_only=False) == START
-        n, m, base, goal, x, y = (a.to_numpy(zero_copy_only=False).astype(float) for a in (n, m, base, goal, base_before, goal_before))
-        p, q = (base + 1) / (total + size + 1), (goal + 1) / (n_target + size + 1)
-        alone = rounded(np.log2(p) - np.log2(q))
-        after = rounded(np.log2((n + PRIOR * p) / (x + PRIOR)) - np.log2((m + PRIOR * q) / (y + PRIOR)))
-        return pa.array(np.where(first, alone, after))
-
-    return units("c", "n", "n_target", "w_n", "w_target", F.coalesce("c_n", F.lit(0)), F.coalesce("c_target", F.lit(0)))
-
-
-def _with_word(pairs: DataFrame, words: DataFrame, hot: DataFrame, side: str) -> DataFrame:
-    """Add the counts of the word in column ``side``.  Rows of hot words have them by broadcast and are dealt anywhere by the join."""
-    named = lambda df, tail: df.select(F.col("w").alias(f"word{tail}"), F.col("n").alias(f"n{tail}"), F.col("n_target").alias(f"t{tail}"))
-    out = pairs.join(F.broadcast(named(hot, "_hot")), F.col(side) == F.col("word_hot"), "left")
-    out = out.withColumn("at", F.when(F.col("word_hot").isNull(), F.col(side)).otherwise(F.xxhash64("c", "w")))
-    out = out.join(named(words, "_all"), F.col("at") == F.col("word_all"), "left")
-    pick = lambda k: F.when(F.col("word_hot").isNotNull(), F.col(f"{k}_hot")).otherwise(F.col(f"{k}_all"))
-    return out.select(*pairs.columns, pick("n").alias(f"{side}_n"), pick("t").alias(f"{side}_target"))
-
-
-def pair_units(chunks: DataFrame) -> DataFrame:
-    """``c``, ``w`` and ``units`` of every bigram; ``c`` is ``START`` for the first word of a text."""
-    pairs = cut_lineage(chunks.where("w IS NOT NULL").groupBy("c", "w").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
-    words = cut_lineage(pairs.groupBy("w").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
-    size, total, n_target = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    hot = words.where(F.col("n") * HOT >= total)
-    # The start of a text is no word but is as common as texts are.
-    starts = hot.sparkSession.createDataFrame([(START, 0, 0)], hot.schema)
-    out = _with_word(_with_word(pairs, words, hot, "w"), words, hot.union(starts), "c")
-    return out.select("c", "w", _units(total, n_target, size).alias("units"))
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some chunks: sums per document."""
-    added: dict[int, np.ndarray] = {}
-    known: dict[int, tuple[list[str], list[int]]] = {}
-    for batch in batches:
-        chunk = batch["chunk"].to_numpy()
-        named = np.flatnonzero(batch["names"].is_valid().to_numpy(zero_copy_only=False))
-        for k in named:
-            known[int(chunk[k])] = batch["names"][k].as_py(), batch["counts"][k].as_py()
-        packed = [d or b"" for d in batch["docs"].to_pylist()]
-        docs = np.frombuffer(b"".join(packed), dtype=np.uint16).astype(np.int64)
-        times = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 2
-        units = np.repeat(batch["units"].fill_null(0).to_numpy(zero_copy_only=False), times)
-        found, place = np.unique(chunk, return_inverse=True)
-        place = np.repeat(place, times)
-        for k, number in enumerate(found.tolist()):
-            here = place == k if len(found) > 1 else slice(None)
-            part = sums(units[here], docs[here], CHUNK_ROWS)
-            added[number] = added[number] + part if number in added else part
-    for number, (names, counts) in known.items():
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(added[number][:len(names)])],
-                                         names=["row", "n_tokens", "loss_units"])
+    def told(rows: list[dict], side: str) -> np.ndarray:
+        blobs = [_unpack(r[side], 2) for r in rows if r[side]]
+        return np.concatenate(blobs, 1).astype(float) if blobs else np.zeros((2, 0))
+
+    def score(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["body"] is not None)
+        answers = sorted((r for r in rows if r["body"] is None), key=lambda r: r["part"])
+        found = _Bigrams(own["body"], own["sizes"])
+        (base, good), (n, m) = told(answers, "words"), told(answers, "pairs")
+        p, q = (base + 1) / (total + size + 1), (good + 1) / (goal + size + 1)
+        units = rounded(np.log2(p) - np.log2(q))[found.word_of]
+        c, w = found.before, found.after
+        after = rounded(np.log2((n + PRIOR * p[w]) / (base[c] + PRIOR)) - np.log2((m + PRIOR * q[w]) / (good[c] + PRIOR)))
+        units[found.later] = after[found.pair_of]
+        return pa.table([pa.array(own["rows"], pa.string()), pa.array(found.counts), pa.array(sums(units, found.owner, len(own["sizes"])))], names=["row", "n_tokens", "loss_units"])
+
+    return score
 
 
 def loss_differences(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``row`` (see ``row_key``), ``n_tokens`` and ``loss_units``, the sum over the tokens of a row; ``target_ids`` has the ids of the target documents."""
-    target = target_ids.select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    narrow = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row"))
-    # The target grows with the corpus, so it is merged at every size and never broadcast.
-    marked = narrow.join(target.hint("merge"), "id", "left").select("text", "row", F.coalesce("target", F.lit(False)).alias("target"))
-    schema = "chunk long, c long, w long, n long, n_target long, docs binary, names array<string>, counts array<long>"
-    chunks = cut_lineage(marked.mapInArrow(_in_chunks, schema))
-    # A bigram has as many rows as chunks have it.
-    scored = chunks.where("w IS NOT NULL").select("chunk", "c", "w", "docs").join(pair_units(chunks), ["c", "w"]).select(
-        "chunk", "docs", "units", F.lit(None).cast("array<string>").alias("names"), F.lit(None).cast("array<long>").alias("counts"))
-    ends = chunks.where("names IS NOT NULL").select("chunk", "docs", F.lit(None).cast("long").alias("units"), "names", "counts")
-    added = scored.union(ends).repartition("chunk").mapInArrow(_add_up, "row string, n_tokens long, loss_units long")
-    return added.groupBy("row").agg(F.max("n_tokens").alias("n_tokens"), F.max("loss_units").alias("loss_units"))
+    """``row`` (see ``row_key``), ``n_tokens`` and ``loss_units``, the sum over the tokens of a row; ``target_ids`` has the ids of the target documents.
+
+    The result and what it is made of are written in turn; only the result stays.
+    """
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        narrow = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row"))
+        own = cut_lineage(narrow.mapInArrow(_chunked(CHUNK_BYTES), _OWN))
+        # The target grows with the corpus, so it is merged with ids alone at every size; the texts stay where they are.
+        target = target_ids.select(F.col(doc_id).cast("string").alias("id")).where("id IS NOT NULL").distinct()
+        marked = own.select("chunk", F.posexplode("ids").alias("place", "id")).join(target.hint("merge"), "id", "left_semi")
+        marks = marked.groupBy("chunk").agg(F.collect_list("place").alias("targets"))
+        n_bytes = own.agg(F.sum("n_bytes")).first()[0] or 0
+        bits = max(0, n_bytes // PART_BYTES).bit_length()
+        sent = own.select("chunk", "sizes", "body").join(marks, "chunk", "left").mapInArrow(_sender(bits), _SENT)
+        told = cut_lineage(sent.groupBy("part").applyInArrow(_answer, _TOLD))
+        size, total, goal = told.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "total", "goal"))).first()
+        nothing = lambda c, kind: F.lit(None).cast(kind).alias(c)
+        both = own.select("chunk", nothing("part", "long"), nothing("pairs", "binary"), nothing("words", "binary"), "rows", "sizes", "body").unionByName(
+            told.select("chunk", "part", "pairs", "words", nothing("rows", "array<string>"), nothing("sizes", "array<int>"), nothing("body", "binary")))
+        scored = both.groupBy("chunk").applyInArrow(_scorer(size, total, goal), "row string, n_tokens long, loss_units long")
+        found = cut_lineage(scored.groupBy("row").agg(F.max("n_tokens").alias("n_tokens"), F.max("loss_units").alias("loss_units")))
+    discard(told)
+    discard(own)
+    return found
 
 
 def with_score(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", name: str = "lm") -> DataFrame:

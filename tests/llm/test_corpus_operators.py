@@ -378,7 +378,9 @@ def brute_units(texts, targets):
 
 
 def test_lm_keeps_rare_words_and_bigrams_of_large_corpora(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 200_000, raising=False)
+    # Several chunks in a task, and more parts of the key range than chunks.
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 200_000)
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 50_000)
     rng = random.Random(16)
     # More than 2^19 words: one occurrence is below any share of them.
     texts = [prose(rng, 5000, 200) for _ in range(110)] + ["rare words stand here once", "other seldom seen terms", None, "", "w1 rare"]
@@ -390,6 +392,14 @@ def test_lm_keeps_rare_words_and_bigrams_of_large_corpora(spark, monkeypatch):
     assert [rows[i]["n_tokens"] for i in range(len(texts))] == [len(alnum_words(t)) for t in texts]
 
 
+def test_lm_blobs_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 4000):
+        columns = rng.integers(-2 ** 62, 2 ** 62, (3, n))
+        columns[2] = 1
+        assert (lm_scoring._unpack(lm_scoring._pack(*columns), 3) == columns).all()
+
+
 # ---- near copies
 
 def brute_groups(texts, k, up, down):
