@@ -316,6 +316,13 @@ def groups(docs: DataFrame, shingle: int = 5, up: int = 4, down: int = 5, text:
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def _slimmer(written: DataFrame, *columns: str) -> DataFrame:
+    """A written table with these columns alone; the wider one is deleted."""
+    slim = cut_lineage(written.select(*columns))
+    discard(written)
+    return slim
+
+
 def _labelled(docs: DataFrame, shingle: int, up: int, down: int, text: str, doc_id: str) -> DataFrame:
     """``id``, ``row`` (see ``row_key``), ``n``, and group ``c`` with its ``component_id``, null for rows without words."""
     t = Threshold(up, down)
@@ -324,6 +331,7 @@ def _labelled(docs: DataFrame, shingle: int, up: int, down: int, text: str, doc_
         rows = cut_lineage(docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("row"), _sketched(F.col(text), shingle, bands).alias("s")).select("id", "row", "s.*"))
         classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("brief").alias("brief"))
         classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
+        rows = _slimmer(rows, "id", "row", "n", "key")
 
         # One exchange serves the count and the join; buckets of one member go before the sketches move.
         slots = classes.select("node", F.explode("bands").alias("bucket")).repartition("bucket")
@@ -331,9 +339,10 @@ def _labelled(docs: DataFrame, shingle: int, up: int, down: int, text: str, doc_
         several = cut_lineage(slots.join(shared.hint("merge"), "bucket").select("bucket", "node", "size"))
         members = cut_lineage(several.join(classes.select("node", "n", "brief"), "node").select("bucket", "node", "n", "size", "brief"))
         discard(several)
+        classes = _slimmer(classes, "node", "key", "n", "least")
         largest = members.agg(F.max("size")).first()[0]
         if largest:
-            sets = _candidate_sets(docs, rows, classes, members, shingle, text, doc_id)
+            sets = _candidate_sets(docs, classes, members, shingle, text, doc_id)
             labels = _links(members, sets, t, largest)
             discard(sets)
             classes = classes.join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
@@ -345,7 +354,7 @@ def _labelled(docs: DataFrame, shingle: int, up: int, down: int, text: str, doc_
     return rows.select("id", "row", "n", "key").join(found, "key", "left").select("id", "row", "n", "c", "component_id")
 
 
-def _candidate_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, members: DataFrame, shingle: int, text: str, doc_id: str) -> DataFrame:
+def _candidate_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, shingle: int, text: str, doc_id: str) -> DataFrame:
     """``node``, ``n`` and ``elements`` of the classes in ``members``, made again from one text of each.
 
     A Bloom filter of bounded size lets few other texts into the shuffle; past its bound it lets in more.
