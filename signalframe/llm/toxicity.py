@@ -41,8 +41,6 @@ LEAST_LIFT, LEAST_EVIDENCE = 6.0, 30.0
 ERROR_LENGTH = 5
 #: Stems have so many characters; a stem matches a word that begins with it.
 STEM_LENGTHS = range(4, 9)
-#: Most terms that are broadcast, the most frequent first.
-MOST_TERMS = 2000
 #: Coordinates of the sketch that finds copies in the sample, and how many equal ones make a copy.
 BRIEF, COPY = 24, 8
 #: Words on either side of a match that are looked at.
@@ -228,8 +226,9 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     t, c = F.col("toxic"), F.col("clean")
     lift = (t + 0.5) / (n_toxic + 1) / ((c + 0.5) / (n_clean + 1))
     evidence = 2 * (t * F.ln(t / ((t + c) * share)) + F.when(c > 0, c * F.ln(c / ((t + c) * (1 - share)))).otherwise(0.0))
-    found = counts.where((t > 0) & (lift >= LEAST_LIFT)).where(evidence >= LEAST_EVIDENCE).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS)
-    terms = {r["term"]: r["toxic"] for r in found.collect()}
+    found = counts.where((t > 0) & (lift >= LEAST_LIFT)).where(evidence >= LEAST_EVIDENCE).select("term")
+    # The sample's bound is the bound of its terms.
+    terms = {r["term"] for r in found.collect()}
     stems: set[str] = set()
     for s in sorted((x[:-1] for x in terms if x.endswith("*")), key=lambda s: (len(s), s)):
         if not any(s[:n] in stems for n in STEM_LENGTHS if n < len(s)):
