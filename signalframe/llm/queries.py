@@ -220,14 +220,15 @@ cov AS (SELECT doc_id, n, count(*) AS words, sum(length(w)) AS chars FROM inside
 lines AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM d)),
 again AS (SELECT doc_id, line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1),
 dup AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM again GROUP BY doc_id),
-bad AS (SELECT DISTINCT doc_id FROM cov JOIN c USING (doc_id) JOIN (VALUES (5, 30), (6, 28), (7, 26), (8, 24), (9, 22), (10, 20)) m(n, most) USING (n) WHERE 100 * cov.chars > most * c.chars),
+bad AS (SELECT DISTINCT doc_id FROM cov JOIN c USING (doc_id) JOIN (VALUES (5, 15), (6, 14), (7, 13), (8, 12), (9, 11), (10, 10)) m(n, most) USING (n)
+        WHERE 100 * cov.chars > most * c.chars AND cov.chars > 240),
 f AS (
   SELECT d.doc_id, t, coalesce(n_words, 0) AS n_words, CAST(coalesce(c.chars, 0) AS BIGINT) AS word_chars, coalesce(dup.n, 0) AS n_dup_lines,
     coalesce(dup.chars, 0) AS dup_chars, coalesce(cov.words, 0) AS n_repeat_words, bad.doc_id IS NOT NULL AS bad
   FROM d LEFT JOIN c USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN cov ON cov.doc_id = d.doc_id AND cov.n = 3 LEFT JOIN bad ON bad.doc_id = d.doc_id)
 SELECT doc_id, n_words, word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * dup_chars <= 30 * word_chars AND NOT bad AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (100 * dup_chars <= 20 * word_chars OR dup_chars <= 120) AND NOT bad AS kept
 FROM f
 """)
 def op9_quality_rules(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 Rolling hashes of several window lengths over the words of a batch of texts find the windows that occur
 twice in the same text; the characters inside such windows, over all characters inside words, must stay
-under a limit per length.  A window of n words can only repeat where its leading short window repeats, so
+under a limit per length.  A few repeated characters are no fault, however short the text.  A window of n words can only repeat where its leading short window repeats, so
 the longer lengths look at those places alone.
 
 Null and empty texts have no words and fail; a text of any length is handled whole; equal rows get equal
@@ -21,11 +21,13 @@ from pyspark.sql import types as T
 
 from .text import Words, as_bytes, chunks, covered, hash_words, mix, sums, window_hashes
 
-#: Percent of the characters inside words that repeated windows of so many words may hold: twice what is usual for long web
-#: pages, so that a short text may say one line twice.
-WINDOW_LIMITS = {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}
+#: Percent of the characters inside words that repeated windows of so many words may hold.
+WINDOW_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: Percent of the characters inside words that repeated lines (all but the first of each) may hold.
-LINE_LIMIT = 30
+LINE_LIMIT = 20
+#: Characters that may repeat in any text, so that a short one may say one line twice: as much in repeated lines, and twice as
+#: much in repeated windows, which count the first occurrence too.
+FREE_CHARS = 120
 #: Fixed rule: fewer words fail, and more than this percent of words in repeated windows of BASE_WINDOW words.
 BASE_WORDS, BASE_REPEATS, BASE_WINDOW = 50, 50, 3
 
@@ -85,7 +87,7 @@ def measure(texts: list[bytes], limits: dict[int, int], line_limit: int) -> dict
     mask = covered(len(hashes), base, BASE_WINDOW)
     out["n_repeat_words"] = sums(mask, w.owner, n)
     failed = (w.counts < BASE_WORDS) | (100 * out["n_repeat_words"] > BASE_REPEATS * w.counts)
-    good = ~failed & (100 * out["dup_line_chars"] <= line_limit * out["word_chars"])
+    good = ~failed & ((100 * out["dup_line_chars"] <= line_limit * out["word_chars"]) | (out["dup_line_chars"] <= FREE_CHARS))
     shares = []
     for length, limit in sorted(limits.items()):
         rolled = window_hashes(hashes, length)
@@ -93,7 +95,7 @@ def measure(texts: list[bytes], limits: dict[int, int], line_limit: int) -> dict
         inside = covered(len(hashes), repeated(length, start[start < len(rolled)], rolled), length)
         dup = sums(chars * inside, w.owner, n)
         shares.append(dup)
-        good &= 100 * dup <= limit * out["word_chars"]
+        good &= (100 * dup <= limit * out["word_chars"]) | (dup <= 2 * FREE_CHARS)
     out["dup_chars"] = np.stack(shares, 1) if shares else np.zeros((n, 0), np.int64)
     out["base_failed"], out["kept"] = failed, good
     return out

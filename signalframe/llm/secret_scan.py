@@ -4,9 +4,10 @@ Spans are (kind, start, end) in code points, end exclusive:
 
 * ``assign``, ``access``, ``hex``: the fixed patterns of ``BASE``, leftmost and non-overlapping per kind.
 * ``entropy``: inside a candidate string, every run of windows of ``WINDOW`` characters whose Shannon entropy
-  reaches the limit of the candidate's character class.  The entropy of a window follows from the counts of
-  its characters, updated by one character in and one out per step.  Plain words, numbers, paths,
-  repeated or ascending alphabets and allow-listed strings are suppressed.
+  reaches the limit of the window's own character class, so that what is glued to a key does not hide it.  Entropy
+  and class of a window follow from counts that are updated by one character in and one out per step.  Plain words,
+  numbers and paths have no class.  The allow list is held against the segments between ``/`` and ``=``: no window
+  touches an allow-listed segment, while its neighbours are judged as ever.
 
 Null and empty texts have no spans; texts of any length are scanned whole; rows are independent, so equal
 rows get equal results and an empty table gives an empty table.  ``redact`` replaces spans in the text and
@@ -35,15 +36,16 @@ BASE = (
 #: Order in which kinds at one start are listed.
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-#: Bits per character that a window must reach, by the class of its candidate.  A window of 20 characters has 4.32 at most.
+#: Bits per character that a window must reach, by its class.  A window of 20 characters has 4.32 at most.
 LIMITS = {"hex": 3.0, "lower": 3.6, "upper": 3.6, "mixed": 3.9}
-#: Candidates that are never reported: identifiers that look random but are public by their form.
+#: Segments that are never reported: identifiers that look random but are public by their form.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"(?i:.*(?:example|sample|placeholder|changeme|your[_-]).*)",
     r"(?i:.*(?:abcdefgh|01234567|12345678|qwertyui).*)",
-    r"(?:[A-Za-z]+[-_/+=])+[A-Za-z]+",
 )
+#: Whole candidates that are never reported: words of letters, joined.
+ALLOWED_RUNS = (r"(?:[A-Za-z]+[-_/+=])+[A-Za-z]+",)
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 SPANS = T.ArrayType(SPAN)
 
@@ -51,47 +53,70 @@ _ASSIGN = re.compile(BASE[0][1], re.A | re.I)
 _ACCESS = re.compile(BASE[1][1])
 _HEX = re.compile(r"[0-9a-f]{%d,}" % BASE[2][3])  # a maximal run that is long enough is the fixed pattern's match
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
+_SEGMENT = re.compile(r"[^/=]+")
+_RUNS = re.compile("|".join(ALLOWED_RUNS))
 #: Texts without any of these have no span; this form is what the linear-time matcher of Arrow takes.
 _ANY = r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_=-]{%d}" % WINDOW
 _GAIN = [0.0, *(k * math.log2(k) for k in range(1, WINDOW + 2))]  # one more: a character comes in before one goes out
 
 
-def char_class(candidate: str) -> str | None:
-    """The class whose limit a candidate must reach; None for words and numbers, which are no secrets."""
-    digit = any(c.isdigit() for c in candidate)
-    lower, upper = any("a" <= c <= "z" for c in candidate), any("A" <= c <= "Z" for c in candidate)
-    if not digit or not (lower or upper):
+def _traits(c: str) -> tuple[int, int, int, int, int]:
+    """Digit, lower case, upper case, no lower-case hex digit, no upper-case hex digit."""
+    return c in "0123456789", "a" <= c <= "z", "A" <= c <= "Z", c not in "0123456789abcdef", c not in "0123456789ABCDEF"
+
+
+_TRAITS = {c: _traits(c) for c in map(chr, range(128))}
+
+
+def _class_of(digits: int, lower: int, upper: int, no_lower_hex: int, no_upper_hex: int, turns: int) -> str | None:
+    """The class of a window from its counts; None for words and numbers, which are no secrets."""
+    if not digits or not (lower or upper):
         # Letters alone are words unless the case changes again and again, as it does in random keys.
-        turns = sum(a.isupper() != b.isupper() for a, b in zip(candidate, candidate[1:]) if a.isalpha() and b.isalpha())
-        return "mixed" if lower and upper and 4 * turns >= len(candidate) else None
-    if all(c in "0123456789abcdef" for c in candidate) or all(c in "0123456789ABCDEF" for c in candidate):
+        return "mixed" if lower and upper and 4 * turns >= WINDOW else None
+    if not no_lower_hex or not no_upper_hex:
         return "hex"
     return "mixed" if lower and upper else "lower" if lower else "upper"
 
 
+def _turns(a: str, b: str) -> bool:
+    """Two letters of different case."""
+    return a.isalpha() and b.isalpha() and a.isupper() != b.isupper()
+
+
 def entropy_spans(candidate: str, limits: dict[str, float], allowed: re.Pattern) -> list[tuple[int, int]]:
-    """Maximal unions of windows that reach the limit."""
-    kind = char_class(candidate)
-    if kind is None or allowed.fullmatch(candidate):
+    """Maximal unions of windows that reach the limit of their class and touch no allow-listed segment."""
+    if _RUNS.fullmatch(candidate):
         return []
-    need = (math.log2(WINDOW) - limits[kind]) * WINDOW + 1e-9  # entropy >= limit, as sum of k log2 k <= need
+    # entropy >= limit, as sum of k log2 k <= need
+    need = {kind: (math.log2(WINDOW) - limit) * WINDOW + 1e-9 for kind, limit in limits.items()}
+    easiest = max(need.values())
+    public = [s.span() for s in _SEGMENT.finditer(candidate) if allowed.fullmatch(s[0])]
     counts: dict[str, int] = {}
-    total, out = 0.0, []
+    traits, turns = [0] * 5, 0
+    total, out, free = 0.0, [], 0  # no window may start before ``free``
     for i, c in enumerate(candidate):
         k = counts.get(c, 0)
         total += _GAIN[k + 1] - _GAIN[k]
         counts[c] = k + 1
-        if i >= WINDOW:
-            old = candidate[i - WINDOW]
+        traits = [x + y for x, y in zip(traits, _TRAITS[c])]
+        turns += i > 0 and _turns(candidate[i - 1], c)
+        start = i - WINDOW + 1
+        if start > 0:
+            old = candidate[start - 1]
             k = counts[old]
             total += _GAIN[k - 1] - _GAIN[k]
             counts[old] = k - 1
-        if i >= WINDOW - 1 and total <= need:
-            start = i - WINDOW + 1
-            if out and start <= out[-1][1]:
-                out[-1] = (out[-1][0], i + 1)
-            else:
-                out.append((start, i + 1))
+            traits = [x - y for x, y in zip(traits, _TRAITS[old])]
+            turns -= _turns(old, candidate[start])
+        while public and public[0][0] <= i:
+            free = public.pop(0)[1]
+        if start >= free and total <= easiest:
+            kind = _class_of(*traits, turns)
+            if kind is not None and total <= need[kind]:
+                if out and start <= out[-1][1]:
+                    out[-1] = (out[-1][0], i + 1)
+                else:
+                    out.append((start, i + 1))
     return out
 
 
